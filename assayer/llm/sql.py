@@ -20,7 +20,7 @@ rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(3) AS s(k) GROU
 line AS (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d),
 dup AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY rid),
 base AS (
-  SELECT d.rid, doc_id, r, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  SELECT d.rid, doc_id, d.r, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
          length(text) - length(regexp_replace(text, '\p{{Ll}}+', '', 'g')) AS c2, length(text) - length(regexp_replace(text, '\p{{Lu}}+', '', 'g')) AS c3, length(text) - length(regexp_replace(text, '[0-9]+', '', 'g')) AS c4, length(text) AS total
   FROM d JOIN w ON d.rid = w.rid LEFT JOIN dup ON d.rid = dup.rid LEFT JOIN rep ON d.rid = rep.rid),
