@@ -13,8 +13,9 @@ from assayer.llm import sql
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_quality_rules": q.op7_quality_rules,
+        "op9_pii": q.op9_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": sql.quality_rules()}
+    return {"op7_quality_rules": sql.quality_rules(), "op9_pii": sql.pii_spans()}

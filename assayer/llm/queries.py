@@ -6,9 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.common import read
+from assayer.llm.pii import KINDS, find_pii, listed
 from assayer.llm.quality_rules import quality_rules
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long")
+    counts = [of(k.name).alias(f"n_{k.name}") for k in KINDS if k.base]
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("pii"), base_only=True).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
