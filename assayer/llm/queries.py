@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from assayer.llm.common import read
 from assayer.llm.pii import KINDS, find_pii, listed
 from assayer.llm.quality_rules import quality_rules
+from assayer.llm.secrets import BASE, find_secrets
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = joined(F.filter("secrets", lambda x: x["kind"].isin(list(BASE))))
+    return out.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
