@@ -12,6 +12,7 @@ from assayer.llm import sql
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_best_fit_packing": q.op3_best_fit_packing,
         "op4_secrets": q.op4_secrets,
         "op7_quality_rules": q.op7_quality_rules,
         "op9_pii": q.op9_pii,

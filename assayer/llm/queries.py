@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.common import read
+from assayer.llm.packing import pack_documents
 from assayer.llm.pii import KINDS, find_pii, listed
 from assayer.llm.quality_rules import quality_rules
 from assayer.llm.secrets import BASE, find_secrets
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary lies on this machine and on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
