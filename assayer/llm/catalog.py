@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": q.op3_best_fit_packing,
         "op4_secrets": q.op4_secrets,
+        "op5_toxicity": q.op5_toxicity,
+        "op6_poisson_mixing": q.op6_poisson_mixing,
         "op7_quality_rules": q.op7_quality_rules,
         "op9_pii": q.op9_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": sql.quality_rules(), "op9_pii": sql.pii_spans()}
+    return {"op6_poisson_mixing": sql.poisson_mixing(), "op7_quality_rules": sql.quality_rules(), "op9_pii": sql.pii_spans()}

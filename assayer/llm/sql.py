@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import pii
+from assayer.llm import mixing, pii
 from assayer.llm import quality_rules as rules
 
 
@@ -81,3 +81,17 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (rid)
 """
+
+
+def poisson_mixing() -> str:
+    number = lambda text: f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / {float(1 << 52)!r})"
+    return f"""
+WITH c AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {mixing.POWER}) AS w FROM documents GROUP BY source),
+r AS (SELECT source, w / (sum(w) OVER ()) * (sum(n) OVER ()) / n AS rate FROM c),
+k AS (SELECT source, rate, unnest(range(CAST(ceil(rate + sqrt(rate) * 10 + 30) AS BIGINT) + 1)) AS k FROM r),
+cdf AS (SELECT source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p FROM k),
+u AS (SELECT *, {number(f"coalesce(doc_id::VARCHAR, '') || ':{mixing.SEED}'")} AS u FROM documents),
+n AS (SELECT u.*, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source AND cdf.p < u.u) AS n FROM u),
+e AS (SELECT *, unnest(range(1, n + 1)) AS copy FROM n)
+SELECT doc_id, text, lang, source, n_chars, copy, {number(f"coalesce(doc_id::VARCHAR, '') || ':' || copy || ':{mixing.SEED + 1}'")} AS shuffle_key FROM e
+"""
