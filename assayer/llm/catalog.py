@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": q.op5_toxicity,
         "op6_poisson_mixing": q.op6_poisson_mixing,
         "op7_quality_rules": q.op7_quality_rules,
+        "op8_line_crf_quality": q.op8_line_crf_quality,
         "op9_pii": q.op9_pii,
     }
 

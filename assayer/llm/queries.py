@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import toxicity
+from assayer.llm import line_quality, toxicity
 from assayer.llm.common import held_out, read
 from assayer.llm.mixing import mix
 from assayer.llm.packing import pack_documents
@@ -49,6 +49,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
+#: Documents below this score count as bad.
+QUALITY_LIMIT = 0.3
+
+
+def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_quality.fit(docs, read(spark, sf_dir, "labels"))
+    out = line_quality.score(docs, model, into="score")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_LIMIT).cast("int").alias("predicted"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long")
