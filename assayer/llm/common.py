@@ -59,3 +59,18 @@ def first_of_group(df: DataFrame, keys: list[str], order: Column, first: str, co
     for k, n in zip(keys, named, strict=True):
         on = on & F.col(k).eqNullSafe(F.col(n))
     return salted.join(back, on).drop(*named, "__s", salt, "__order")
+
+
+#: A group with more rows than this is dealt into SALTS parts when its rows meet what is known of the group.
+HOT = 500
+
+
+def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Left join of rows to one row for each group; both hold the group's `key` and its number of rows as `size`.
+
+    Rows of large groups are dealt into parts, and only such groups' rows of `groups` are copied to all of them."""
+    parts = lambda n: F.when(n > HOT, F.lit(SALTS)).otherwise(F.lit(1))
+    others = [c for c in groups.columns if c not in (key, size)]
+    copied = groups.select(F.col(key).alias("__key"), *others, F.explode(F.sequence(F.lit(0), parts(F.col(size)) - 1)).alias("__part"))
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "embedding"]), parts(F.col(size))).cast("int"))
+    return dealt.join(copied, (F.col(key) == F.col("__key")) & (F.col("__deal") == F.col("__part")), "left").drop("__key", "__part", "__deal")
