@@ -13,6 +13,7 @@ from assayer.llm import sql
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": q.op1_embedding_dedup,
+        "op2_line_chunk_dedup": q.op2_line_chunk_dedup,
         "op3_best_fit_packing": q.op3_best_fit_packing,
         "op4_secrets": q.op4_secrets,
         "op5_toxicity": q.op5_toxicity,

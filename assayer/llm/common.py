@@ -41,9 +41,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def first_of_group(df: DataFrame, keys: list[str], order: Column, first: str, count: str) -> DataFrame:
+def first_of_group(df: DataFrame, keys: list[str], order: Column, first: str, count: str, repeated_only: bool = False) -> DataFrame:
     """Attach to every row the least `order` value of the rows with the same keys, and how many they are.
 
+    With `repeated_only`, rows whose keys occur once are left out.
     Keys may hold a third of all rows: rows meet by (keys, salt) first, only one row for each salt meets by keys, and
     the way back is a join by (keys, salt) again. Null keys group together."""
     salt = "__salt"
@@ -51,6 +52,7 @@ def first_of_group(df: DataFrame, keys: list[str], order: Column, first: str, co
     salted = df.withColumn("__order", order).withColumn(salt, F.pmod(F.xxhash64("__order"), F.lit(SALTS)).cast("int"))
     part = salted.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col(salt).alias("__s")).agg(F.min("__order").alias("__f"), F.count(F.lit(1)).alias("__n"))
     whole = part.groupBy(*[F.col(n).alias(f"{n}w") for n in named]).agg(F.min("__f").alias(first), F.sum("__n").alias(count))
+    whole = whole.filter(F.col(count) > 1) if repeated_only else whole
     same = F.lit(True)
     for n in named:
         same = same & F.col(n).eqNullSafe(F.col(f"{n}w"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayer.llm import line_quality, toxicity
 from assayer.llm.common import held_out, read
 from assayer.llm.embedding_dedup import link_near
+from assayer.llm.line_dedup import remove_repeated
 from assayer.llm.mixing import mix
 from assayer.llm.packing import pack_documents
 from assayer.llm.pii import KINDS, find_pii, listed
@@ -19,6 +20,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_near(read(spark, sf_dir, "embeddings"))
 
 
+def op2_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated(read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary lies on this machine and on the executors."""
     import public_tokenizers
