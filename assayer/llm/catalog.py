@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from assayer.llm import queries as q
 from assayer.llm import sql
 
@@ -21,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": q.op7_quality_rules,
         "op8_line_crf_quality": q.op8_line_crf_quality,
         "op9_pii": q.op9_pii,
+        "op10_ngram_jaccard": q.op10_ngram_jaccard,
+        "pipeline": corpus_pipeline.run,
     }
 
 

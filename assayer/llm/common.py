@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a reliable checkpoint into the folder that spark.checkpoint.dir names, so that lost executors cost no recomputation.
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="assayer-shared-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from spark.checkpoint.dir. Only where that is unset (tests, a laptop) is one made here."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
-    Only where that setting is missing (tests, a laptop) is a folder made here."""
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a reliable checkpoint into the shared folder, so that lost executors cost no recomputation."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

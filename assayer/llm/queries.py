@@ -10,6 +10,7 @@ from assayer.llm.common import held_out, read
 from assayer.llm.embedding_dedup import link_near
 from assayer.llm.line_dedup import remove_repeated
 from assayer.llm.mixing import mix
+from assayer.llm.ngram_join import similar
 from assayer.llm.packing import pack_documents
 from assayer.llm.pii import KINDS, find_pii, listed
 from assayer.llm.quality_rules import quality_rules
@@ -75,3 +76,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long")
     counts = [of(k.name).alias(f"n_{k.name}") for k in KINDS if k.base]
     return out.select("doc_id", *counts, F.sha2(listed(F.col("pii"), base_only=True).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(read(spark, sf_dir, "documents")).drop("text_hash")
