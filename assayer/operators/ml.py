@@ -1,0 +1,111 @@
+"""K-means and Isolation Forest on QC features."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from assayer.functions.order import quantiles
+
+#: Rows that trees draw their samples from: a seeded sample of bounded size stands in for all rows.
+SAMPLE, POOL = 256, 256 * 20
+
+
+def kmeans(df: DataFrame, columns: list[str], k: int = 3, restarts: int = 10, seed: int = 42) -> DataFrame:
+    """Add CLUSTER: the cheapest of several runs, clusters numbered by their centres' order. Rows with a missing feature get none."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.col(c).isNotNull()
+    rows = VectorAssembler(inputCols=columns, outputCol="__x").transform(df.filter(ok))
+    if rows.isEmpty():
+        return df.withColumn("CLUSTER", F.lit(None).cast("int"))
+    rows = rows.cache()
+    best = min((KMeans(k=k, seed=seed + i, featuresCol="__x", predictionCol="__c").fit(rows) for i in range(restarts)), key=lambda m: m.summary.trainingCost)
+    order = sorted(range(len(best.clusterCenters())), key=lambda i: tuple(best.clusterCenters()[i]))
+    number = F.create_map(*[F.lit(x) for new, old in enumerate(order) for x in (old, new)])
+    found = best.transform(rows).select(*df.columns, number[F.col("__c")].alias("CLUSTER"))
+    return found.unionByName(df.filter(~ok).withColumn("CLUSTER", F.lit(None).cast("int")))
+
+
+@dataclass
+class Forest:
+    """Trees as arrays: feature (-1 in a leaf), threshold, left child (right is next), and path length reached in a leaf."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    length: np.ndarray
+    size: int
+    depth: int
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for f, t, left, length in zip(self.feature, self.threshold, self.left, self.length, strict=True):
+            at = np.zeros(len(x), dtype=np.int64)
+            for _ in range(self.depth):
+                inner = f[at] >= 0
+                column = np.where(inner, f[at], 0)
+                go = left[at] + (x[np.arange(len(x)), column] >= t[at])
+                at = np.where(inner, go, at)
+            total += length[at]
+        return 2.0 ** (-total / len(self.feature) / max(_average_path(self.size), 1e-12))
+
+
+def _average_path(n: int) -> float:
+    """Mean depth at which a search for a missing key ends in a random tree of n keys."""
+    if n <= 1:
+        return 0.0
+    return 1.0 if n == 2 else 2.0 * (np.log(n - 1) + np.euler_gamma) - 2.0 * (n - 1) / n
+
+
+def grow(pool: np.ndarray, trees: int, seed: int) -> Forest:
+    """Trees on samples without replacement, split at random between the extremes of a random feature that varies."""
+    size = min(SAMPLE, len(pool))
+    limit = int(np.ceil(np.log2(max(size, 2))))
+    width = 2 ** (limit + 1)
+    feature, threshold = np.full((trees, width), -1, dtype=np.int64), np.zeros((trees, width))
+    left, length = np.zeros((trees, width), dtype=np.int64), np.zeros((trees, width))
+    for k in range(trees):
+        rng = np.random.default_rng([seed, k])
+        todo, used = [(0, pool[rng.choice(len(pool), size, replace=False)], 0)], 1
+        while todo:
+            node, rows, depth = todo.pop()
+            low, high = rows.min(axis=0), rows.max(axis=0)
+            varies = np.flatnonzero(high > low)
+            if depth >= limit or len(rows) <= 1 or not len(varies):
+                length[k, node] = depth + _average_path(len(rows))
+                continue
+            f = int(rng.choice(varies))
+            cut = low[f] + (high[f] - low[f]) * (1 - rng.random())  # in (low, high], so both sides get rows
+            feature[k, node], threshold[k, node], left[k, node] = f, cut, used
+            todo += [(used, rows[rows[:, f] < cut], depth + 1), (used + 1, rows[rows[:, f] >= cut], depth + 1)]
+            used += 2
+    return Forest(feature, threshold, left, length, size, limit)
+
+
+def isolation_forest(df: DataFrame, row_id: str, columns: list[str], trees: int = 100, contamination: float = 0.05, seed: int = 42) -> DataFrame:
+    """Add IForestScore (higher: stranger) and IForestAnomaly to rows without missing features.
+
+    Rows whose score lies above the exact quantile that leaves `contamination` of them are anomalies. The pool that
+    trees draw from is chosen by a hash of the row id, so results do not depend on partitions."""
+    place = F.xxhash64(F.col(row_id), F.lit(seed))
+    pool = df.select(row_id, *columns).orderBy(place, row_id).limit(POOL).toPandas()
+    if pool.empty:
+        return df.withColumns({"IForestScore": F.lit(None).cast("double"), "IForestAnomaly": F.lit(None).cast("boolean")})
+    forest = df.sparkSession.sparkContext.broadcast(grow(pool.sort_values(row_id)[columns].to_numpy(dtype=np.float64), trees, seed))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(forest.value.score(x.to_numpy(dtype=np.float64)))
+
+    scored = df.withColumn("IForestScore", score(F.struct(*[F.col(c).cast("double") for c in columns]))).cache()
+    limit = quantiles(scored.select(F.lit(0).alias("__all"), "IForestScore"), ["__all"], F.col("IForestScore"), [1 - contamination]).select(F.col("quantile").alias("__limit"))
+    return scored.join(F.broadcast(limit), F.lit(True), "left").withColumn("IForestAnomaly", F.col("IForestScore") > F.col("__limit")).drop("__limit")

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from assayer.plans import queries as q
+from assayer.plans.sql import CHARTS, ORACLES
+
+#: Queries whose results depend on a trained model, so SQL has no equal.
+MODELS = ("kmeans_clusters", "cluster_profile", "cluster_by_status", "iforest_scores", "anomaly_counts", "anomalies_by_sample_type", "value_trend", "anomaly_by_status", "anomaly_list", "chart_clusters")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {k: getattr(q, k) for k in (*ORACLES, *MODELS)}
+    found |= {chart: getattr(q, k) for chart, k in CHARTS.items()}
+    return found | {"chart_anomalies_by_type": q.anomalies_by_sample_type}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES | {chart: ORACLES[k] for chart, k in CHARTS.items()}
