@@ -24,71 +24,108 @@ END = 0
 #: Parts that the pieces of one length are numbered in.
 PARTS = 512
 #: Words whose ids a task keeps; beyond it the memory of words starts anew.
-KNOWN_WORDS = 400_000
-#: Texts are tokenised so many characters at a time, to bound memory.
-BATCH_CHARS = 4_000_000
+KNOWN_WORDS = 300_000
+#: Texts are tokenised about so many characters at a time, to bound memory.
+BATCH_CHARS = 1_000_000
+#: Signs that end many words. The vocabulary splits letters from such a run, so both parts are tokenised by themselves.
+ENDINGS = ".,;:!?)*$%&#"
+#: Strings around this are tokens of their own to the tokenizer, in just this spelling.
+SPECIAL = "<|"
 
 
 class Tokens:
-    """Token ids of whole texts. The vocabulary drops white space before it splits, so a text's ids are those of its words
-    one after the other, and a word is tokenised once for many occurrences."""
+    """Token ids of whole texts. The vocabulary ignores case and drops white space before it splits, so a text's ids are those of
+    its words one after the other, and a word is tokenised once for many occurrences."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.places: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def of(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text; null texts have none. Only ASCII space and line feed part words here; the tokenizer sees to the rest."""
-        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
-        flat = pc.dictionary_encode(parts.flatten())
-        if isinstance(flat, pa.ChunkedArray):
-            flat = flat.combine_chunks()
-        words = flat.dictionary.to_pylist()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Keep nothing but the empty word, which has no ids."""
+        self.places: dict[str, int] = {"": 0}
+        self.pool, self.starts, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+
+    def encode(self, words: list[str]) -> None:
+        """Learn the ids of new words. Words of letters alone end at the only token that ends a word, so many go in one call."""
+        letters, others = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(letters):
+                self.keep(letters, ids, np.diff(ends, prepend=0))
+            else:
+                others = words
+        if others:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+            self.keep(others, np.array([i for e in each for i in e], dtype="<u4"), np.array([len(e) for e in each], dtype=np.int64))
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Places of the two parts of each word, learning those that are new: letters and the signs after them, or all and nothing."""
         if len(self.places) > KNOWN_WORDS:
-            self.places, self.ids = {}, []
-        fresh = [w for w in words if w not in self.places]
-        for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.places[w] = len(self.ids)
-            self.ids.append(np.array(e.ids, dtype="<u4"))
-        mine = [self.ids[self.places[w]] for w in words]
-        sizes = np.array([len(x) for x in mine], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(mine) else np.zeros(0, np.int64)
-        pool = np.concatenate(mine) if mine else np.zeros(0, "<u4")
-        index = flat.indices.to_numpy(zero_copy_only=False)
-        bounds = parts.offsets.to_numpy(zero_copy_only=False) - parts.offsets[0].as_py()
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            own = index[a:b]
-            n = sizes[own]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.arange(total) - np.repeat(ends - n, n) + np.repeat(starts[own], n)
-            out.append(pool[at])
-        return out
+            self.forget()
+        parts = []
+        for w in words:
+            core = w.rstrip(ENDINGS)
+            parts += (w, "") if core is w or not core.isalpha() else (core, w[len(core) :])
+        places = self.places
+        self.encode(list(dict.fromkeys(x for x in parts if x not in places)))
+        return np.fromiter(map(places.__getitem__, parts), dtype=np.int64, count=len(parts)).reshape(-1, 2)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin and end. Only ASCII space and line feed part words
+        here; the tokenizer sees to the rest. Null texts have no ids."""
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, SPECIAL)
+        plain = pc.if_else(special, "", pc.ascii_lower(texts))
+        parts = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        flat = pc.dictionary_encode(parts.flatten())
+        place = self.learn(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)].ravel()
+        n = self.sizes[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.starts[place], n)
+        ids = self.pool[at]
+        bounds = ends[2 * (parts.offsets.to_numpy(zero_copy_only=False) - parts.offsets[0].as_py())]
+        if pc.any(special).as_py():
+            each = np.split(ids, bounds[1:-1])
+            for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+                each[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, dtype="<u4")
+            ids, bounds = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        return ids, bounds
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids and a final 0, cut every `capacity` ids."""
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    end = np.array([END], dtype="<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(tokenizer_path)
         for batch in batches:
             size = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             group = np.cumsum(size) // BATCH_CHARS
-            for g in np.unique(group):
-                rows = np.flatnonzero(group == g)
+            for rows in np.split(np.arange(len(size)), np.flatnonzero(np.diff(group)) + 1):
+                if not len(rows):
+                    continue
                 part = batch.slice(int(rows[0]), len(rows))
-                out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-                for d, ids in zip(part.column(0).to_pylist(), tokens.of(part.column(1)), strict=True):
-                    ids = np.append(ids, np.uint32(END)).astype("<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start : start + capacity]
-                        for c, v in zip(out, (d, k, start, len(own), zlib.crc32(own.tobytes())), strict=True):
-                            out[c].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+                ids, bounds = tokens.of(part.column(1))
+                data, out = memoryview(ids.tobytes()), []
+                for d, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    total = b - a + 1
+                    for k, start in enumerate(range(0, total, capacity)):
+                        last = min(start + capacity, total)
+                        crc = zlib.crc32(data[4 * (a + start) : 4 * min(a + last, b)])
+                        out.append((d, k, start, last - start, zlib.crc32(end, crc) if last == total else crc))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
