@@ -61,7 +61,7 @@ def window_entropies(s: str, window: int) -> Iterator[tuple[int, list[int], list
 
     Counts change by one character in and one out, and with them n log2 n sums: constant work for each step."""
     codes = s.encode()
-    log = [0.0] + [n * float(np.log2(n)) for n in range(1, window + 1)]
+    log = [0.0] + [n * float(np.log2(n)) for n in range(1, window + 2)]  # a window holds one more while it moves
     counts, total, weight = [0] * 128, [0] * 4, [0.0] * 4
     for i, c in enumerate(codes):
         k = _CLASS_OF[c]
