@@ -43,11 +43,14 @@ def normalise(results: DataFrame) -> DataFrame:
     )
 
 
-def impute_expected(df: DataFrame) -> DataFrame:
-    """Expected value: target, else parent, else the median value of analyte and sample type, of the analyte, of all rows."""
-    by_both = medians(df, ["Analyte", "SampleType"], F.col("Value"), "__m2")
-    by_one = medians(df, ["Analyte"], F.col("Value"), "__m1")
-    of_all = medians(df.select(F.lit(0).alias("__all"), "Value"), ["__all"], F.col("Value"), "__m0").select("__m0")
+def impute_expected(df: DataFrame, medians_of: DataFrame | None = None) -> DataFrame:
+    """Expected value: target, else parent, else the median value of analyte and sample type, of the analyte, of all rows.
+
+    Medians are those of another table if given: the whole one, where `df` is a part of it with more columns."""
+    whole = df if medians_of is None else medians_of
+    by_both = medians(whole, ["Analyte", "SampleType"], F.col("Value"), "__m2")
+    by_one = medians(whole, ["Analyte"], F.col("Value"), "__m1")
+    of_all = medians(whole.select(F.lit(0).alias("__all"), "Value"), ["__all"], F.col("Value"), "__m0").select("__m0")
     joined = df.join(by_both, ["Analyte", "SampleType"], "left").join(by_one, "Analyte", "left").join(F.broadcast(of_all), F.lit(True), "left")
     return joined.withColumn("ExpectedValue", F.coalesce("ExpectedValue", "ParentValue", "__m2", "__m1", "__m0")).select(*df.columns)
 
@@ -112,9 +115,9 @@ def risk_level(score):
     return F.when((score > -0.01) & (score <= 30), "Low").when((score > 30) & (score <= 60), "Medium").when((score > 60) & (score <= 100), "High")
 
 
-def risk_score(df: DataFrame) -> DataFrame:
-    """The sum of five capped components, 0 to 100, and its level."""
-    scale = F.broadcast(df.agg(F.greatest(F.stddev_samp("RollingStd"), F.lit(1.0)).alias("__scale")))
+def risk_score(df: DataFrame, scale_of: DataFrame | None = None) -> DataFrame:
+    """The sum of five capped components, 0 to 100, and its level. `scale_of` may be a cheaper table with the same RollingStd."""
+    scale = F.broadcast((df if scale_of is None else scale_of).agg(F.greatest(F.stddev_samp("RollingStd"), F.lit(1.0)).alias("__scale")))
     gap = F.when(F.col("SampleType") == SPIKE, F.abs(F.coalesce("RecoveryPct", F.lit(100.0)) - 100)).otherwise(F.lit(0.0))
     parts = (
         clip(F.abs("DeviationPct"), 0, 40) / 40 * 30
@@ -128,8 +131,11 @@ def risk_score(df: DataFrame) -> DataFrame:
 
 
 def assess(results: DataFrame) -> DataFrame:
-    """All of the above."""
-    return prepare(results).transform(deviation_features).transform(rolling_features).transform(traffic_light).transform(risk_score)
+    """All of the above. Windows come before imputation, which they do not need, so that their statistics read the scan alone."""
+    base = normalise(results)
+    rolled = rolling_features(drop_incomplete(base))
+    full = derive_limits(impute_expected(rolled, medians_of=base))
+    return full.transform(deviation_features).transform(traffic_light).transform(lambda df: risk_score(df, scale_of=rolled))
 
 
 def risk_summary(df: DataFrame) -> DataFrame:

@@ -95,8 +95,7 @@ def qc_risk_by_sample_type(spark, d):
 
 
 def feature_imputed(spark, d):
-    df = _ruled(spark, d).transform(pipeline.deviation_features).transform(pipeline.rolling_features)
-    return _r(pipeline.imputed_features(df), list(pipeline.FEATURES))
+    return _r(pipeline.imputed_features(_assessed(spark, d)), list(pipeline.FEATURES))
 
 
 # precision
