@@ -17,6 +17,8 @@ from assayer.llm.common import held_out
 
 #: Bounds of what is fitted on: rows of each label, and lines of each row. Scoring always takes whole texts.
 FIT_ROWS, FIT_LINES = 2_000, 64
+#: Rows of the fit that are measured at a time, to bound the driver's memory.
+FIT_CHUNK = 100
 BINS = 8
 #: Characters measured, and padded line slots scored, at a time, to bound memory.
 CHUNK_CHARS, CHUNK_SLOTS = 2_000_000, 200_000
@@ -186,11 +188,13 @@ def fit_lines(texts: list[str], labels: list[int]) -> Model:
     """Fit on whole-document labels: lines start with their document's label; then lines of bad documents that look good to
     the first model count as good (each bad document keeps its worst line), and the model is fitted anew."""
     width = 3 * len(MEASURES) * (BINS + 1)
+    texts = ["\n".join(t.split("\n", FIT_LINES)[:FIT_LINES]) for t in texts]
     if not texts or len(set(labels)) < 2:
         share = (sum(labels) + 1) / (len(labels) + 2)
         flat = float(np.log(share / (1 - share)))
         return Model(np.zeros((len(MEASURES), BINS - 1)), np.zeros(width), np.array([0.0, flat]), np.array([[0.0, flat], [0.0, flat]]))
-    measures, _, n_lines = measure(["\n".join(t.split("\n")[:FIT_LINES]) for t in texts])
+    parts = [measure(texts[i : i + FIT_CHUNK]) for i in range(0, len(texts), FIT_CHUNK)]
+    measures, n_lines = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
     edges = np.stack([np.quantile(measures[:, k], np.arange(1, BINS) / BINS) for k in range(len(MEASURES))])
     bad_lines = np.repeat(np.array(labels) == 0, n_lines)
     for k in range(len(MEASURES)):  # as many edges again from what is rare among all lines but common in bad ones

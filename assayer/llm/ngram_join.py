@@ -20,7 +20,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: Trees of the forest, the longest prefix of a tree's signature, and the recall that prefixes are shortened for.
 TREES, DEPTH, RECALL = 32, 10, 0.999
 #: A task compares texts of about so many shingles and at most so many texts on either side.
-BLOCK_SHINGLES, BLOCK_TEXTS, COLUMNS = 200_000, 1_024, 4_096
+BLOCK_SHINGLES, BLOCK_TEXTS, COLUMNS = 200_000, 256, 4_096
 BATCH_CHARS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,6 +159,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "size", "keys"])
 
     signed = source.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", "fp").mapInArrow(sign, "doc_id long, fp string, size long, keys array<long>")
+    signed = cut(signed)  # it is read more than once
     rows = cut(first_of_group(signed, ["fp"], F.col("doc_id"), "rep", "copies"))
     # the checkpoint fixes these ids
     nodes = cut(rows.filter((F.col("doc_id") == F.col("rep")) & (F.col("size") > 0)).dropDuplicates(["fp"]).select(F.monotonically_increasing_id().alias("node"), "rep", "fp", "copies", "size", "keys"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.numeric import clip, mentions, ratio, rounded
 from assayer.functions.order import medians, rolling
+from assayer.functions.shared import cut, small_side
 
 # Sample types as exports name them, and as reports do.
 SAMPLE_TYPES = {"Replicate": "Duplicate samples", "Duplicate": "Duplicate samples", "Blank": "Blank samples", "Standard": "Standard samples"}
@@ -48,10 +49,15 @@ def impute_expected(df: DataFrame, medians_of: DataFrame | None = None) -> DataF
 
     Medians are those of another table if given: the whole one, where `df` is a part of it with more columns."""
     whole = df if medians_of is None else medians_of
-    by_both = medians(whole, ["Analyte", "SampleType"], F.col("Value"), "__m2")
-    by_one = medians(whole, ["Analyte"], F.col("Value"), "__m1")
-    of_all = medians(whole.select(F.lit(0).alias("__all"), "Value"), ["__all"], F.col("Value"), "__m0").select("__m0")
-    joined = df.join(by_both, ["Analyte", "SampleType"], "left").join(by_one, "Analyte", "left").join(F.broadcast(of_all), F.lit(True), "left")
+    level = lambda n, analyte, kind: F.struct(F.lit(n).alias("level"), analyte.alias("a"), kind.alias("t"))
+    none, analyte = F.lit(""), F.col("Analyte")
+    keyed = whole.select("Value", F.explode(F.array(level(2, analyte, F.col("SampleType")), level(1, analyte, none), level(0, none, none))).alias("k")).select("k.*", "Value")
+    # a row for each analyte and sample type at most, and some more
+    table = small_side(cut(medians(keyed, ["level", "a", "t"], F.col("Value"), "m")))
+    by_both = table.filter("level = 2").select(F.col("a").alias("Analyte"), F.col("t").alias("SampleType"), F.col("m").alias("__m2"))
+    by_one = table.filter("level = 1").select(F.col("a").alias("Analyte"), F.col("m").alias("__m1"))
+    of_all = table.filter("level = 0").select(F.col("m").alias("__m0"))
+    joined = df.join(by_both, ["Analyte", "SampleType"], "left").join(by_one, "Analyte", "left").join(of_all, F.lit(True), "left")
     return joined.withColumn("ExpectedValue", F.coalesce("ExpectedValue", "ParentValue", "__m2", "__m1", "__m0")).select(*df.columns)
 
 

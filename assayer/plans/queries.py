@@ -75,7 +75,8 @@ def qc_features(spark, d):
 
 
 def qc_rolling(spark, d):
-    return _r(pipeline.rolling_features(_prepared(spark, d)).select("row_id", "RollingMean", "RollingStd"), ["RollingMean", "RollingStd"])
+    rows = pipeline.drop_incomplete(pipeline.normalise(_results(spark, d)))
+    return _r(pipeline.rolling_features(rows).select("row_id", "RollingMean", "RollingStd"), ["RollingMean", "RollingStd"])
 
 
 def qc_risk_scores(spark, d):
