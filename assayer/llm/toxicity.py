@@ -75,7 +75,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk estimate with the logistic loss.
 
     The risk of the negative class is estimated as that of the unlabelled texts less prior times that of the positive ones
