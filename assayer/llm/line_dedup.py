@@ -1,20 +1,23 @@
-"""Line dedup: rolling hashes over line hashes cut texts into chunks of lines; chunks seen before anywhere are removed."""
+"""Line dedup: hashes of all short windows of lines find every passage of lines that was seen before anywhere, whatever stands
+around it; `chunks` cut by rolling hashes give the coarser `remove_repeated`, which only finds what falls in step."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut, first_of_group
+from assayer.llm.common import cut, first_of_group, let
 
 #: A chunk ends after a line where the rolling hash of the last WINDOW line hashes is divisible by DIVISOR, once it has LEAST
 #: lines, and at MOST lines at the latest. LEAST is 2: a repeated single line is no passage.
 WINDOW, DIVISOR, LEAST, MOST = 2, 2, 2, 16
+#: A line of more words than this is a passage by itself.
+LONG = 50
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -37,6 +40,18 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
 
 def find_chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, text_hash, start, lines, h1, h2 of every chunk of two lines or more; h1 and h2 are 128 bits of its bytes."""
+    return _find(docs, doc_id, text, lambda lines: [(a, n) for a, n in chunks(lines) if n >= LEAST] if len(lines) >= LEAST else [])
+
+
+def windows(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, number of lines) of all windows of LEAST lines, and of all lines of more than LONG words.
+
+    Every passage of LEAST lines or more is a union of such windows, so it is found whole whatever stands before and after it."""
+    out = [(i, LEAST) for i in range(len(lines) - LEAST + 1)]
+    return out + [(i, 1) for i, x in enumerate(lines) if len(x) > 2 * LONG and len(x.split()) > LONG]
+
+
+def _find(docs: DataFrame, doc_id: str, text: str, parts: Callable[[list[bytes]], list[tuple[int, int]]]) -> DataFrame:
     schema = pa.schema([("__id", pa.int64()), ("__text", pa.int64()), ("start", pa.int32()), ("lines", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,12 +60,9 @@ def find_chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             digests = []
             for d, h, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 lines = (t or "").encode().split(b"\n")
-                if len(lines) < LEAST:
-                    continue
-                for start, n in chunks(lines):
-                    if n >= LEAST:
-                        out.append((d, h, start, n))
-                        digests.append(xxhash.xxh3_128_digest(b"\n".join(lines[start : start + n])))
+                for start, n in parts(lines):
+                    out.append((d, h, start, n))
+                    digests.append(xxhash.xxh3_128_digest(b"\n".join(lines[start : start + n])))
             if out:
                 both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)], pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
@@ -67,26 +79,57 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     `removed_lines`; lines that stay keep their order and bytes. Null text stays null, single-line and empty texts stay as they
     are. Rows equal in id and text are one document and get one result each. Empty table: empty result. Columns
     named like the added ones are replaced; other columns pass through."""
-    found = cut(find_chunks(docs, doc_id, text))
+    return _remove(docs, doc_id, text, find_chunks(docs, doc_id, text)).withColumn("removed_chunks", F.col("__parts")).drop("__parts")
+
+
+def remove_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Remove from each text every line that belongs to a passage which an earlier document, or an earlier place of the same one
+    that it does not overlap, holds already. A passage is LEAST neighbouring lines or more, or one line of more than LONG words.
+
+    Earlier is by doc_id (null first), then place, in the texts as given. The bytes of all windows of a hash are compared before
+    any goes, and where they differ nothing of that hash is removed. What is removed stands line by line in places that stay.
+    Adds `removed_chunks`, how many unbroken runs of lines went, and `removed_lines`. Rows, nulls and columns are treated as in
+    `remove_repeated`; of single-line texts, those of more than LONG words can go."""
+    return _remove(docs, doc_id, text, _find(docs, doc_id, text, windows)).drop("__parts")
+
+
+def _remove(docs: DataFrame, doc_id: str, text: str, found: DataFrame) -> DataFrame:
+    """docs without the repeated ones of the `found` parts, with removed_chunks (runs of lines), removed_lines and __parts."""
+    found = cut(found)
     place = F.struct("__id", "__text", "start")
     seen = first_of_group(found, ["h1", "h2"], place, "first", "n", repeated_only=True)
-    own = seen.select("__id", "__text", F.struct("start", "lines", "h1", "h2", (place == F.col("first")).alias("first")).alias("chunk"))
+    # a window that overlaps its own first place repeats nothing: of equal lines in a row, the first LEAST stay
+    overlaps = F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__text") == F.col("first.__text")) & (F.col("start") < F.col("first.start") + F.col("lines"))
+    own = seen.select("__id", "__text", F.struct("start", "lines", "h1", "h2", overlaps.alias("first")).alias("chunk"))
     marks = cut(own.groupBy("__id", "__text").agg(F.collect_set("chunk").alias("__chunks")))
     kept = [c for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
     rows = docs.select(*kept).withColumn("__hash", F.xxhash64(text))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
     one = F.col("c")
-    bytes_of = F.array_join(F.slice(F.split(F.col(text), "\n", -1), one["start"] + 1, one["lines"]), "\n")
-    compared = rows.select(doc_id, text, "__hash").join(marks, same).select(text, F.explode("__chunks").alias("c")).select(one["h1"].alias("h1"), one["h2"].alias("h2"), bytes_of.alias("bytes"))
+    bytes_of = lambda lines, c: F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"), F.array_join(F.slice(lines, c["start"] + 1, c["lines"]), "\n").alias("bytes"))
+    parts = let(F.split(F.col(text), "\n", -1), lambda lines: F.transform("__chunks", lambda c: bytes_of(lines, c)))
+    compared = rows.select(doc_id, text, "__hash").join(marks, same).select(F.inline(parts))
     unequal = compared.groupBy("h1", "h2").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).filter("low <> high").select("h1", "h2")
     gone = marks.select("__id", "__text", F.explode(F.filter("__chunks", lambda c: ~c["first"])).alias("c")).select("__id", "__text", one["start"].alias("start"), one["lines"].alias("lines"), one["h1"].alias("h1"), one["h2"].alias("h2"))
     sure = gone.join(unequal, ["h1", "h2"], "left_anti").groupBy("__id", "__text").agg(F.collect_list(F.struct("start", "lines")).alias("__gone"))
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.exists("__gone", lambda g: (i >= g["start"]) & (i < g["start"] + g["lines"])))
-    out = rows.join(sure, same, "left").withColumns(
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["start"] + g["lines"] - 1)))))
+    # runs of removed lines: their first lines, and their last
+    edges = lambda at: F.struct(F.size(at).alias("n"), F.filter(at, lambda x, i: F.coalesce(F.get(at, i - 1) < x - 1, F.lit(True))).alias("a"), F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) > x + 1, F.lit(True))).alias("b"))
+    runs = sure.select("__id", "__text", F.size("__gone").alias("__parts"), let(numbers, edges).alias("__runs"))
+    r = F.col("__runs")
+
+    def rest(lines: Column) -> Column:
+        """The lines before the first run, between runs and after the last."""
+        start = lambda k: F.coalesce(F.get(r["b"], k - 1) + 1, F.lit(0))
+        end = lambda k: F.coalesce(F.get(r["a"], k), F.size(lines))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(r["a"])), lambda k: F.slice(lines, start(k) + 1, end(k) - start(k))))
+
+    out = rows.join(runs, same, "left").withColumns(
         {
-            text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n")),
-            "removed_chunks": F.coalesce(F.size("__gone"), F.lit(0)),
-            "removed_lines": F.coalesce(F.aggregate("__gone", F.lit(0), lambda a, g: a + g["lines"]), F.lit(0)),
+            text: F.when(r.isNull(), F.col(text)).otherwise(F.array_join(let(F.split(F.col(text), "\n", -1), rest), "\n")),
+            "removed_chunks": F.when(r.isNull(), 0).otherwise(F.size(r["a"])),
+            "removed_lines": F.coalesce(r["n"], F.lit(0)),
+            "__parts": F.coalesce("__parts", F.lit(0)),
         }
     )
-    return out.select(*kept, F.greatest("removed_chunks", F.lit(0)).alias("removed_chunks"), "removed_lines")
+    return out.select(*kept, "removed_chunks", "removed_lines", "__parts")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayer.llm import line_quality, toxicity
 from assayer.llm.common import held_out, read
 from assayer.llm.embedding_dedup import link_near
-from assayer.llm.line_dedup import remove_repeated
+from assayer.llm.line_dedup import remove_runs
 from assayer.llm.mixing import mix
 from assayer.llm.ngram_join import similar
 from assayer.llm.packing import pack_documents
@@ -22,7 +22,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated(read(spark, sf_dir, "documents"))
+    return remove_runs(read(spark, sf_dir, "documents"))
 
 
 def tokenizer_path() -> str:

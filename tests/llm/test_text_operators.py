@@ -326,6 +326,55 @@ def test_equal_hashes_of_unequal_bytes_remove_nothing(spark, monkeypatch):
     assert [r["text"] for r in rows] == texts
 
 
+def brute_runs(docs):
+    """Lines of windows of two lines, or of one of over 50 words, that stand at an earlier place; found without chunks()."""
+    first, out = {}, []
+    for d, t in enumerate(docs):
+        lines = [] if t is None else t.split("\n")
+        gone = [False] * len(lines)
+        for n in (2, 1):
+            for i in range(len(lines) - n + 1):
+                part = tuple(lines[i : i + n])
+                if n == 1 and len(part[0].split()) <= 50:
+                    continue
+                seen = first.setdefault(part, (d, i))
+                if seen[0] < d or i - seen[1] >= n:
+                    gone[i : i + n] = [True] * n
+        runs = sum(g and not before for g, before in zip(gone, [False, *gone], strict=False))
+        out.append((None if t is None else "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), runs, sum(gone)))
+    return out
+
+
+def test_runs_match_brute_force_without_chunks(spark):
+    rng = np.random.default_rng(14)
+    texts = [*EDGES, "a\nb", "z\na\nb\ny", "\n".join(["r"] * 40), "r\nr\nr", "p\nq\np\nq\np", "é\nü", "x\né\nü"]
+    long = " ".join(f"w{i}" for i in range(51))
+    texts += [f"s\n{long}\nt", f"u\n{long}\nv", long, f"{long[:-4]}\ni", f"j\n{long[:-4]}"]
+    passages = [[f"passage {n} {i}" for i in range(n)] for n in range(1, 12) for _ in range(2)]
+    for i in range(150):
+        text = []
+        for k in range(rng.integers(1, 4)):
+            text += [f"own {i} {k} {j}" for j in range(rng.integers(0, 3))] + passages[rng.integers(len(passages))]
+        texts.append("\n".join(text))
+    texts += ["\n".join(str(v) for v in rng.integers(0, 6, rng.integers(1, 30))) for _ in range(60)]
+    rows = line_dedup.remove_runs(documents(spark, texts).withColumn("removed_lines", F.lit("x"))).orderBy("doc_id").collect()
+    assert [(r["text"], r["removed_chunks"], r["removed_lines"]) for r in rows] == brute_runs(texts)
+
+
+def test_passages_of_every_length_go_between_unlike_neighbours(spark):
+    texts = [f"before {n} {k}\n" + "\n".join(f"passage {n} line {i}" for i in range(n)) + f"\nafter {n} {k}" for n in range(2, 20) for k in range(2)]
+    rows = line_dedup.remove_runs(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows[0::2]] == texts[0::2]
+    assert [r["text"] for r in rows[1::2]] == [f"before {n} 1\nafter {n} 1" for n in range(2, 20)]
+
+
+def test_runs_of_equal_hashes_and_unequal_bytes_stay(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_find", lambda docs, doc_id, text, parts: _colliding(docs, doc_id, text))
+    texts = ["aa\nbb", "cc\ndd", "aa\nbb"]
+    rows = line_dedup.remove_runs(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["text"], r["removed_chunks"], r["removed_lines"]) for r in rows] == [(t, 0, 0) for t in texts]
+
+
 def _colliding(docs, doc_id, text):
     return docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__text"), F.lit(0).alias("start"), F.lit(2).alias("lines"), F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2"))
 
