@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from assayer.llm import line_dedup, mixing, packing, pii, quality_rules, secrets
 from assayer.llm.queries import tokenizer_path
 
@@ -368,6 +369,15 @@ def test_passages_of_every_length_go_between_unlike_neighbours(spark):
     assert [r["text"] for r in rows[1::2]] == [f"before {n} 1\nafter {n} 1" for n in range(2, 20)]
 
 
+def test_exact_copies_of_every_length_leave_no_fragment(spark):
+    whole = ["\n".join(f"text {n} line {i} of some words" for i in range(n)) for n in range(2, 41)] + [" ".join(f"w{i}" for i in range(60))]
+    short = "one short line of text"
+    docs = documents(spark, [*whole, short, *whole, short])
+    left = corpus_pipeline.line_dedup(spark, docs, "")
+    assert [r["text"] for r in left.orderBy("doc_id").collect()] == [*whole, short, short]
+    assert [r["text"] for r in corpus_pipeline.ngram_join(spark, left.filter(F.col("n_chars") < 30), "").collect()] == [short]
+
+
 def test_runs_of_equal_hashes_and_unequal_bytes_stay(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_find", lambda docs, doc_id, text, parts: _colliding(docs, doc_id, text))
     texts = ["aa\nbb", "cc\ndd", "aa\nbb"]
