@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes families of texts, exact shingle sets decide every link."""
+"""N-gram Jaccard join: fixed bands of MinHash values propose families of texts, exact shingle sets decide every link."""
 
 from __future__ import annotations
 
