@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,7 @@ FAST_HEX = re.compile("[0-9a-f]{16,}")
 FAST_ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 ASSIGN_HINT = re.compile("passw|secret|token|api_?key", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile("[A-Za-z0-9]+")
 ORDER = {k: i for i, k in enumerate([*BASE, "entropy"])}
 
 #: Character classes, each with the alphabet it is drawn from; the classes of a window are those of its characters.
@@ -38,7 +39,7 @@ _CLASS_OF[ord("0") : ord("9") + 1] = 2
 @dataclass(frozen=True)
 class Rules:
     """Window length in characters; least entropy in bits of the characters of each class inside a window, for classes with at
-    least `least` characters there; how many classes must reach theirs."""
+    least `least` characters there; how many classes must reach theirs. `allow` spares whole candidates, the others only windows."""
 
     window: int = 20
     lower: float = 2.2
@@ -51,9 +52,11 @@ class Rules:
         r"^[A-Za-z]+(?:[-_/=+][A-Za-z]+)*$",  # words joined by signs
         r"^[0-9]+(?:[-_/][0-9]+)*$",  # numbers and dates
         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # public identifiers
-        r"(?i)example|sample|placeholder|dummy|changeme|xxxx",
-        r"^(?:https?|www|/[a-z])",  # addresses and paths
     )
+    #: Parts between signs that no window may touch; starts of addresses and paths; their parts that are no secret, a word or a number.
+    words: str = r"(?i:example|sample|placeholder|dummy|changeme|xxxx)"
+    path: str = r"https?|www|/[a-z]"
+    plain: str = r"[A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*|[0-9]+[a-z]?"
 
 
 def window_entropies(s: str, window: int) -> Iterator[tuple[int, list[int], list[float]]]:
@@ -78,8 +81,19 @@ def window_entropies(s: str, window: int) -> Iterator[tuple[int, list[int], list
             yield i - window + 1, total, [(log[n] - w) / n if n else 0.0 for n, w in zip(total, weight, strict=True)]
 
 
+def spared_windows(s: str, rules: Rules) -> Callable[[int], bool]:
+    """Whether the window from a place of a candidate touches a part with a word for examples, or holds nothing but a path's plain parts."""
+    word, odd = np.zeros(len(s) + 1, dtype=np.int64), np.zeros(len(s) + 1, dtype=np.int64)
+    for m in PART.finditer(s):
+        word[m.start() + 1 : m.end() + 1] = re.search(rules.words, m.group()) is not None
+        odd[m.start() + 1 : m.end() + 1] = re.fullmatch(rules.plain, m.group()) is None
+    word, odd = word.cumsum().tolist(), odd.cumsum().tolist()
+    path, n = re.match(rules.path, s) is not None, rules.window
+    return lambda i: word[i + n] > word[i] or path and odd[i + n] == odd[i]
+
+
 def entropy_spans(text: str, rules: Rules, allowed: re.Pattern | None) -> list[tuple[str, int, int]]:
-    """Unions of the windows of a candidate string that reach the limits, unless the allow-list knows the candidate."""
+    """Unions of the windows of a candidate string that reach the limits, unless the allow-list knows the candidate or the window."""
     limits = (rules.lower, rules.upper, rules.digit, rules.symbol)
     out = []
     for m in CANDIDATE.finditer(text):
@@ -87,8 +101,13 @@ def entropy_spans(text: str, rules: Rules, allowed: re.Pattern | None) -> list[t
         if len(s) < rules.window or allowed is not None and allowed.search(s):
             continue
         start = end = -1
+        spared = None
         for i, total, bits in window_entropies(s, rules.window):
             if sum(n >= rules.least and b >= x for n, b, x in zip(total, bits, limits, strict=True)) >= rules.classes:
+                if allowed is not None:
+                    spared = spared or spared_windows(s, rules)
+                    if spared(i):
+                        continue
                 if start >= 0 and i > end:
                     out.append(("entropy", m.start() + start, m.start() + end))
                     start = -1

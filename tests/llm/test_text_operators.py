@@ -166,6 +166,16 @@ def test_entropy_finds_keys_and_spares_the_allowed():
         assert not secrets.entropy_spans(t, secrets.Rules(), allowed)
 
 
+def test_allowed_words_and_paths_hide_no_key_beside_them(spark):
+    key = "9aB3xZ7qLm2Wp5Rt8Yv1Kd4"
+    keys = [f"/v1/hooks/{key}", f"sample_key={key}", f"{key}/example", f"/a{key}+Qz7/Lk2"]
+    none = ["/srv/Archive2019/Reports12345/index", f"EXAMPLE{key}", f"/v1/dummy{key}", "www-Archive2019-reports12345"]
+    rows = secrets.find_secrets(documents(spark, keys + none)).orderBy("doc_id").collect()
+    found = [[r["text"][s["start"] : s["end"]] for s in r["secrets"] if s["kind"] == "entropy"] for r in rows]
+    assert all(len(f) == 1 and key in f[0] and "sample" not in f[0] and "example" not in f[0] for f in found[:4])
+    assert found[4:] == [[]] * 4
+
+
 # personal data
 
 
