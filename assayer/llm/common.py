@@ -6,11 +6,13 @@ import tempfile
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Parts that a hot key is dealt into before rows of one key meet.
 SALTS = 64
+_MIX = np.random.default_rng(5).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,3 +87,15 @@ def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> D
     copied = groups.select(F.col(key).alias("__key"), *others, F.explode(F.sequence(F.lit(0), parts(F.col(size)) - 1)).alias("__part"))
     dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "embedding"]), parts(F.col(size))).cast("int"))
     return dealt.join(copied, (F.col(key) == F.col("__key")) & (F.col("__deal") == F.col("__part")), "left").drop("__key", "__part", "__deal")
+
+
+def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the ascending, disjoint ranges of bytes or code points."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    n = ends - starts
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    values = (codes[within + np.repeat(starts, n)].astype(np.uint64) + np.uint64(1)) * (_MIX[within % 4096] + (within // 4096).astype(np.uint64) * np.uint64(2))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
+    at = np.concatenate([[0], np.cumsum(n)])
+    return (total[at[1:]] - total[at[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import held_out
+from assayer.llm.common import held_out, range_hashes
 
 #: Bounds of what is fitted on: rows of each label, and lines of each row. Scoring always takes whole texts.
 FIT_ROWS, FIT_LINES = 2_000, 64
@@ -40,19 +40,6 @@ for _s in "#*$%&|<>=~^_\\@{}[]+/":
     _CLASS[ord(_s)] = _SYMBOL
 for _s in ".,;:!?()\"'-":
     _CLASS[ord(_s)] = _POINT
-_MIX = np.random.default_rng(5).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
-
-
-def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the ascending, disjoint ranges of code points."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = ends - starts
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    values = (codes[within + np.repeat(starts, n)].astype(np.uint64) + np.uint64(1)) * (_MIX[within % 4096] + (within // 4096).astype(np.uint64) * np.uint64(2))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
-    at = np.concatenate([[0], np.cumsum(n)])
-    return (total[at[1:]] - total[at[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)
 
 
 def _share_of_repeats(group: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -85,7 +72,7 @@ def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = solid & np.concatenate([~solid[1:], [True]]) if len(codes) else solid
     w_start, w_end = np.flatnonzero(first), np.flatnonzero(last) + 1
     line_of = np.searchsorted(starts, w_start, side="right") - 1
-    hashes = _hashes(codes, w_start, w_end)
+    hashes = range_hashes(codes, w_start, w_end)
     by_line = lambda flags: np.bincount(line_of, flags, len(starts))
     words = by_line(np.ones(len(w_start)))
     adjacent = np.zeros(len(w_start), dtype=bool)
@@ -93,7 +80,7 @@ def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters = np.maximum(count((kind == _UPPER) | (kind == _LOWER)), 1)
     chars, tokens = np.maximum(count(solid), 1), np.maximum(words, 1)
     tied = np.isin(kind[w_end - 1], (_SYMBOL,)) | (codes[w_end - 1] == 33)
-    repeated = _share_of_repeats(doc, _hashes(codes, starts, ends)) & (length > 0)
+    repeated = _share_of_repeats(doc, range_hashes(codes, starts, ends)) & (length > 0)
     out = np.stack(
         [words, count(solid) / tokens, count(kind == _UPPER) / letters, count(kind == _DIGIT) / chars, count(kind == _SYMBOL) / chars, count(kind == _POINT) / chars, by_line(tied) / tokens, by_line(adjacent) / tokens, 1 - by_line(_share_of_repeats(line_of, hashes)) / tokens, repeated],
         axis=1,

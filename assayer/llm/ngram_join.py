@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: fixed bands of MinHash values propose families of texts, exact shingle sets decide every link."""
+"""N-gram Jaccard join: a forest of sorted MinHash prefixes proposes families of texts, exact shingle sets decide every link."""
 
 from __future__ import annotations
 
@@ -8,27 +8,37 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut, first_of_group, join_to_groups
+from assayer.llm.common import cut, range_hashes
 from assayer.llm.components import connected_components
 from assayer.llm.embedding_dedup import _forest
 
 WORDS, THRESHOLD = 5, 0.8
-#: Trees of the forest, the longest prefix of a tree's signature, and the recall that prefixes are shortened for.
-TREES, DEPTH, RECALL = 32, 10, 0.999
+#: Trees of the forest, values of a tree's signature (a byte each), and the recall that prefixes are shortened for.
+TREES, DEPTH, RECALL = 32, 10, 0.998
+#: Links less than this above the threshold are those whose recall is estimated: the hardest to find.
+BAND = 0.05
+#: Similarity of whole signatures at which a text joins the family of a group's leader, and at which the leader speaks for it.
+#: Two texts at 0.8 are both within 0.5 of a leader that speaks for one of them; signatures of 320 values err by 0.03 or so.
+NEAR, SAME = 0.5, 0.75
 #: A task compares texts of about so many shingles and at most so many texts on either side.
 BLOCK_SHINGLES, BLOCK_TEXTS, COLUMNS = 200_000, 256, 4_096
 BATCH_CHARS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which two texts of just this similarity meet in some tree as often as `recall` asks."""
+def found_by(similarity: float, length: int, trees: int = TREES) -> float:
+    """Chance that two texts of this similarity share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**length) ** trees
+
+
+def shortest_prefix(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """Where shortening ends at the latest: even texts of just the threshold's similarity meet as often as `recall` asks."""
     length = depth
-    while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
+    while length > 3 and found_by(threshold, length, trees) < recall:
         length -= 1
     return length
 
@@ -42,20 +52,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingles(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
     """64-bit hashes of the windows of n words of each text, with repeats; shorter texts have one window of all their words, and
     texts without words none."""
-    clean = pc.fill_null(texts, "")
-    for c in "\t\n\x0b\x0c\r":
-        clean = pc.replace_substring(clean, c, " ")
-    parts = pc.split_pattern(clean, " ")
-    flat = pc.dictionary_encode(parts.flatten())
-    tokens = flat.dictionary.to_pylist()
-    hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], dtype=np.uint64)
-    index = flat.indices.to_numpy(zero_copy_only=False)
-    bounds = parts.offsets.to_numpy(zero_copy_only=False) - parts.offsets[0].as_py()
-    if "" in tokens:
-        solid = index != tokens.index("")
-        before = np.concatenate([[0], np.cumsum(solid)])
-        index, bounds = index[solid], before[bounds]
-    words = hashes[index] if len(tokens) else np.zeros(0, np.uint64)
+    clean = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = clean.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[clean.offset : clean.offset + len(clean) + 1]
+    letters = np.frombuffer(data or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    first = ~_SPACE[letters]
+    last = first.copy()
+    inside = first[1:] & first[:-1]
+    inside[bounds[(bounds > 0) & (bounds < len(letters))] - 1] = False  # a text ends here
+    first[1:] &= ~inside
+    last[:-1] &= ~inside
+    starts = np.flatnonzero(first)
+    words = _mix(range_hashes(letters, starts, np.flatnonzero(last) + 1))
+    bounds = np.searchsorted(starts, bounds)
     rolled = np.zeros(len(words), np.uint64)
     size = len(words)
     for k in range(n):
@@ -76,24 +86,21 @@ def shingles(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
 
 
 class Signer:
-    """Keys of the prefixes of a text's MinHash signature, one for each tree."""
+    """MinHash signatures: `depth` bytes for each tree, each hashed from the least value of the shingles in an order of its own."""
 
-    def __init__(self, trees: int, length: int):
+    def __init__(self, trees: int, depth: int):
         rng = np.random.default_rng(23)
-        self.trees, self.length = trees, length
-        self.a = rng.integers(1, 2**63, trees * length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, trees * length, dtype=np.uint64)
-
-    def keys(self, shingle: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.a), np.iinfo(np.uint64).max, dtype=np.uint64)
-        for at in range(0, len(shingle), 512):
-            part = shingle[at : at + 512, None] * self.a
+        self.a = rng.integers(0, 2**31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.b = rng.integers(0, 2**32, trees * depth, dtype=np.uint32)
+
+    def sign(self, shingle: np.ndarray) -> bytes:
+        x = (shingle >> np.uint64(32)).astype(np.uint32)
+        least = np.full(len(self.a), np.iinfo(np.uint32).max, dtype=np.uint32)
+        for at in range(0, len(x), 128):
+            part = x[at : at + 128, None] * self.a
             part += self.b
             np.minimum(least, part.min(axis=0), out=least)
-        key = np.arange(1, self.trees + 1, dtype=np.uint64)
-        for column in least.reshape(self.trees, self.length).T:
-            key = _mix(key * _ODD + column)
-        return key.view(np.int64)
+        return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def _batches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -137,42 +144,159 @@ def verify(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: fl
     return np.nonzero(near)
 
 
+def paths(node: np.ndarray, signatures: np.ndarray, trees: int, depth: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's place in each tree as two numbers that sort like its signature: tree and the first `short` bytes, and the other bytes."""
+    sig = signatures.reshape(len(node), trees, depth).astype(np.int64)
+    head = np.broadcast_to(np.arange(trees, dtype=np.int64), (len(node), trees))
+    tail = np.zeros((len(node), trees), dtype=np.int64)
+    for k in range(depth):
+        head, tail = (head << 8 | sig[:, :, k], tail) if k < short else (head, tail << 8 | sig[:, :, k])
+    return head.ravel(), tail.ravel(), np.repeat(node, trees)
+
+
+def branches(head: np.ndarray, tail: np.ndarray, depth: int, short: int) -> np.ndarray:
+    """For each row of sorted paths, bit k - short: its prefix of length k is a branching of the trie, or at `depth` a shared leaf."""
+    shared = np.full(max(len(head) - 1, 0), short)
+    x = tail[1:] ^ tail[:-1]
+    for j in range(depth - short):
+        shared += (x >> (8 * j)) == 0  # that many leading bytes of the tail are equal, too
+    before = np.concatenate([[0], np.where(head[1:] == head[:-1], shared, 0)]) if len(head) else np.zeros(0, np.int64)
+    mask = np.zeros(len(head), dtype=np.int32)
+    for k in range(short, depth + 1):
+        run = np.cumsum(before < k)
+        parts = np.bincount(run, before == k, int(run[-1]) + 1) if len(run) else run
+        mask |= (parts[run] > 0).astype(np.int32) << (k - short)
+    return mask
+
+
+def walk(batches: Iterator[pa.RecordBatch], depth: int, short: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted paths (head, tail, node) that stand at some branching, with `levels`. Paths of a head come one after
+    another; those of one head, 24 bytes each, are held until it ends."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if parts:
+            head, tail, node = (np.concatenate(c) for c in zip(*parts, strict=True))
+            levels = branches(head, tail, depth, short)
+            at = levels > 0
+            if at.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (head, tail, node, levels)], names=["head", "tail", "node", "levels"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        head, tail, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if held and held[0][0][0] != head[0]:
+            yield from flush(held)
+            held = []
+        end = int(np.searchsorted(head, head[-1]))
+        if end:
+            yield from flush([*held, (head[:end], tail[:end], node[:end])])
+            held = []
+        held.append((head[end:], tail[end:], node[end:]))
+    yield from flush(held)
+
+
+def follow_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (leader, node, similarity of signatures >= NEAR) of groups that come one after another (head, prefix, node, signature).
+
+    The first text of a group leads; texts that no leader speaks for lead in turn. Every text meets every leader, so of two
+    similar texts of a group both end up in one family. Only the leaders' signatures of one group are held."""
+    at, leaders = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        head, prefix, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        new = np.flatnonzero((head[1:] != head[:-1]) | (prefix[1:] != prefix[:-1])) + 1
+        for i, j in zip([0, *new.tolist()], [*new.tolist(), len(head)], strict=True):
+            if at != (head[i], prefix[i]):
+                at, leaders = (head[i], prefix[i]), []
+            left, k = np.arange(i, j), 0
+            while len(left):
+                if k == len(leaders):
+                    leaders.append((node[left[0]], sig[left[0]].copy()))
+                    left, k = left[1:], k + 1
+                    own = leaders[-1]
+                else:
+                    own, k = leaders[k], k + 1
+                alike = (sig[left] == own[1]).mean(axis=1)
+                near = alike >= NEAR
+                out.append((np.full(int(near.sum()), own[0]), node[left[near]], alike[near]))
+                left = left[alike < SAME]
+        if out:
+            a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], names=["a", "b", "s"])
+
+
+def forest_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """Edges (a, b, s) between leaders and members of the groups that share prefixes of signatures (`node`, `sig` of each text).
+
+    All trees are sorted once. Groups of texts that share all `depth` values are judged first, then shorter and shorter
+    prefixes, only where tries branch, until the estimated recall of links near the threshold reaches `recall`: each
+    found link stands for 1 / (its chance of being found) links. Prefixes end at `shortest_prefix`, where that chance is
+    enough for any link."""
+    short = shortest_prefix(threshold, trees, depth, recall)
+    depth = min(depth, short + 7)
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, trees, -1)[:, :, :depth]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in paths(batch.column(0).to_numpy(), sig, trees, depth, short)], names=["head", "tail", "node"])
+
+    laid = nodes.select("node", "sig").mapInArrow(lay, "head long, tail long, node long").repartition("head").sortWithinPartitions("head", "tail")
+    trie = cut(laid.mapInArrow(lambda batches: walk(batches, depth, short), "head long, tail long, node long, levels int"))
+    found: DataFrame | None = None
+    for length in range(depth, short - 1, -1):
+        rows = trie.filter(F.col("levels").bitwiseAND(1 << (length - short)) != 0).select("head", F.shiftright("tail", 8 * (depth - length)).alias("prefix"), "node")
+        grouped = rows.join(nodes.select("node", "sig"), "node").select("head", "prefix", "node", "sig").repartition("head", "prefix").sortWithinPartitions("head", "prefix", "node")
+        edges = grouped.mapInArrow(follow_leaders, "a long, b long, s double")
+        found = cut((edges if found is None else found.unionByName(edges)).distinct())
+        if length > short:
+            s = F.col("s")
+            hard = s < threshold + BAND
+            weight = 1 / (1 - F.pow(1 - F.pow(s, F.lit(length)), F.lit(trees)))
+            n = found.filter(s >= threshold).agg(F.count_if(hard).alias("n"), F.sum(F.when(hard, weight)).alias("w"), F.count(F.lit(1)).alias("all_n"), F.sum(weight).alias("all_w")).first()
+            if n["n"] and n["n"] / n["w"] >= recall or not n["n"] and n["all_n"] and n["all_n"] / n["all_w"] >= recall:
+                break
+    return found
+
+
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """doc_id, text_hash, n_links, class_id, kept of every row: links join rows whose sets of word windows reach the threshold.
 
-    Equal texts are one class from the start. Prefixes of MinHash signatures of length `prefix_length` propose which texts may be
-    alike; texts that prefixes join, directly or through others, form a family, and inside a family every pair is compared
+    Equal texts are one class from the start. `forest_edges` proposes which texts may be alike: texts whose signatures agree
+    to NEAR with a common leader, directly or through others, form a family, and inside a family every pair is compared
     exactly, in blocks of bounded size. A class is what links join; `class_id` is its least doc_id and `kept` marks the rows
     with it. Texts with fewer than `words` words are one window; texts without words and rows with a null id link with
     nothing. Words are what stands between ASCII white space, as written. Repeated rows link with each other. Empty table:
     empty result. Other columns are dropped."""
-    length = prefix_length(threshold, trees, DEPTH, recall)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("fp", F.sha2(F.col("text").cast("binary"), 256))
+    source = source.withColumn("fp", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(trees, length)
+        signer = Signer(trees, DEPTH)
         for whole in batches:
             for batch in _batches(whole, 1):
                 found = shingles(batch.column(1), words)
-                keys = [signer.keys(s) if len(s) else np.zeros(0, np.int64) for s in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "size", "keys"])
+                signed = [signer.sign(s) if len(s) else b"" for s in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(signed, pa.binary())], names=["doc_id", "fp", "size", "sig"])
 
-    signed = source.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", "fp").mapInArrow(sign, "doc_id long, fp string, size long, keys array<long>")
-    signed = cut(signed)  # it is read more than once
-    rows = cut(first_of_group(signed, ["fp"], F.col("doc_id"), "rep", "copies"))
+    known_ids = source.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", "fp")
+    signed = cut(known_ids.mapInArrow(sign, "doc_id long, fp binary, size long, sig binary"))  # it is read twice
+    # partial sums and minima of each task meet, so a text that a third of rows hold is one row of each task
+    texts = signed.filter("size > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     # the checkpoint fixes these ids
-    nodes = cut(rows.filter((F.col("doc_id") == F.col("rep")) & (F.col("size") > 0)).dropDuplicates(["fp"]).select(F.monotonically_increasing_id().alias("node"), "rep", "fp", "copies", "size", "keys"))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    met = first_of_group(keyed, ["key"], F.col("node"), "first", "n", repeated_only=True).filter("node <> first").select("node", "first")
-    families = connected_components(met, "node", "first")
-    weights = families.join(nodes.select(F.col("node").alias("id"), "size"), "id").groupBy("component").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
-    blocks = weights.select("component", F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS)).cast("int").alias("blocks"), "n")
-    sized = families.join(blocks, "component").select("component", "blocks", F.col("id").alias("node"))
-    members = cut(sized.join(nodes.select("node", "rep", "fp", "copies"), "node"))
-    texts = source.join(members.withColumnRenamed("fp", "__fp"), (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("__fp")))
+    nodes = cut(texts.select(F.monotonically_increasing_id().alias("node"), "rep", "fp", "copies", "size", "sig"))
+    families = connected_components(forest_edges(nodes, threshold, trees, DEPTH, recall))
+    members = cut(families.join(nodes.select(F.col("node").alias("id"), "rep", F.col("fp").alias("__fp"), "copies", "size"), "id"))
+    weights = members.groupBy("component").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+    blocks = weights.select("component", F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "component").select("component", "blocks", F.col("id").alias("node"), "rep", "__fp", "copies")
+    held = source.join(placed, (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("__fp")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = texts.select("component", "node", "copies", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = held.select("component", "node", "copies", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "copies", "text")
 
     def compare(both: pd.DataFrame) -> pd.DataFrame:
@@ -189,17 +313,15 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
     found = cut(dealt.groupBy("component", "p", "q").applyInPandas(compare, "a long, b long, links long"))
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
-    parts = connected_components(found.filter("b is not null")).join(nodes.select(F.col("node").alias("id"), "rep"), "id")
+    parts = cut(connected_components(found.filter("b is not null")).join(members.select("id", "rep"), "id"))
     classes = parts.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = parts.join(classes, "component").select(F.col("id").alias("node"), "class_id")
-    known = nodes.select("node", "fp", "copies").join(links, "node", "left").join(named, "node", "left").drop("node")
-    linked = join_to_groups(rows.select("doc_id", "fp", "rep", "copies", "size"), known, "fp", "copies")
-    solid = F.col("size") > 0
-    out = linked.select(
+    named = parts.join(classes, "component").select(F.col("id").alias("node"), "class_id").join(links, "node")
+    known = nodes.select("node", "fp", "rep", "copies").join(named, "node", "left").drop("node")
+    out = signed.select("doc_id", "fp").join(known, "fp", "left").select(
         "doc_id",
-        F.col("fp").alias("text_hash"),
-        F.when(solid, F.col("copies") - 1 + F.coalesce("more", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(solid, F.coalesce("class_id", "rep")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.lower(F.hex("fp")).alias("text_hash"),
+        F.coalesce(F.col("copies") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("class_id", "rep", "doc_id").alias("class_id"),
     )
-    alone = source.filter(F.col("doc_id").isNull()).select("doc_id", F.col("fp").alias("text_hash"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
+    alone = source.filter(F.col("doc_id").isNull()).select("doc_id", F.lower(F.hex("fp")).alias("text_hash"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

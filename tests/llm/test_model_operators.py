@@ -7,6 +7,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -196,9 +197,41 @@ def test_similar_matches_brute_force(spark):
     assert len(got) == len(texts) + 2
 
 
-def test_prefix_length_meets_recall():
-    n = ngram_join.prefix_length()
-    assert 1 - (1 - 0.8**n) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (n + 1)) ** ngram_join.TREES
+def test_shortest_prefix():
+    n = ngram_join.shortest_prefix()
+    assert ngram_join.found_by(0.8, n) >= ngram_join.RECALL > ngram_join.found_by(0.8, n + 1)
+
+
+def test_branches_of_sorted_tries():
+    rng = np.random.default_rng(5)
+    trees, depth, short = 3, 6, 2
+    sig = rng.integers(0, 3, (60, trees, depth)).astype(np.uint8)
+    head, tail, node = ngram_join.paths(np.arange(60), sig, trees, depth, short)
+    order = np.lexsort((tail, head))
+    head, tail, node = head[order], tail[order], node[order]
+    got = {(int(h) >> 8 * short, int(n)): int(m) for h, n, m in zip(head, node, ngram_join.branches(head, tail, depth, short), strict=True)}
+    for t in range(trees):
+        for k in range(short, depth + 1):
+            for i in range(60):
+                group = [j for j in range(60) if (sig[j, t, :k] == sig[i, t, :k]).all()]
+                wide = len(group) > 1 if k == depth else len({int(sig[j, t, k]) for j in group}) > 1
+                assert bool(got[t, i] >> (k - short) & 1) == wide
+    # in batches of any size the same rows come out
+    whole = {tuple(r) for b in ngram_join.walk(iter([_batch(head, tail, node)]), depth, short) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    parts = {tuple(r) for b in ngram_join.walk((_batch(head[i : i + 7], tail[i : i + 7], node[i : i + 7]) for i in range(0, len(head), 7)), depth, short) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert whole == parts and {(h, n) for h, _, n, _ in whole} == {(int(h), int(n)) for h, n in zip(head, node, strict=True) if got[int(h) >> 8 * short, int(n)]}
+
+
+def _batch(*columns):
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["head", "tail", "node"])
+
+
+def test_shingles_are_windows_of_words():
+    texts = ["a b  c\td e f", "a b c d e", "", None, "one", "\n x", "x", "é b c d e f", " ".join("w" * 9000 for _ in range(3))]
+    got = ngram_join.shingles(pa.array(texts, pa.string())[0:], 5)
+    assert [len(s) for s in got] == [2, 1, 0, 0, 1, 1, 1, 2, 1]
+    assert got[0][0] == got[1][0] and got[5][0] == got[6][0] and got[0][1] == got[7][1] and got[0][0] != got[7][0] and got[4][0] != got[5][0]
+    assert [s.tolist() for s in ngram_join.shingles(pa.array(texts, pa.string())[3:], 5)] == [s.tolist() for s in got[3:]]
 
 
 def test_verify_in_blocks():
