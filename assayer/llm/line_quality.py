@@ -10,15 +10,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.common import held_out, range_hashes
 
-#: Bounds of what is fitted on: rows of each label, and lines of each row. Scoring always takes whole texts.
-FIT_ROWS, FIT_LINES = 2_000, 64
-#: Rows of the fit that are measured at a time, to bound the driver's memory.
-FIT_CHUNK = 100
+#: Bound of what is fitted on: rows of each label. Their whole texts are read, and so are those of all rows that are scored.
+FIT_ROWS = 2_000
+#: Lines of a sequence in the fit: longer texts are several sequences, whose lines still see the lines around them.
+SEGMENT = 64
+#: Steps of the fit before and after lines of bad documents are judged anew.
+FIRST_STEPS, MORE_STEPS = 100, 80
 BINS = 8
 #: Characters measured, and padded line slots scored, at a time, to bound memory.
 CHUNK_CHARS, CHUNK_SLOTS = 2_000_000, 200_000
@@ -147,74 +150,98 @@ def padded(n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(mask, first[:, None] + steps, 0), mask
 
 
-def train(slots: np.ndarray, n_lines: np.ndarray, good: np.ndarray, width: int, steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, start and pair potentials of the greatest penalised likelihood of line labels, by Adam's method."""
-    at, mask = padded(n_lines)
+@dataclass
+class Lines:
+    """The lines of a fit. Lines with the same bins are of one kind: `kinds` has the bins of each, and in its last row those of "no
+    such line"; each line has its kind and those of the lines before and after it in its text."""
+
+    kinds: np.ndarray
+    before: np.ndarray
+    own: np.ndarray
+    after: np.ndarray
+    segments: np.ndarray  # lines of each sequence
+
+    def unary(self, weights: np.ndarray) -> np.ndarray:
+        w = weights.reshape(3, len(MEASURES), BINS + 1)
+        of = [sum(w[k, j][self.kinds[:, j]] for j in range(len(MEASURES))) for k in range(3)]
+        return of[0][self.before] + of[1][self.own] + of[2][self.after]
+
+    def pull(self, gap: np.ndarray) -> np.ndarray:
+        """How far each weight moves with a gap at each line: what `unary` does, backwards."""
+        each = [np.bincount(at, gap, len(self.kinds)) for at in (self.before, self.own, self.after)]
+        return np.concatenate([np.bincount(self.kinds[:, j], g, BINS + 1) for g in each for j in range(len(MEASURES))])
+
+
+def gather(edges: np.ndarray, measures: np.ndarray, n_lines: np.ndarray) -> Lines:
+    """Lines of texts in order: bins of their measures, and sequences of SEGMENT lines at most."""
+    bins = np.stack([np.searchsorted(edges[k], measures[:, k], side="left") for k in range(len(MEASURES))], axis=1)
+    code = bins @ ((BINS + 1) ** np.arange(len(MEASURES)))
+    _, first_of, own = np.unique(code, return_index=True, return_inverse=True)
+    kinds = np.concatenate([bins[first_of], np.full((1, len(MEASURES)), BINS)])
+    none = len(kinds) - 1
+    first = np.cumsum(n_lines) - n_lines
+    before, after = np.full(len(own), none), np.full(len(own), none)
+    before[1:], after[:-1] = own[:-1], own[1:]
+    before[first], after[first + n_lines - 1] = none, none
+    parts = [np.append(np.full((n - 1) // SEGMENT, SEGMENT), n - (n - 1) // SEGMENT * SEGMENT) for n in n_lines.tolist()]
+    return Lines(kinds, before, own, after, np.concatenate(parts))
+
+
+def likelihood_gradient(theta: np.ndarray, lines: Lines, good: np.ndarray, decay: float) -> np.ndarray:
+    """Gradient, by weights, start and pair potentials, of the mean log likelihood of line labels a line, less decay / 2 times the
+    squares of all but the start."""
+    at, mask = padded(lines.segments)
+    width, rows = len(theta) - 6, len(good)
+    w, start, pairs = theta[:width], theta[width : width + 2], theta[width + 2 :].reshape(2, 2)
+    p, both = forward_backward(lines.unary(w)[at], mask, start, pairs)
     labels = good[at] * mask
-    theta = np.zeros(width + 6)
+    gap = np.zeros(rows)
+    gap[at[mask]] = (labels - p)[mask]
+    first = (labels[:, 0] - p[:, 0]).sum() / rows
+    a, b, held = labels[:, :-1], labels[:, 1:], mask[:, 1:]
+    seen = np.array([[((x == i) & (y == j) & held).sum() for j in (0, 1)] for x, y, i in ((a, b, 0), (a, b, 1))], dtype=float)
+    return np.concatenate([lines.pull(gap) / rows - decay * w, [-first, first], ((seen - both.sum(axis=(0, 1))) / rows).ravel() - decay * theta[width + 2 :]])
+
+
+def train(lines: Lines, good: np.ndarray, theta: np.ndarray, steps: int, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
+    """Weights, start and pair potentials of the greatest penalised likelihood of line labels, by Adam's method from `theta`."""
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    rows = int(n_lines.sum())
-    index = slots.ravel()
-    pair_mask = mask[:, 1:]
-    seen_pairs = np.array([[(((labels[:, :-1] == i) & (labels[:, 1:] == j)) & pair_mask).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
     for step in range(1, steps + 1):
-        w, start, pairs = theta[:width], theta[width : width + 2], theta[width + 2 :].reshape(2, 2)
-        p, both = forward_backward(w[slots].sum(axis=1)[at], mask, start, pairs)
-        line_gap = np.zeros(rows)
-        line_gap[at[mask]] = (labels - p)[mask]
-        g_w = np.bincount(index, np.repeat(line_gap, slots.shape[1]), width) / rows - decay * w
-        first = (labels[:, 0] - p[:, 0]).sum() / rows
-        g = np.concatenate([g_w, [-first, first], ((seen_pairs - both.sum(axis=(0, 1))) / rows).ravel() - decay * theta[width + 2 :]])
+        g = likelihood_gradient(theta, lines, good, decay)
         mean = 0.9 * mean + 0.1 * g
         square = 0.999 * square + 0.001 * g * g
         theta = theta + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    return theta[:width], theta[width : width + 2], theta[width + 2 :].reshape(2, 2)
+    return theta
 
 
-def fit_lines(texts: list[str], labels: list[int]) -> Model:
-    """Fit on whole-document labels: lines start with their document's label; then lines of bad documents that look good to
-    the first model count as good (each bad document keeps its worst line), and the model is fitted anew."""
+def fit_lines(measures: np.ndarray, n_lines: np.ndarray, labels: np.ndarray) -> Model:
+    """Fit on whole-document labels and the measures of all their lines: lines start with their document's label; then lines of bad
+    documents that look good to the first model count as good (each bad document keeps its worst line), and the fit goes on."""
     width = 3 * len(MEASURES) * (BINS + 1)
-    texts = ["\n".join(t.split("\n", FIT_LINES)[:FIT_LINES]) for t in texts]
-    if not texts or len(set(labels)) < 2:
-        share = (sum(labels) + 1) / (len(labels) + 2)
+    if len(set(labels.tolist())) < 2:
+        share = (labels.sum() + 1) / (len(labels) + 2)
         flat = float(np.log(share / (1 - share)))
         return Model(np.zeros((len(MEASURES), BINS - 1)), np.zeros(width), np.array([0.0, flat]), np.array([[0.0, flat], [0.0, flat]]))
-    parts = [measure(texts[i : i + FIT_CHUNK]) for i in range(0, len(texts), FIT_CHUNK)]
-    measures, n_lines = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
-    edges = np.stack([np.quantile(measures[:, k], np.arange(1, BINS) / BINS) for k in range(len(MEASURES))])
-    bad_lines = np.repeat(np.array(labels) == 0, n_lines)
-    for k in range(len(MEASURES)):  # as many edges again from what is rare among all lines but common in bad ones
-        edges[k] = np.sort(np.concatenate([np.quantile(measures[:, k], np.arange(1, 5) / 5), np.quantile(measures[bad_lines, k], np.arange(1, 4) / 4)]))
-    model = Model(edges, np.zeros(width), np.zeros(2), np.zeros((2, 2)))
-    slots = model.slots(measures, n_lines)
-    good = np.repeat(np.array(labels, dtype=float), n_lines)
-    for again in (True, False):
-        model.weights, model.start, model.pairs = train(slots, n_lines, good, width)
-        if again:
-            at, mask = padded(n_lines)
-            p, _ = forward_backward(model.unary(slots)[at], mask, model.start, model.pairs)
-            flat = np.zeros(len(good))
-            flat[at[mask]] = p[mask]
-            worst = np.zeros(len(good), dtype=bool)
-            worst[at[np.arange(len(at)), np.where(mask, p, 2).argmin(axis=1)]] = True
-            good = np.where(bad_lines & (flat > 0.5) & ~worst, 1.0, good)
-    return model
+    bad_lines = np.repeat(labels == 0, n_lines)
+    # as many edges again from what is rare among all lines but common in bad ones
+    edges = np.stack([np.sort(np.concatenate([np.quantile(x, np.arange(1, 5) / 5), np.quantile(x[bad_lines], np.arange(1, 4) / 4)])) for x in measures.T])
+    lines = gather(edges, measures, n_lines)
+    good = np.repeat(labels.astype(float), n_lines)
+    theta = train(lines, good, np.zeros(width + 6), FIRST_STEPS)
+    at, mask = padded(lines.segments)
+    p, _ = forward_backward(lines.unary(theta[:width])[at], mask, theta[width : width + 2], theta[width + 2 :].reshape(2, 2))
+    flat = np.zeros(len(good))
+    flat[at[mask]] = p[mask]
+    first = np.cumsum(n_lines) - n_lines
+    worst = flat <= np.repeat(np.minimum.reduceat(flat, first), n_lines)
+    theta = train(lines, np.where(bad_lines & (flat > 0.5) & ~worst, 1.0, good), theta, MORE_STEPS)
+    return Model(edges, theta[:width], theta[width : width + 2], theta[width + 2 :].reshape(2, 2))
 
 
 def line_marginals(model: Model, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each whole text the probability of `good` and the length of each line."""
     out: list = [None] * len(texts)
-    at, size = 0, 0
-    chunks, own = [], []
-    for i, t in enumerate(texts):
-        own.append(i)
-        size += len(t)
-        if size >= CHUNK_CHARS:
-            chunks.append(own)
-            own, size = [], 0
-    chunks += [own] if own else []
-    for own in chunks:
+    for own in _by_chars(texts):
         measures, length, n_lines = measure([texts[i] for i in own])
         unary = model.unary(model.slots(measures, n_lines))
         first = np.cumsum(n_lines) - n_lines
@@ -232,21 +259,46 @@ def line_marginals(model: Model, texts: list[str]) -> list[tuple[np.ndarray, np.
     return out
 
 
+def _by_chars(texts: list[str]) -> Iterator[list[int]]:
+    """Places of texts, some CHUNK_CHARS characters at a time."""
+    own, size = [], 0
+    for i, t in enumerate(texts):
+        own.append(i)
+        size += len(t)
+        if size >= CHUNK_CHARS:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, label, lines and measures of whole texts."""
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for own in _by_chars(texts):
+            measures, _, n_lines = measure([texts[i] for i in own])
+            ends = np.cumsum(n_lines)
+            cells = [measures[e - n : e].tobytes() for e, n in zip(ends.tolist(), n_lines.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(n_lines), pa.array(cells, pa.binary())], names=["id", "y", "lines", "measures"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", may_learn: Column | None = None) -> Model:
-    """Fit on about FIT_ROWS rows of each label at most, chosen by a hash of their id, from rows that `may_learn` admits.
+    """Fit on the whole texts of about FIT_ROWS rows of each label at most, chosen by a hash of their id, from rows that `may_learn` admits.
 
-    Rows with null ids, labels or texts teach nothing."""
+    Rows with null ids, labels or texts teach nothing; of rows that share an id the least text and the least label teach.
+    Lines are measured where the texts lie; only their measures reach the driver."""
     may = ~held_out(doc_id) if may_learn is None else may_learn
-    known = labels.filter(may & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).dropDuplicates(["__id"])
+    known = labels.filter(may & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y"))
     seen = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     place = F.pmod(F.xxhash64(F.col("__id"), F.lit(3)), F.lit(1 << 20))
-    chosen = known.filter(F.lit(False))
-    for y, n in seen.items():
-        chosen = chosen.unionByName(known.filter((F.col("__y") == y) & (place < int(min(1.0, FIT_ROWS / n) * (1 << 20)))).limit(2 * FIT_ROWS))
-    lines = F.substring_index(F.col(text).cast("string"), "\n", FIT_LINES)
-    rows = docs.filter(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select("__id", "__y", lines.alias("__t")).toPandas()
-    rows = rows.sort_values(["__id", "__t"])
-    return fit_lines(rows["__t"].tolist(), rows["__y"].tolist())
+    share = F.coalesce(*[F.when(F.col("__y") == y, int(min(1.0, FIT_ROWS / n) * (1 << 20))) for y, n in seen.items()], F.lit(0))
+    chosen = known.filter(place < share).limit(4 * FIT_ROWS)
+    rows = docs.filter(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(F.col("__id").cast("long").alias("__id"), "__y", F.col(text).cast("string").alias("__t"))
+    rows = rows.groupBy("__id", "__y").agg(F.min("__t").alias("__t"))
+    table = rows.mapInArrow(_measured, "id long, y int, lines long, measures binary").toArrow().sort_by("id")
+    cells = b"".join(table["measures"].to_pylist())
+    return fit_lines(np.frombuffer(cells, dtype=np.float64).reshape(-1, len(MEASURES)), table["lines"].to_numpy(), table["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "quality") -> DataFrame:

@@ -103,6 +103,54 @@ def test_marginals_equal_enumeration():
     assert both[0, 3:].sum() == 0
 
 
+def test_gradient_equals_differences_of_the_likelihood():
+    """The log likelihood of line labels by enumeration of all labellings, differenced at every parameter."""
+    rng = np.random.default_rng(4)
+    m, bins = len(line_quality.MEASURES), line_quality.BINS
+    n_lines = np.array([3, 1, 4])
+    edges = np.sort(rng.normal(size=(m, bins - 1)), axis=1)
+    measures = rng.normal(size=(8, m))
+    lines = line_quality.gather(edges, measures, n_lines)
+    good, theta, decay = rng.integers(0, 2, 8).astype(float), rng.normal(size=3 * m * (bins + 1) + 6) * 0.3, 0.01
+    model = line_quality.Model(edges, theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2))
+    slots = model.slots(measures, n_lines)
+
+    def value(theta):
+        w, start, pairs = theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2)
+        unary, total, at = w[slots].sum(axis=1), 0.0, 0
+        for n in n_lines:
+            weigh = lambda y, at=at: start[int(y[0])] + sum(unary[at + k] * y[k] for k in range(len(y))) + sum(pairs[int(y[k]), int(y[k + 1])] for k in range(len(y) - 1))
+            total += weigh(good[at : at + n]) - np.log(sum(np.exp(weigh(y)) for y in itertools.product((0, 1), repeat=int(n))))
+            at += n
+        return total / 8 - decay / 2 * (w @ w + (pairs * pairs).sum())
+
+    assert np.allclose(lines.unary(theta[:-6]), model.unary(slots))
+    g = line_quality.likelihood_gradient(theta, lines, good, decay)
+    for k in [*rng.choice(len(theta) - 6, 60, replace=False).tolist(), *np.unique(slots)[:20].tolist(), *range(len(theta) - 6, len(theta))]:
+        step = np.zeros(len(theta))
+        step[k] = 1e-5
+        assert np.isclose((value(theta + step) - value(theta - step)) / 2e-5, g[k], atol=1e-7)
+
+
+def test_long_texts_teach_whole(spark):
+    """Bad lines that only come after hundreds of clean ones are learned, and one long text is several sequences."""
+    clean = "plain words stand here in a row"
+    texts = [(clean + "\n") * 300 + ("## $$ !! ## $$ !!\n") * 300 if i % 2 else (clean + "\n") * 30 for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    model = line_quality.fit(documents(spark, texts), labels)
+    low, high = (r["quality"] for r in line_quality.score(documents(spark, [("## $$ !! ## $$ !!\n") * 20, (clean + "\n") * 20]), model).orderBy("doc_id").collect())
+    assert low < 0.3 < high
+    assert line_quality.gather(model.edges, np.zeros((601, len(line_quality.MEASURES))), np.array([601])).segments.tolist() == [64] * 9 + [25]
+
+
+def test_repeated_ids_teach_once(spark):
+    docs = documents(spark, ["good words here", "## !! ##"] * 6)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(12)], "doc_id long, quality int")
+    many = docs.unionByName(docs).unionByName(docs)
+    one, three = line_quality.fit(docs, labels), line_quality.fit(many, labels)
+    assert np.array_equal(one.weights, three.weights)
+
+
 # components
 
 
