@@ -10,23 +10,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut, first_of_group, join_to_groups
+from assayer.llm.common import cut
 from assayer.llm.components import connected_components
 
 THRESHOLD = 0.95
-#: Bounds of the index fit: vectors of the sample; lists; subspaces; code words of each.
-FIT_ROWS, LISTS, SUBSPACES, CODES = 16_384, 1_024, 16, 64
-#: Vectors wanted in a list, and vectors of a list that a task compares at a time.
-LIST_SIZE, BLOCK = 400, 1_024
+#: Bounds of the index fit: vectors of the sample of each length (shared out if there are several lengths); subspaces; code words of each.
+FIT_ROWS, SUBSPACES, CODES = 16_384, 16, 64
+#: Vectors wanted in a list, centres of the first level, and vectors of a list that a task compares at a time.
+LIST_SIZE, CENTRES, BLOCK = 400, 512, 1_024
 #: A vector probes every list whose centre is at most this much less similar to it than the nearest one. A neighbour at
 #: cosine 0.95 moves similarities to centres by about 0.04 of standard deviation in 64 dimensions.
-PROBE_MARGIN = 0.15
+PROBE_MARGIN = 0.1
+#: So many rows are broadcast at most.
+SMALL = 20_000
 
 
 @dataclass
 class Index:
-    centres: np.ndarray
-    books: np.ndarray  # subspaces x codes x width
+    """Centres of the first level, centres of what is left of vectors after it (one zero: no second level), and code books of what
+    both leave, subspaces x codes x width. A list is a pair of centres, so lists grow with the table though the fit does not."""
+
+    first: np.ndarray
+    second: np.ndarray
+    books: np.ndarray
+
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return self.first[lists // len(self.second)] + self.second[lists % len(self.second)]
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        top = (x @ self.first.T).argmax(axis=1)
+        return top * len(self.second) + _nearest(x - self.first[top], self.second)
+
+    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists that rows probe. Squared distances differ twice as much as similarities of unit vectors."""
+        similar = x @ self.first.T
+        row, top = np.nonzero(similar >= similar.max(axis=1, keepdims=True) - margin)
+        if len(self.second) == 1:
+            return row, top
+        far = (self.second**2).sum(axis=1) - 2 * (x[row] - self.first[top]) @ self.second.T
+        k, sub = np.nonzero(far <= far.min(axis=1, keepdims=True) + 2 * margin)
+        return row[k], top[k] * len(self.second) + sub
 
     def residual_codes(self, residuals: np.ndarray) -> np.ndarray:
         parts = self.split(residuals)
@@ -56,20 +79,23 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
-def build(sample: np.ndarray, n: int) -> Index:
-    """Fit centres and code books on unit vectors; n is how many the index will hold."""
+def build(sample: np.ndarray, n: int, list_size: int = LIST_SIZE) -> Index:
+    """Fit centres and code books on unit vectors; n is how many the index will hold, and with it the number of lists grows."""
     rng = np.random.default_rng(11)
-    lists = int(max(1, min(LISTS, n // LIST_SIZE, len(sample))))
-    centres = _kmeans(sample, lists, 10, rng)
-    norm = np.linalg.norm(centres, axis=1, keepdims=True)
-    centres = np.where(norm > 0, centres / np.where(norm > 0, norm, 1), centres)
-    residuals = sample - centres[(sample @ centres.T).argmax(axis=1)]
+    lists = max(1, n // list_size)
+    first = _kmeans(sample, int(min(CENTRES, lists, len(sample))), 10, rng)
+    norm = np.linalg.norm(first, axis=1, keepdims=True)
+    first = np.where(norm > 0, first / np.where(norm > 0, norm, 1), first)
+    left = sample - first[(sample @ first.T).argmax(axis=1)]
+    finer = int(min(-(-lists // len(first)), len(sample)))
+    second = _kmeans(left, finer, 10, rng) if finer > 1 else np.zeros((1, sample.shape[1]))
+    left = left - second[_nearest(left, second)]
     subspaces = min(SUBSPACES, sample.shape[1])
     width = -(-sample.shape[1] // subspaces)
     padded = np.zeros((len(sample), subspaces * width))
-    padded[:, : sample.shape[1]] = residuals
+    padded[:, : sample.shape[1]] = left
     parts = padded.reshape(len(sample), subspaces, width)
-    return Index(centres, np.stack([_kmeans(parts[:, m], min(CODES, len(sample)), 8, rng) for m in range(subspaces)]))
+    return Index(first, second, np.stack([_kmeans(parts[:, m], min(CODES, len(sample)), 8, rng) for m in range(subspaces)]))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -85,8 +111,7 @@ def _compare(index: Index, base: pd.DataFrame, query: pd.DataFrame, dim: int, th
     for the vector that probes, else the only finder counts for both."""
     x, q = [np.frombuffer(b"".join(d["vector"]), dtype="<f8").reshape(-1, dim) for d in (base, query)]
     codes = np.frombuffer(b"".join(base["code"]), dtype=np.uint8).reshape(len(base), -1)
-    place = int(base["list"].iloc[0])
-    r = index.split(q - index.centres[place])
+    r = index.split(q - index.centre(base["list"].to_numpy()[:1]))
     tables = (r**2).sum(axis=2)[:, :, None] - 2 * np.einsum("qmw,mkw->qmk", r, index.books) + (index.books**2).sum(axis=2)[None]
     distance = np.zeros((len(q), len(x)))
     for m in range(codes.shape[1]):
@@ -101,10 +126,15 @@ def _compare(index: Index, base: pd.DataFrame, query: pd.DataFrame, dim: int, th
         at = slice(a, a + (1 << 16))
         keep[at] = np.einsum("nd,nd->n", q[i[at]], x[j[at]]) >= threshold
     i, j = i[keep], j[keep]
-    probed = np.zeros((len(x), len(index.centres)), dtype=bool)
-    for k, p in enumerate(base["probes"]):
-        probed[k, np.asarray(p, dtype=np.int64)] = True
-    back = probed[j, query["home"].to_numpy()[i]]
+    # pairs (vector, list that it probes) as numbers, to ask which x probe q's home
+    homes, home = np.unique(query["home"].to_numpy(), return_inverse=True)
+    probed = np.zeros((len(x), len(homes)), dtype=bool)
+    sizes = base["probes"].map(len).to_numpy()
+    every = np.concatenate(base["probes"].to_numpy()).astype(np.int64)
+    at = np.minimum(np.searchsorted(homes, every), len(homes) - 1)
+    hit = homes[at] == every
+    probed[np.repeat(np.arange(len(x)), sizes)[hit], at[hit]] = True
+    back = probed[j, home[i]]
     weight_q, weight_x = query["n"].to_numpy(), base["n"].to_numpy()
     gained = pd.DataFrame({"id": np.concatenate([ids_q[i], ids_x[j[~back]]]), "links": np.concatenate([weight_x[j], weight_q[i[~back]]])})
     return gained.groupby("id", as_index=False)["links"].sum(), _forest(ids_q[i], ids_x[j])
@@ -135,71 +165,82 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def link_near(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, margin: float = PROBE_MARGIN) -> DataFrame:
+def _fit(nodes: DataFrame, list_size: int) -> dict[int, Index]:
+    """An index for each length of vector, fitted on a hash sample of FIT_ROWS vectors or so (of all lengths together)."""
+    sizes = {r["d"]: r["n"] for r in nodes.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(1, FIT_ROWS // max(1, len(sizes)))
+    span = 1 << 30
+    limit = F.coalesce(*[F.when(F.size("embedding") == d, int(min(1.0, each / n) * span)) for d, n in sizes.items()], F.lit(0)) if sizes else F.lit(0)
+    place = F.pmod(F.xxhash64("embedding", F.lit(5)), F.lit(span))
+    drawn: dict[int, list] = {d: [] for d in sizes}
+    for r in nodes.filter(place < limit).select("rep", "embedding").orderBy("rep", "embedding").limit(2 * FIT_ROWS).toLocalIterator():
+        drawn[len(r["embedding"])].append(r["embedding"])
+    for d in sizes:
+        if not drawn[d]:  # a rare length of which the sample holds none
+            drawn[d] = [r["embedding"] for r in nodes.filter(F.size("embedding") == d).select("embedding").limit(1).collect()]
+    return {d: build(unit(np.array(drawn[d], dtype=np.float64)), n, list_size) for d, n in sizes.items()}
+
+
+def link_near(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, margin: float = PROBE_MARGIN, list_size: int = LIST_SIZE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row: links join vectors of cosine >= threshold, components join links.
 
     Equal vectors are compared once: they link with each other and share all further links. Distances of residual codes
     only rule out pairs that the triangle inequality rules out, every other pair is compared exactly in double precision,
-    so links can be missed only where neither vector probes the other's list. Null, zero and non-finite vectors, those of
-    a length other than the commonest, and rows with a null id link with nothing. Repeated rows are rows of their own. Empty
-    table: empty result. Other columns are dropped."""
+    so links can be missed only where neither vector probes the other's list. Vectors of different lengths do not link;
+    each length has an index of its own. Null, zero and non-finite vectors and rows with a null id link with nothing.
+    Repeated rows are rows of their own, and so are rows that share an id. Empty table: empty result. Other columns are dropped."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    ok = rows.filter(valid(F.col("embedding")) & F.col("vec_id").isNotNull())
-    common = ok.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = common["d"]
-    usable = valid(F.col("embedding")) & F.col("vec_id").isNotNull() & (F.size("embedding") == dim)
-    grouped = cut(first_of_group(rows.filter(usable), ["embedding"], F.col("vec_id"), "rep", "copies"))
-    reps = cut(grouped.filter(F.col("vec_id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "copies", "embedding"))
-    n = reps.count()
-    place = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20))
-    share = min(1.0, FIT_ROWS / n)
-    sample = np.array([r["embedding"] for r in reps.filter(place < int(share * (1 << 20)) + 1).orderBy(place, "rep").limit(2 * FIT_ROWS).select("embedding").toLocalIterator()], dtype=np.float64)
-    if not len(sample):
-        sample = np.array([reps.first()["embedding"]], dtype=np.float64)
-    index = build(unit(sample), n)
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+    usable = valid(F.col("embedding")) & F.col("vec_id").isNotNull()
+    ok, alone = rows.filter(usable), rows.filter(~F.coalesce(usable, F.lit(False)))
+    lonely = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    # each different vector is a node of its own, also where ids repeat; the checkpoint fixes the numbers
+    distinct = ok.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    nodes = cut(distinct.select(F.monotonically_increasing_id().alias("node"), "rep", "copies", "embedding"))
+    shared = rows.sparkSession.sparkContext.broadcast(_fit(nodes, list_size))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
         for whole in batches:
-            for start in range(0, len(whole), 2_000):
-                b = whole.iloc[start : start + 2_000]
-                x = unit(np.array(b["embedding"].tolist(), dtype=np.float64))
-                similar = x @ index.centres.T
-                home = similar.argmax(axis=1)
-                residuals = x - index.centres[home]
-                codes = index.residual_codes(residuals)
-                error = np.sqrt(((residuals - index.decode(codes, dim)) ** 2).sum(axis=1))
-                probes = [np.flatnonzero(s >= s.max() - margin).astype(np.int32) for s in similar]
-                own = pd.DataFrame({"id": b["rep"].to_numpy(), "n": b["copies"].to_numpy(), "home": home.astype(np.int32), "probes": probes, "vector": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "error": error})
-                yield own.assign(list=own["home"], base=True)
-                yield own.assign(list=own["probes"], base=False).explode("list").astype({"list": np.int32})
-
-    fields = "id long, n long, home int, probes array<int>, vector binary, code binary, error double, list int, base boolean"
-    entries = cut(reps.mapInPandas(assign, fields))
-    # at most `LISTS` rows: how many blocks each list has on either side
-    blocks = F.broadcast(entries.groupBy("list").agg(F.ceil(F.count_if("base") / BLOCK).cast("int").alias("nb"), F.ceil(F.count_if(~F.col("base")) / BLOCK).cast("int").alias("nq")).filter("nb > 0 and nq > 0"))
+            length = whole["embedding"].map(len).to_numpy()
+            for d in np.unique(length).tolist():
+                of_length, index = whole[length == d], shared.value[d]
+                for start in range(0, len(of_length), 2_000):
+                    b = of_length.iloc[start : start + 2_000]
+                    x = unit(np.array(b["embedding"].tolist(), dtype=np.float64))
+                    home = index.home(x)
+                    residuals = x - index.centre(home)
+                    codes = index.residual_codes(residuals)
+                    error = np.sqrt(((residuals - index.decode(codes, d)) ** 2).sum(axis=1))
+                    row, place = index.probes(x, margin)
+                    probes = np.split(place, np.flatnonzero(np.diff(row)) + 1)
+                    yield pd.DataFrame({"d": d, "id": b["node"].to_numpy(), "n": b["copies"].to_numpy(), "home": home, "probes": probes, "vector": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "error": error})
+
+    placed = cut(nodes.mapInPandas(assign, "d int, id long, n long, home long, probes array<long>, vector binary, code binary, error double"))
+    queries = placed.select("d", "id", "n", "home", "vector", F.explode("probes").alias("list"))
+    # how many blocks each list has on either side
+    homes = placed.groupBy("d", F.col("home").alias("list")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    visits = placed.select("d", F.explode("probes").alias("list")).groupBy("d", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nq"))
+    blocks = cut(homes.join(visits, ["d", "list"]))
+    blocks = F.broadcast(blocks) if blocks.limit(SMALL + 1).count() <= SMALL else blocks
     own = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    met = entries.join(blocks, "list")
-    sides = met.filter("base").withColumn("b", own(F.col("nb"))).withColumn("q", F.explode(every(F.col("nq")))).unionByName(met.filter(~F.col("base")).withColumn("q", own(F.col("nq"))).withColumn("b", F.explode(every(F.col("nb")))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    bases = placed.withColumn("list", F.col("home")).join(blocks, ["d", "list"]).select("d", "list", own(F.col("nb")).alias("b"), every(F.col("nq")).alias("q"), F.lit(True).alias("base"), "id", "n", "home", "probes", "vector", "code", "error")
+    asked = queries.join(blocks, ["d", "list"]).select("d", "list", own(F.col("nq")).alias("q"), every(F.col("nb")).alias("b"), F.lit(False).alias("base"), "id", "n", "home", "vector")
+    sides = bases.unionByName(asked, allowMissingColumns=True)
 
     def search(both: pd.DataFrame) -> pd.DataFrame:
         base, query = both[both["base"]], both[~both["base"]]
         if not len(base) or not len(query):
             return pd.DataFrame({"a": [], "b": [], "links": []}).astype({"a": "int64", "b": "Int64", "links": "int64"})
-        gained, forest = _compare(shared.value, base, query, dim, threshold)
+        d = int(both["d"].iloc[0])
+        gained, forest = _compare(shared.value[d], base, query, d, threshold)
         links = pd.DataFrame({"a": gained["id"].astype("int64"), "b": pd.array([None] * len(gained), dtype="Int64"), "links": gained["links"].astype("int64")})
         edges = pd.DataFrame({"a": [e[0] for e in forest], "b": pd.array([e[1] for e in forest], dtype="Int64"), "links": 0})
         return pd.concat([links, edges.astype({"a": "int64", "links": "int64"})])
 
-    found = cut(sides.drop("nb", "nq").groupBy("list", "b", "q").applyInPandas(search, "a long, b long, links long"))
-    links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("more"))
-    parts = connected_components(found.filter("b is not null"))
-    known = reps.select("rep", "copies").join(links, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    linked = join_to_groups(grouped.select("vec_id", "rep", "copies"), known, "rep", "copies")
-    out = linked.select("vec_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    alone = rows.filter(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    found = cut(sides.groupBy("d", "list", "b", "q").applyInPandas(search, "a long, b long, links long"))
+    links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
+    parts = cut(connected_components(found.filter("b is not null")).join(nodes.select(F.col("node").alias("id"), "rep"), "id"))
+    named = parts.join(parts.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("id").alias("node"), "component_id").join(links, "node")
+    known = nodes.join(named, "node", "left").select("embedding", "rep", "copies", "more", "component_id")
+    out = ok.join(known, "embedding").select("vec_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    return out.unionByName(lonely).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

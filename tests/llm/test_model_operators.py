@@ -197,6 +197,42 @@ def test_embeddings_match_brute_force(spark):
     assert all(got[i]["component_id"] <= i and got[i]["kept"] == (got[i]["component_id"] == i) for i in range(len(x)))
 
 
+def test_different_vectors_of_one_id_and_other_lengths(spark):
+    rng = np.random.default_rng(3)
+    a, b, c = rng.normal(size=(3, 8))
+    rows = [(1, a), (1, b), (2, a * 1.0001 + 1e-3), (3, b * 0.9999 + 1e-3), (4, c[:3]), (5, c[:3]), (6, c[:3] + 1e-3), (7, c)]
+    got = embedding_dedup.link_near(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+    assert [(r["vec_id"], r["n_links"], r["component_id"]) for r in got] == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 2, 4), (5, 2, 4), (6, 2, 4), (7, 0, 7)]
+
+
+def test_two_levels_of_lists_find_the_hardest_links():
+    """Pairs just above the threshold, over a thousand lists: what no probe finds is under a tenth of them."""
+    rng = np.random.default_rng(12)
+    x = embedding_dedup.unit(rng.normal(size=(8_000, 64)))
+    e = rng.normal(size=x.shape)
+    e = embedding_dedup.unit(e - (e * x).sum(axis=1, keepdims=True) * x)
+    y = 0.952 * x + np.sqrt(1 - 0.952**2) * e
+    index = embedding_dedup.build(x, 600_000)
+    assert len(index.first) * len(index.second) >= 1_000 and len(index.second) > 1
+    home = {0: index.home(x), 1: index.home(y)}
+    found = np.zeros(len(x), dtype=bool)
+    for rows, other in ((x, home[1]), (y, home[0])):
+        row, place = index.probes(rows, embedding_dedup.PROBE_MARGIN)
+        found[row[place == other[row]]] = True
+    assert found.mean() >= 0.95
+
+
+def test_links_over_two_levels_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3_000, 24))
+    x[1_500:] = x[:1_500] + rng.normal(size=(1_500, 24)) * 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([r["n_links"] for r in embedding_dedup.link_near(df, list_size=4).orderBy("vec_id").collect()])
+    y = embedding_dedup.unit(x)
+    want = (y @ y.T >= 0.95).sum(axis=1) - 1
+    assert (got <= want).all() and got.sum() >= 0.95 * want.sum() > 0
+
+
 def test_no_embeddings(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.link_near(empty).count() == 0
