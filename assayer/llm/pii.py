@@ -32,10 +32,12 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 LETTER_VALUES = {chr(ord("A") + i): str(10 + i) for i in range(26)}
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "(?i)mail|contact|write"),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, r"(?i)\bip\b|host|server|address"),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, "(?i)(^|[^a-z])ip([^a-z]|$)|host|server|address"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", 0.3, "(?i)card|visa|credit|karte|carte|tarjeta", 0.5),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "(?i)phone|call|tel|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9_])", "[A-Z]{2}[0-9]{2}", 0.2, "(?i)iban|bank|account|konto|compte|cuenta", 0.5, base=False),
+    # added kinds: what pattern and checksum give stays below MIN_SCORE, so the words around a match decide
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9_])", "[A-Z]{2}[0-9]{2}", 0.1, "(?i)iban|bank|account|konto|compte|cuenta", 0.35, base=False),
+    Kind("ssn", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", "[0-9]-[0-9]{2}-[0-9]", 0.3, "(?i)(^|[^a-z])ssn([^a-z]|$)|social.security|tax.id|national.id", base=False),
 )
 
 
@@ -65,6 +67,7 @@ def _valid(kind: Kind, match: Column) -> Column:
         "card": _luhn(digits),
         "phone": F.length(digits).between(9, 15),
         "iban": _mod97(match),
+        "ssn": ~match.rlike("^(000|666|9..)|-00-|-0000$"),
     }
     return tests[kind.name]
 
@@ -96,8 +99,9 @@ def _spans(text: Column, kind: Kind) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """Add an array of struct(kind, start, end, score, match): all spans, by kind as in KINDS, then by start.
 
-    Base kinds (email, ip, card, phone) keep every match that passes its own test, whatever its score; account numbers
-    (iban) are added where the mod-97 checksum and the words around them make MIN_SCORE. Null or empty text: empty array.
+    Base kinds (email, ip, card, phone) keep every match that passes its own test, whatever its score. Account numbers (iban,
+    mod-97 checksum) and social security numbers (ssn, ranges in use) are added only where a word of their context stands
+    within CONTEXT_CHARS characters before or after: without one neither makes MIN_SCORE. Null or empty text: empty array.
     Spans of different kinds may overlap. Repeated rows: each by itself. Empty table: empty result. A column named like
     `into` is replaced; other columns pass through."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -109,3 +113,8 @@ def listed(spans: Column, base_only: bool = False) -> Column:
     names = [k.name for k in KINDS if k.base]
     chosen = F.filter(spans, lambda x: x["kind"].isin(names)) if base_only else spans
     return F.array_join(F.transform(chosen, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def scores(spans: Column) -> Column:
+    """The score of each span in per cent, joined by commas, in the order of `listed`."""
+    return F.array_join(F.transform(spans, lambda x: F.round(x["score"] * 100).cast("int").cast("string")), ",")

@@ -12,7 +12,7 @@ from assayer.llm.line_dedup import remove_runs
 from assayer.llm.mixing import mix
 from assayer.llm.ngram_join import similar
 from assayer.llm.packing import pack_documents
-from assayer.llm.pii import KINDS, find_pii, listed
+from assayer.llm.pii import KINDS, find_pii, listed, scores
 from assayer.llm.quality_rules import quality_rules
 from assayer.llm.secrets import BASE, find_secrets
 
@@ -75,7 +75,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long")
     counts = [of(k.name).alias(f"n_{k.name}") for k in KINDS if k.base]
-    return out.select("doc_id", *counts, F.sha2(listed(F.col("pii"), base_only=True).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("pii"), base_only=True).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), scores(F.col("pii")).alias("scores"), (F.size("pii") > 0).alias("has_pii"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

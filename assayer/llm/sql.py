@@ -52,7 +52,12 @@ def pii_spans() -> str:
         "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": r"\b[A-Z]{2}[0-9]{2}([A-Z0-9]{11,30}|(\x20[A-Z0-9]{4}){2,7}(\x20[A-Z0-9]{1,3})?)\b",
+        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     }
+    added = ", ".join(f"'{k.name}'" for k in pii.KINDS if not k.base)
+    context = " ".join(f"WHEN '{k.name}' THEN regexp_matches(near, '{k.context}')" for k in pii.KINDS)
+    trust = " ".join(f"WHEN '{k.name}' THEN {round((k.score + k.checksum) * 100)}" for k in pii.KINDS)
+    gain, least = round(pii.CONTEXT_GAIN * 100), round(pii.MIN_SCORE * 100)
     # each pattern stands as a constant of its own: the engine compiles constants once
     found = " UNION ALL ".join(
         f"SELECT rid, {i} AS k, '{k}' AS kind, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS bs FROM d" for i, (k, p) in enumerate(patterns.items())
@@ -61,24 +66,25 @@ def pii_spans() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({found}),
-m AS (SELECT rid, k, kind, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, unnest(range(len(ms))) AS i FROM f WHERE len(ms) > 0),
-p AS (SELECT rid, k, kind, m, (sum(length(b) + length(m)) OVER (PARTITION BY rid, k ORDER BY i))::BIGINT AS e, regexp_replace(m, '[^0-9]+', '', 'g') AS digits, replace(m, ' ', '') AS compact FROM m),
+m AS (SELECT rid, k, kind, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, unnest(bs[2:]) AS after, unnest(range(len(ms))) AS i FROM f WHERE len(ms) > 0),
+p AS (SELECT rid, k, kind, m, (sum(length(b) + length(m)) OVER (PARTITION BY rid, k ORDER BY i))::BIGINT AS e, regexp_replace(m, '[^0-9]+', '', 'g') AS digits, replace(m, ' ', '') AS compact, right(b, {pii.CONTEXT_CHARS}) || ' ' || left(after, {pii.CONTEXT_CHARS}) AS near FROM m),
 v AS (
   SELECT *, CASE kind
     WHEN 'email' THEN true
     WHEN 'ip' THEN list_max([CAST(x AS HUGEINT) FOR x IN string_split(CASE WHEN kind = 'ip' THEN m ELSE '0' END, '.')]) <= 255
     WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum([CASE WHEN i % 2 = 0 THEN CASE WHEN x > 4 THEN x * 2 - 9 ELSE x * 2 END ELSE x END FOR x, i IN [CAST(y AS INT) FOR y IN string_split(reverse(digits), '') IF y <> '']]) % 10 = 0
     WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'ssn' THEN NOT regexp_matches(m, '^(000|666|9..)|-00-|-0000$')
     ELSE length(compact) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, [CAST(z AS BIGINT) FOR z IN string_split(array_to_string([CASE c {letters} ELSE c END FOR c IN string_split(compact[5:] || compact[:4], '')], ''), '') IF z <> '']), lambda a, z: (a * 10 + z) % 97) = 1
-    END AS ok
+    END AS ok, least(CASE kind {trust} END + CASE WHEN CASE kind {context} END THEN {gain} ELSE 0 END, 100) AS score
   FROM p),
-s AS (SELECT rid, k, kind, e - length(m) AS st, kind || ':' || (e - length(m)) || ':' || e AS one FROM v WHERE ok),
+s AS (SELECT rid, k, kind, e - length(m) AS st, kind || ':' || (e - length(m)) || ':' || e AS one, score FROM v WHERE ok AND (kind NOT IN ({added}) OR score >= {least})),
 g AS (
   SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-         string_agg(one, ',' ORDER BY k, st) FILTER (kind <> 'iban') AS base, string_agg(one, ',' ORDER BY k, st) AS spans
+         string_agg(one, ',' ORDER BY k, st) FILTER (kind NOT IN ({added})) AS base, string_agg(one, ',' ORDER BY k, st) AS spans, string_agg(score, ',' ORDER BY k, st) AS scores
   FROM s GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, spans IS NOT NULL AS has_pii
 FROM d LEFT JOIN g USING (rid)
 """
 

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assayer.llm import line_dedup, mixing, packing, pii, quality_rules, secrets
+from assayer.llm import line_dedup, mixing, packing, pii, quality_rules, queries, secrets, sql
 from assayer.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -201,14 +202,19 @@ def test_pii_matches_brute_force(spark):
     texts = [*EDGES, *PII]
     rows = pii.find_pii(documents(spark, texts)).orderBy("doc_id").collect()
     for t, r in zip(texts, rows, strict=True):
-        assert [(s["kind"], s["start"], s["end"]) for s in r["pii"] if s["kind"] != "iban"] == brute_pii(t or "")
+        assert [(s["kind"], s["start"], s["end"]) for s in r["pii"] if s["kind"] not in ("iban", "ssn")] == brute_pii(t or "")
         assert all((t or "")[s["start"] : s["end"]] == s["match"] for s in r["pii"])
 
 
-def test_account_numbers_need_their_checksum(spark):
-    texts = ["IBAN DE89 3704 0044 0532 0130 00.", "GB82WEST12345698765432 x", "DE89 3704 0044 0532 0130 01", "XX00AAAAAAAAAAAAAAA"]
-    rows = pii.find_pii(documents(spark, texts)).orderBy("doc_id").collect()
-    assert [[s["match"] for s in r["pii"] if s["kind"] == "iban"] for r in rows] == [["DE89 3704 0044 0532 0130 00"], ["GB82WEST12345698765432"], [], []]
+CONTEXT = [
+    "IBAN DE89 3704 0044 0532 0130 00.", "GB82WEST12345698765432 to my account", "zzz GB82WEST12345698765432 zzz", "iban DE89 3704 0044 0532 0130 01", "bank XX00AAAAAAAAAAAAAAA",
+    "SSN: 123-45-6789", "part 123-45-6789", "ssn 000-12-3456, ssn 987-65-4321", "social security\n123-45-6789 é", "lessness 123-45-6789", "account " + "x" * 60 + " GB82WEST12345698765432",
+]
+
+
+def test_context_decides_added_kinds(spark):
+    rows = pii.find_pii(documents(spark, CONTEXT)).orderBy("doc_id").collect()
+    assert [[s["match"] for s in r["pii"]] for r in rows] == [["DE89 3704 0044 0532 0130 00"], ["GB82WEST12345698765432"], [], [], [], ["123-45-6789"], [], [], ["123-45-6789"], [], []]
 
 
 def test_context_raises_the_score(spark):
@@ -216,6 +222,18 @@ def test_context_raises_the_score(spark):
     assert a["pii"][0]["score"] > b["pii"][0]["score"]
 
 
+def test_pii_query_equals_its_sql(spark, tmp_path):
+    """Texts whose spans hang on context alone, and all base kinds, by the query and by DuckDB."""
+    documents(spark, [*EDGES, *PII, *CONTEXT, "call +1 555 123 4567", "card 4111111111111111, host 1.2.3.4"]).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, queries.op9_pii(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(sql.pii_spans())
+    assert want.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores", "has_pii"]
+    assert got == sorted(want.fetchall())
+    assert sum("iban" in r[6] for r in got) == 2 and sum("ssn" in r[6] for r in got) == 2
+
+
 # quality rules
 
 
