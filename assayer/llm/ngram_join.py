@@ -197,41 +197,69 @@ def walk(batches: Iterator[pa.RecordBatch], depth: int, short: int) -> Iterator[
     yield from flush(held)
 
 
+class Leaders:
+    """The texts of a group that no earlier one speaks for, with their signatures, and which of them are joined already."""
+
+    def __init__(self):
+        self.node: list[int] = []
+        self.sig: list[np.ndarray] = []
+        self.top: list[int] = []
+
+    def find(self, k: int) -> int:
+        while self.top[k] != k:
+            self.top[k] = self.top[self.top[k]]
+            k = self.top[k]
+        return k
+
+    def meet(self, node: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Let texts meet all leaders, and lead in turn. Yields edges (leader, node, similarity) that join what none joined before:
+        fewer than the group has texts, though every text within NEAR of a leader ends up in one part with it."""
+        left, k = np.arange(len(node)), 0
+        home = np.full(len(node), -1)
+        while len(left):
+            if k == len(self.node):
+                i, left = int(left[0]), left[1:]
+                self.node.append(int(node[i]))
+                self.sig.append(sig[i].copy())
+                self.top.append(self.find(home[i]) if home[i] >= 0 else k)
+            alike = (sig[left] == self.sig[k]).mean(axis=1)
+            near = alike >= NEAR
+            new = left[near & (home[left] < 0)]
+            yield from ((self.node[k], int(node[i]), float(s)) for i, s in zip(new, alike[near & (home[left] < 0)], strict=True))
+            old = np.flatnonzero(near & (home[left] >= 0))
+            for h in np.unique(home[left[old]]).tolist():  # a text near leaders of two parts joins them
+                if self.find(h) != self.find(k):
+                    j = old[home[left[old]] == h][0]
+                    yield self.node[k], int(node[left[j]]), float(alike[j])
+                    self.top[self.find(h)] = self.find(k)
+            home[new] = k
+            left, k = left[alike < SAME], k + 1
+
+
 def follow_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (leader, node, similarity of signatures >= NEAR) of groups that come one after another (head, prefix, node, signature).
+    """Edges (a, b, s: similarity of signatures >= NEAR) of groups that come one after another (head, prefix, node, signature).
 
     The first text of a group leads; texts that no leader speaks for lead in turn. Every text meets every leader, so of two
     similar texts of a group both end up in one family. Only the leaders' signatures of one group are held."""
-    at, leaders = None, []
+    at, leaders = None, Leaders()
     for batch in batches:
         if not batch.num_rows:
             continue
         head, prefix, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[int, int, float]] = []
         new = np.flatnonzero((head[1:] != head[:-1]) | (prefix[1:] != prefix[:-1])) + 1
         for i, j in zip([0, *new.tolist()], [*new.tolist(), len(head)], strict=True):
             if at != (head[i], prefix[i]):
-                at, leaders = (head[i], prefix[i]), []
-            left, k = np.arange(i, j), 0
-            while len(left):
-                if k == len(leaders):
-                    leaders.append((node[left[0]], sig[left[0]].copy()))
-                    left, k = left[1:], k + 1
-                    own = leaders[-1]
-                else:
-                    own, k = leaders[k], k + 1
-                alike = (sig[left] == own[1]).mean(axis=1)
-                near = alike >= NEAR
-                out.append((np.full(int(near.sum()), own[0]), node[left[near]], alike[near]))
-                left = left[alike < SAME]
+                at, leaders = (head[i], prefix[i]), Leaders()
+            out += leaders.meet(node[i:j], sig[i:j])
         if out:
-            a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
+            a, b, s = (np.array(c) for c in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], names=["a", "b", "s"])
 
 
 def forest_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """Edges (a, b, s) between leaders and members of the groups that share prefixes of signatures (`node`, `sig` of each text).
+    """Edges (a, b, s) that join leaders and members of the groups that share prefixes of signatures (`node`, `sig` of each text).
 
     All trees are sorted once. Groups of texts that share all `depth` values are judged first, then shorter and shorter
     prefixes, only where tries branch, until the estimated recall of links near the threshold reaches `recall`: each
@@ -311,7 +339,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         forest = _forest(a, b)
         return pd.DataFrame({"a": np.concatenate([gained["a"].to_numpy(), np.array([e[0] for e in forest], dtype=np.int64)]), "b": pd.array([None] * len(gained) + [e[1] for e in forest], dtype="Int64"), "links": np.concatenate([gained["links"].to_numpy(), np.zeros(len(forest), dtype=np.int64)])}).astype({"a": "int64", "links": "int64"})
 
-    found = cut(dealt.groupBy("component", "p", "q").applyInPandas(compare, "a long, b long, links long"))
+    # a task's work is in comparing, not in reading, so small partitions are not put together
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut(dealt.repartition(parts, "component", "p", "q").groupBy("component", "p", "q").applyInPandas(compare, "a long, b long, links long"))
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
     parts = cut(connected_components(found.filter("b is not null")).join(members.select("id", "rep"), "id"))
     classes = parts.groupBy("component").agg(F.min("rep").alias("class_id"))

@@ -306,6 +306,44 @@ def test_branches_of_sorted_tries():
     assert whole == parts and {(h, n) for h, _, n, _ in whole} == {(int(h), int(n)) for h, n in zip(head, node, strict=True) if got[int(h) >> 8 * short, int(n)]}
 
 
+def test_leaders_join_what_is_similar():
+    """Joined are leaders and texts within NEAR of them, and any two texts at 0.8, in whatever pieces a group comes."""
+    rng = np.random.default_rng(7)
+    sig = rng.integers(0, 256, (5, 320)).astype(np.uint8)[rng.integers(0, 5, 200)]
+    for i in range(200):
+        at = rng.random(320) < rng.uniform(0, 0.45)
+        sig[i, at] = rng.integers(0, 256, int(at.sum()))
+
+    def parts(edges):
+        top = list(range(200))
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in edges:
+            top[find(a)] = find(b)
+        return [min(j for j in range(200) if find(j) == find(i)) for i in range(200)]
+
+    leaders, edges = [], []
+    for i in range(200):
+        alike = [(sig[i] == sig[k]).mean() for k in leaders]
+        spoken = next((n + 1 for n, s in enumerate(alike) if s >= ngram_join.SAME), len(alike))  # it meets no leader after that
+        edges += [(k, i) for k, s in zip(leaders[:spoken], alike, strict=False) if s >= ngram_join.NEAR]
+        if all(s < ngram_join.SAME for s in alike):
+            leaders.append(i)
+    assert 10 < len(leaders) < 150
+    for step in (1, 30, 200):
+        group = ngram_join.Leaders()
+        found = [e for i in range(0, 200, step) for e in group.meet(np.arange(i, min(200, i + step)), sig[i : i + step])]
+        assert len(found) < 200 and all(np.isclose((sig[a] == sig[b]).mean(), s) and s >= ngram_join.NEAR for a, b, s in found)
+        assert step > 1 or parts([e[:2] for e in found]) == parts(edges)
+        similar = [(i, j) for i, j in itertools.combinations(range(200), 2) if (sig[i] == sig[j]).mean() >= 0.8]
+        own = parts([e[:2] for e in found])
+        assert similar and all(own[i] == own[j] for i, j in similar)
+
+
 def _batch(*columns):
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["head", "tail", "node"])
 
