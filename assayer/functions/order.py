@@ -59,3 +59,14 @@ def rolling(df: DataFrame, key: str, order: list[str], value: str, width: int, o
     both = rows.withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
     frame = Window.partitionBy(key, "__bucket").orderBy(*order).rowsBetween(-(width - 1), 0)
     return both.withColumns({k: c.over(frame) for k, c in out.items()}).filter(~F.col("__halo")).select(*kept, *out)
+
+
+def places(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Number the rows of each group from 1 in the order of `order` (unique within a group), bucket by bucket. Keys and order are not null."""
+    kept = df.columns
+    rows = _cut(df, [key], F.col(order[0]).cast("timestamp").cast("double"))
+    sizes = rows.groupBy(key, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("__bucket")  # GRID + 1 rows a group at most
+    before = sizes.select(key, "__bucket", (F.sum("__n").over(earlier) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(key, "__bucket").orderBy(*order))
+    return rows.join(before, [key, "__bucket"]).withColumn(name, (own + F.col("__before")).cast("int")).select(*kept, name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import cache
 
@@ -18,8 +19,14 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where that is unset (tests, a laptop) is one made here."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that spark.checkpoint.dir names. Only on a local master (tests, a laptop) is one made where that is unset; on a
+    cluster a folder of one machine would break silently, so there it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return _own_folder()
 
 
 def cut(df: DataFrame) -> DataFrame:

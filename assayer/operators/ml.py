@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.numeric import finite
 from assayer.functions.order import quantiles
+from assayer.functions.shared import cut
 
-#: Rows that trees draw their samples from: a seeded sample of bounded size stands in for all rows.
-SAMPLE, POOL = 256, 256 * 20
+#: Rows of a tree, and how many times that a window of hashes holds on average, so that hardly any tree gets fewer.
+SAMPLE, SLACK = 256, 1.4
+#: Fits of K-means that run side by side.
+THREADS = 5
 
 
 def kmeans(df: DataFrame, columns: list[str], k: int = 3, restarts: int = 10, seed: int = 42) -> DataFrame:
@@ -26,8 +31,10 @@ def kmeans(df: DataFrame, columns: list[str], k: int = 3, restarts: int = 10, se
     rows = VectorAssembler(inputCols=columns, outputCol="__x").transform(df.filter(ok))
     if rows.isEmpty():
         return df.withColumn("CLUSTER", F.lit(None).cast("int"))
-    rows = rows.cache()
-    best = min((KMeans(k=k, seed=seed + i, featuresCol="__x", predictionCol="__c").fit(rows) for i in range(restarts)), key=lambda m: m.summary.trainingCost)
+    rows = cut(rows)
+    fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="__x", predictionCol="__c").fit(rows)
+    with ThreadPool(THREADS) as pool:
+        best = min(pool.map(fit, range(restarts)), key=lambda m: m.summary.trainingCost)
     order = sorted(range(len(best.clusterCenters())), key=lambda i: tuple(best.clusterCenters()[i]))
     number = F.create_map(*[F.lit(x) for new, old in enumerate(order) for x in (old, new)])
     found = best.transform(rows).select(*df.columns, number[F.col("__c")].alias("CLUSTER"))
@@ -36,26 +43,29 @@ def kmeans(df: DataFrame, columns: list[str], k: int = 3, restarts: int = 10, se
 
 @dataclass
 class Forest:
-    """Trees as arrays: feature (-1 in a leaf), threshold, left child (right is next), and path length reached in a leaf."""
+    """Trees as arrays, trees x nodes: feature, threshold, left child (right is next), and path length reached in a leaf. A leaf
+    is its own left child with an endless threshold, so that rows stay in it."""
 
     feature: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
     length: np.ndarray
     size: int
-    depth: int
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for f, t, left, length in zip(self.feature, self.threshold, self.left, self.length, strict=True):
-            at = np.zeros(len(x), dtype=np.int64)
-            for _ in range(self.depth):
-                inner = f[at] >= 0
-                column = np.where(inner, f[at], 0)
-                go = left[at] + (x[np.arange(len(x)), column] >= t[at])
-                at = np.where(inner, go, at)
-            total += length[at]
-        return 2.0 ** (-total / len(self.feature) / max(_average_path(self.size), 1e-12))
+        x = np.where(np.isnan(x), -np.inf, x)
+        trees, width = self.feature.shape
+        feature, threshold, left, length = (c.ravel() for c in (self.feature, self.threshold, self.left + np.arange(trees)[:, None] * width, self.length))
+        depth = int(np.ceil(np.log2(max(self.size, 2))))
+        out = np.zeros(len(x))
+        for start in range(0, len(x), 1_000):
+            part = x[start : start + 1_000]
+            flat, row = part.ravel(), np.arange(len(part)) * part.shape[1]
+            at = np.repeat(np.arange(trees)[:, None] * width, len(part), axis=1)
+            for _ in range(depth):
+                at = left[at] + (flat[row + feature[at]] >= threshold[at])
+            out[start : start + 1_000] = length[at].sum(axis=0)
+        return 2.0 ** (-out / trees / max(_average_path(self.size), 1e-12))
 
 
 def _average_path(n: int) -> float:
@@ -65,47 +75,77 @@ def _average_path(n: int) -> float:
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1) + np.euler_gamma) - 2.0 * (n - 1) / n
 
 
-def grow(pool: np.ndarray, trees: int, seed: int) -> Forest:
-    """Trees on samples without replacement, split at random between the extremes of a random feature that varies."""
-    size = min(SAMPLE, len(pool))
-    limit = int(np.ceil(np.log2(max(size, 2))))
+def grow(rows: np.ndarray, seed: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One tree on a sample: feature, threshold, left child and path length of each node; splits lie at random between the
+    extremes of a random feature that varies."""
+    limit = int(np.ceil(np.log2(max(len(rows), 2))))
     width = 2 ** (limit + 1)
-    feature, threshold = np.full((trees, width), -1, dtype=np.int64), np.zeros((trees, width))
-    left, length = np.zeros((trees, width), dtype=np.int64), np.zeros((trees, width))
-    for k in range(trees):
-        rng = np.random.default_rng([seed, k])
-        todo, used = [(0, pool[rng.choice(len(pool), size, replace=False)], 0)], 1
-        while todo:
-            node, rows, depth = todo.pop()
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            varies = np.flatnonzero(high > low)
-            if depth >= limit or len(rows) <= 1 or not len(varies):
-                length[k, node] = depth + _average_path(len(rows))
-                continue
-            f = int(rng.choice(varies))
-            cut = low[f] + (high[f] - low[f]) * (1 - rng.random())  # in (low, high], so both sides get rows
-            feature[k, node], threshold[k, node], left[k, node] = f, cut, used
-            todo += [(used, rows[rows[:, f] < cut], depth + 1), (used + 1, rows[rows[:, f] >= cut], depth + 1)]
-            used += 2
-    return Forest(feature, threshold, left, length, size, limit)
+    feature, threshold, left, length = np.zeros(width, dtype=np.int64), np.full(width, np.inf), np.arange(width), np.zeros(width)
+    rng = np.random.default_rng(seed)
+    todo, used = [(0, rows, 0)], 1
+    while todo:
+        node, rows, depth = todo.pop()
+        low, high = rows.min(axis=0), rows.max(axis=0)
+        varies = np.flatnonzero(high > low)
+        if depth >= limit or len(rows) <= 1 or not len(varies):
+            length[node] = depth + _average_path(len(rows))
+            continue
+        f = int(rng.choice(varies))
+        cut_at = low[f] + (high[f] - low[f]) * (1 - rng.random())  # in (low, high], so both sides get rows
+        feature[node], threshold[node], left[node] = f, cut_at, used
+        todo += [(used, rows[rows[:, f] < cut_at], depth + 1), (used + 1, rows[rows[:, f] >= cut_at], depth + 1)]
+        used += 2
+    return feature, threshold, left, length
+
+
+def samples(df: DataFrame, row_id: str, columns: list[str], trees: int, seed: int, n: int) -> DataFrame:
+    """`tree`, `place`, the id and columns of the rows that each tree may draw: some SAMPLE * SLACK of all n rows, chosen by hashes.
+
+    A row's hash is its place on a circle, and a tree takes the rows in its own arc; trees whose arcs would not fit on the circle side by
+    side use further hashes. So the work is about one hash a row where the table is large."""
+    arc = min(1.0, SAMPLE * SLACK / max(n, 1))
+    each = max(1, int(1 / arc))
+    rounds = [(k, min(each, trees - k * each)) for k in range(-(-trees // each))]
+    span = 1 << 52
+    places = F.array(*[(F.pmod(F.xxhash64(F.col(row_id), F.lit(seed), F.lit(k)), F.lit(span)) / float(span)).alias("u") for k, _ in rounds])
+    picks = df.select(row_id, *columns, F.posexplode(places).alias("__round", "__u"))
+    slot = F.least(F.floor(F.col("__u") / arc), F.lit(each)).cast("int")
+    drawn = picks.withColumn("tree", F.col("__round") * each + slot).filter((slot < each) & (F.col("tree") < trees))
+    return drawn.select("tree", (F.col("__u") / arc - slot).alias("place"), row_id, *columns)
 
 
 def isolation_forest(df: DataFrame, row_id: str, columns: list[str], trees: int = 100, contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """Add IForestScore (higher: stranger) and IForestAnomaly to rows without missing features.
+    """Add IForestScore (higher: stranger) and IForestAnomaly to every row; rows with a missing or infinite feature keep null in both.
 
-    Rows whose score lies above the exact quantile that leaves `contamination` of them are anomalies. The pool that
-    trees draw from is chosen by a hash of the row id, so results do not depend on partitions."""
-    place = F.xxhash64(F.col(row_id), F.lit(seed))
-    pool = df.select(row_id, *columns).orderBy(place, row_id).limit(POOL).toPandas()
-    if pool.empty:
+    Each tree draws SAMPLE rows from all rows by hashes of their ids, so results do not depend on partitions, and is grown in a
+    task of its own. Rows whose score lies above the exact quantile that leaves `contamination` of them are anomalies."""
+    values = [finite(F.col(c).cast("double")).alias(c) for c in columns]
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & finite(F.col(c).cast("double")).isNotNull()
+    df = cut(df)
+    used = df.filter(ok).select(row_id, *values)
+    n = used.count()
+    if not n:
         return df.withColumns({"IForestScore": F.lit(None).cast("double"), "IForestAnomaly": F.lit(None).cast("boolean")})
-    forest = df.sparkSession.sparkContext.broadcast(grow(pool.sort_values(row_id)[columns].to_numpy(dtype=np.float64), trees, seed))
+
+    def tree(group: pd.DataFrame) -> pd.DataFrame:
+        k = int(group["tree"].iloc[0])
+        rows = group.sort_values(["place", row_id]).head(SAMPLE).sort_values(row_id)[columns].to_numpy(dtype=np.float64)
+        return pd.DataFrame([(k, len(rows), *[x.tolist() for x in grow(rows, [seed, k])])], columns=["tree", "size", "feature", "threshold", "left", "length"])
+
+    fields = "tree int, size int, feature array<long>, threshold array<double>, left array<long>, length array<double>"
+    grown = samples(used, row_id, columns, trees, seed, n).groupBy("tree").applyInPandas(tree, fields).toPandas().sort_values("tree")
+    width = max(map(len, grown["feature"]))
+    whole = lambda c, rest: np.stack([np.concatenate([x, rest[len(x) :]]) for x in grown[c]])
+    forest = Forest(whole("feature", np.zeros(width, np.int64)), whole("threshold", np.full(width, np.inf)), whole("left", np.arange(width)), whole("length", np.zeros(width)), int(grown["size"].max()))
+    shared = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for x in batches:
-            yield pd.Series(forest.value.score(x.to_numpy(dtype=np.float64)))
+            yield pd.Series(shared.value.score(x.to_numpy(dtype=np.float64)))
 
-    scored = df.withColumn("IForestScore", score(F.struct(*[F.col(c).cast("double") for c in columns]))).cache()
+    scored = cut(df.withColumn("IForestScore", F.when(ok, score(F.struct(*values)))))
     limit = quantiles(scored.select(F.lit(0).alias("__all"), "IForestScore"), ["__all"], F.col("IForestScore"), [1 - contamination]).select(F.col("quantile").alias("__limit"))
     return scored.join(F.broadcast(limit), F.lit(True), "left").withColumn("IForestAnomaly", F.col("IForestScore") > F.col("__limit")).drop("__limit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.numeric import clip, mentions, ratio, rounded
+from assayer.functions.numeric import clip, finite, mentions, ratio, rounded
 from assayer.functions.order import medians, rolling
 from assayer.functions.shared import cut, small_side
 
@@ -160,7 +160,8 @@ def top_risk(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def imputed_features(df: DataFrame) -> DataFrame:
-    """The model's nine features: missing ones take their column's median, or 0 where a column has no value at all."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in FEATURES])).alias("f")).select("f.name", "f.x")
+    """The model's nine features: missing and infinite ones take their column's median, or 0 where a column has no value at all."""
+    df = cut(df.select("row_id", *[finite(F.col(c).cast("double")).alias(c) for c in FEATURES]))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in FEATURES])).alias("f")).select("f.name", "f.x")
     middle = medians(long, ["name"], F.col("x"), "m").agg(*[F.max(F.when(F.col("name") == c, F.col("m"))).alias(f"__{c}") for c in FEATURES])
-    return df.join(F.broadcast(middle), F.lit(True), "left").select("row_id", *[F.coalesce(F.col(c).cast("double"), F.col(f"__{c}"), F.lit(0.0)).alias(c) for c in FEATURES])
+    return df.join(F.broadcast(middle), F.lit(True), "left").select("row_id", *[F.coalesce(F.col(c), F.col(f"__{c}"), F.lit(0.0)).alias(c) for c in FEATURES])

@@ -10,7 +10,7 @@ from assayer.plans import queries as q
 from assayer.plans.sql import CHARTS, ORACLES
 
 #: Queries whose results depend on a trained model, so SQL has no equal.
-MODELS = ("kmeans_clusters", "cluster_profile", "cluster_by_status", "iforest_scores", "anomaly_counts", "anomalies_by_sample_type", "value_trend", "anomaly_by_status", "anomaly_list", "chart_clusters")
+MODELS = ("kmeans_clusters", "cluster_counts", "cluster_profile", "cluster_by_status", "iforest_scores", "anomaly_counts", "anomalies_by_sample_type", "value_trend", "top10_with_anomaly", "anomaly_score_counts", "anomaly_by_status", "anomaly_list", "chart_clusters")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.numeric import clip, mentions, ratio, rounded, same_text, stripped, to_double, to_timestamp
-from assayer.functions.order import medians
+from assayer.functions.numeric import clip, finite, in_years, mentions, ratio, rounded, same_text, strict_timestamp, stripped, to_double, to_timestamp
+from assayer.functions.order import medians, places
+from assayer.functions.shared import cut, shared_folder
 from assayer.operators import ml, pipeline, precision, profile
-from assayer.sources.fixture import qc_results
+from assayer.sources.fixture import edge_results, qc_results
 from assayer.sources.results import read_results, write_csv
 
 COUNTED = ["Value", "ExpectedValue", "LowerLimit", "UpperLimit"]
@@ -29,6 +29,11 @@ def _prepared(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.prepare(qc_results(spark, d))
 
 
+def _complete(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with date and value, for what needs no imputed column."""
+    return pipeline.drop_incomplete(pipeline.normalise(qc_results(spark, d)))
+
+
 def _ruled(spark: SparkSession, d: str) -> DataFrame:
     return _prepared(spark, d).transform(pipeline.traffic_light)
 
@@ -75,8 +80,7 @@ def qc_features(spark, d):
 
 
 def qc_rolling(spark, d):
-    rows = pipeline.drop_incomplete(pipeline.normalise(_results(spark, d)))
-    return _r(pipeline.rolling_features(rows).select("row_id", "RollingMean", "RollingStd"), ["RollingMean", "RollingStd"])
+    return _r(pipeline.rolling_features(_complete(spark, d)).select("row_id", "RollingMean", "RollingStd"), ["RollingMean", "RollingStd"])
 
 
 def qc_risk_scores(spark, d):
@@ -99,6 +103,13 @@ def feature_imputed(spark, d):
     return _r(pipeline.imputed_features(_assessed(spark, d)), list(pipeline.FEATURES))
 
 
+def qc_edge_rows(spark, d):
+    """The whole pipeline over results with missing dates and values, negative targets and warning limits of their own."""
+    out = pipeline.assess(edge_results(spark, d))
+    columns = ["ExpectedValue", "LowerLimit", "UpperLimit", "WarningLower", "WarningUpper", "DeviationPct", "RollingMean"]
+    return _r(out.select("row_id", *columns, "RuleFlag", "RiskScore", "RiskLevel"), columns)
+
+
 # precision
 
 
@@ -174,7 +185,7 @@ def numeric_columns_describe(spark, d):
 
 
 def sample_type_counts(spark, d):
-    return profile.value_counts(_prepared(spark, d), "SampleType")
+    return profile.value_counts(_complete(spark, d), "SampleType")
 
 
 def analyte_counts(spark, d):
@@ -186,7 +197,7 @@ def status_counts_with_null(spark, d):
 
 
 def hist_30(spark, d):
-    return profile.histogram(_prepared(spark, d), "Value", 30)
+    return profile.histogram(_complete(spark, d), "Value", 30)
 
 
 def hist_100(spark, d):
@@ -197,6 +208,24 @@ def box_stats(spark, d):
     return profile.box_stats(spark.read.parquet(f"{d}/part.parquet"), ["p_retailprice", "p_size"])
 
 
+def box_stats_results(spark, d):
+    df = _results(spark, d)
+    return profile.box_stats(df, profile.numeric_columns(df))
+
+
+def _of_2024(spark, d, kind):
+    df = _results(spark, d)
+    return df.filter((F.col("ANALYTICAL_TYPE") == kind) & in_years(F.col("ANALYSED_DATE"), [2024]))
+
+
+def hist_100_blank(spark, d):
+    return profile.histogram(_of_2024(spark, d, "Blank"), "NUMERIC_FINAL_VALUE", 100)
+
+
+def hist_100_standard(spark, d):
+    return profile.histogram(_of_2024(spark, d, "Standard"), "NUMERIC_FINAL_VALUE", 100)
+
+
 def identity_extent(spark, d):
     return profile.identity_extent(_pairs(spark, d), "NUMERIC_FINAL_VALUE", "PARENT_NUMERIC_FINAL_VALUE")
 
@@ -245,16 +274,26 @@ def common_users_by_analyte(spark, d):
 # models
 
 
+def _scaled_pairs(spark, d):
+    """Pairs of the analyte; both features are standardised over the rows that have both, and null elsewhere."""
+    ok = precision.usable()
+    features = {f"{c}_z": F.when(ok, F.col(c)) for c in ("RPD", "LOG_MEAN")}
+    rows = cut(_analyte_pairs(spark, d).withColumns(features))
+    return profile.standardise(rows, list(features)).drop(*features).withColumnsRenamed({f"{c}_z": c for c in features})
+
+
 def _clustered(spark, d):
-    ok = _analyte_pairs(spark, d)
-    z = profile.standardise(ok.filter(precision.usable()), ["RPD", "LOG_MEAN"])
-    return ml.kmeans(z, ["RPD_z", "LOG_MEAN_z"])
+    return ml.kmeans(_scaled_pairs(spark, d), ["RPD_z", "LOG_MEAN_z"])
 
 
 def kmeans_clusters(spark, d):
     """Every pair of the analyte with its cluster; rows without features keep none."""
-    found = _clustered(spark, d).select("row_id", "CLUSTER")
-    return _analyte_pairs(spark, d).select("row_id", "RPD", "LOG_MEAN").join(found, "row_id", "left")
+    return _clustered(spark, d).select("row_id", "RPD", "LOG_MEAN", "CLUSTER")
+
+
+def cluster_counts(spark, d):
+    """Rows of each cluster, and of none."""
+    return profile.value_counts(_clustered(spark, d), "CLUSTER", with_null=True)
 
 
 def cluster_profile(spark, d):
@@ -265,36 +304,44 @@ def cluster_by_status(spark, d):
     return precision.contingency(_clustered(spark, d), "CLUSTER", "PRECISION_STATUS")
 
 
-def _scored(spark, d):
-    df = _assessed(spark, d)
-    features = pipeline.imputed_features(df)
-    return ml.isolation_forest(features, "row_id", list(pipeline.FEATURES), trees=250)
+def _scored(spark, d, more: tuple[str, ...] = ()):
+    """Scores of all assessed rows, which are computed once; `more` names columns of theirs to keep."""
+    df = cut(_assessed(spark, d).select("row_id", *pipeline.FEATURES, *[c for c in more if c not in pipeline.FEATURES]))
+    scored = ml.isolation_forest(pipeline.imputed_features(df), "row_id", list(pipeline.FEATURES), trees=250)
+    scored = scored.select("row_id", "IForestScore", "IForestAnomaly")
+    return scored.join(df.select("row_id", *more), "row_id") if more else scored
 
 
 def iforest_scores(spark, d):
-    return profile.min_max(_scored(spark, d).select("row_id", "IForestScore", "IForestAnomaly"), "IForestScore", "IForestScoreNorm")
+    return profile.min_max(_scored(spark, d), "IForestScore", "IForestScoreNorm")
 
 
 def anomaly_counts(spark, d):
     return profile.value_counts(_scored(spark, d), "IForestAnomaly")
 
 
-def _with_anomaly(spark, d):
-    return _prepared(spark, d).join(_scored(spark, d).select("row_id", "IForestAnomaly", "IForestScore"), "row_id")
-
-
 def anomalies_by_sample_type(spark, d):
-    return _with_anomaly(spark, d).filter("IForestAnomaly").groupBy("SampleType").agg(F.count(F.lit(1)).alias("AnomalyCount"))
+    return _scored(spark, d, ("SampleType",)).filter("IForestAnomaly").groupBy("SampleType").agg(F.count(F.lit(1)).alias("AnomalyCount"))
 
 
 def value_trend(spark, d):
-    return _with_anomaly(spark, d).select("row_id", "AnalysisDate", "Value", "IForestAnomaly")
+    return _scored(spark, d, ("AnalysisDate", "Value")).select("row_id", "AnalysisDate", "Value", "IForestAnomaly")
+
+
+def top10_with_anomaly(spark, d):
+    """The shortlist of highest risk with the model's verdict, nine columns."""
+    shown = ("SampleID", "SampleType", "Analyte", "AnalysisDate", "Value", "RuleFlag", "RiskScore", "RiskLevel")
+    return _scored(spark, d, shown).orderBy(F.desc_nulls_last("RiskScore"), "row_id").limit(10).select(*shown, "IForestAnomaly")
 
 
 def _strange_pairs(spark, d):
-    z = profile.standardise(_analyte_pairs(spark, d).filter(precision.usable()), ["RPD", "LOG_MEAN"])
-    out = ml.isolation_forest(z, "row_id", ["RPD_z", "LOG_MEAN_z"])
-    return out.withColumn("ANOMALY_SCORE", F.when(F.col("IForestAnomaly"), -1).otherwise(1))
+    """Pairs of the analyte with ANOMALY_SCORE -1 or 1; rows without features keep null."""
+    out = ml.isolation_forest(_clustered(spark, d), "row_id", ["RPD_z", "LOG_MEAN_z"])
+    return out.withColumn("ANOMALY_SCORE", F.when(F.col("IForestAnomaly"), -1).when(~F.col("IForestAnomaly"), 1))
+
+
+def anomaly_score_counts(spark, d):
+    return profile.value_counts(_strange_pairs(spark, d), "ANOMALY_SCORE", with_null=True)
 
 
 def anomaly_by_status(spark, d):
@@ -302,15 +349,15 @@ def anomaly_by_status(spark, d):
 
 
 def anomaly_list(spark, d):
-    return _strange_pairs(spark, d).filter("ANOMALY_SCORE = -1").select("row_id", "JOB_CODE", "ANALYTE_CODE", "NUMERIC_FINAL_VALUE", "PARENT_NUMERIC_FINAL_VALUE", "RPD", "LOG_MEAN", "PRECISION_STATUS", "ANOMALY_SCORE").orderBy(F.desc_nulls_last("RPD"), "row_id")
+    shown = ("row_id", "JOB_CODE", "ANALYTE_CODE", "NUMERIC_FINAL_VALUE", "PARENT_NUMERIC_FINAL_VALUE", "ABS_DIFF", "MEAN_VALUE", "RPD", "LOG_MEAN", "PRECISION_STATUS", "CLUSTER", "ANOMALY_SCORE")
+    return _strange_pairs(spark, d).filter("ANOMALY_SCORE = -1").select(*shown).orderBy(F.desc_nulls_last("RPD"), "row_id")
 
 
 # single operators
 
 
 def op_csv_roundtrip(spark, d):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-csv-")
-    path = f"{shared}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     df = _results(spark, d).select("row_id", "JOB_CODE", "ANALYTE_CODE", "ANALYTICAL_TYPE", "ANALYSED_DATE", "NUMERIC_FINAL_VALUE", "PARENT_NUMERIC_FINAL_VALUE")
     header = df.columns
     write_csv(df.withColumn("ANALYSED_DATE", F.date_format("ANALYSED_DATE", "yyyy-MM-dd HH:mm:ss.SSSSSS")), path)
@@ -351,6 +398,25 @@ def op_casts(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", to_double(text).alias("number"), to_timestamp(day).alias("day"), F.col("value").cast("int").alias("whole"), F.col("event_id").cast("string").alias("id_text"))
 
 
+def op_strict_timestamp(spark, d):
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", strict_timestamp(text).alias("read_back"))
+
+
+def op_finite(spark, d):
+    odd = F.when(F.col("event_id") % 3 == 0, F.lit("Infinity").cast("double")).when(F.col("event_id") % 3 == 1, F.lit("NaN").cast("double")).otherwise(F.col("value"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", finite(odd).alias("kept"))
+
+
+def op_text_codes(spark, d):
+    """Instrument codes with leading zeros go through CSV as text, and a token of missing values may be a code."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    code = F.when(F.col("row_id") % 10 == 0, "NA").otherwise(F.lpad(F.col("ANALYSED_BY_USER_ID").cast("string"), 6, "0"))
+    df = _results(spark, d).select("row_id", code.alias("INSTRUMENT_ID"), "NUMERIC_FINAL_VALUE")
+    write_csv(df, path)
+    return read_results(spark, path, df.columns, ["row_id", "INSTRUMENT_ID"], {"INSTRUMENT_ID": ("",)})
+
+
 def op_date_parts(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -385,9 +451,9 @@ def op_partition_median(spark, d):
 
 
 def op_sort_date(spark, d):
-    # the place within an analyte, so that no sort gathers the whole table
-    w = Window.partitionBy("Analyte").orderBy("AnalysisDate", "row_id")
-    return _prepared(spark, d).select("row_id", "Analyte", F.row_number().over(w).alias("place"))
+    # the place within an analyte, bucket by bucket, so that no sort gathers the table or a hot analyte
+    rows = _complete(spark, d).select("row_id", "Analyte", "AnalysisDate")
+    return places(rows, "Analyte", ["AnalysisDate", "row_id"], "place").select("row_id", "Analyte", "place")
 
 
 def op_sort_desc(spark, d):

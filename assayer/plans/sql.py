@@ -24,6 +24,11 @@ RAW = """raw AS (
     CAST(CASE WHEN event_id % 5 IN (2, 3) THEN 0.025 END AS DOUBLE) AS STAT_DL_VALUE, CAST(CASE WHEN event_id % 5 IN (2, 3) THEN 0.05 END AS DOUBLE) AS STAT_DL_DUP_VALUE,
     'MG_KG' AS UNIT_CODE
   FROM events)"""
+#: RAW with missing dates and values, negative targets and warning limits.
+EDGE = RAW.replace("raw AS (", "plain AS (") + """, raw AS (
+  SELECT * REPLACE (CASE WHEN row_id % 23 <> 0 THEN ANALYSED_DATE END AS ANALYSED_DATE, CASE WHEN row_id % 29 <> 0 AND row_id % 31 <> 0 THEN NUMERIC_FINAL_VALUE END AS NUMERIC_FINAL_VALUE,
+    CASE WHEN row_id % 11 = 0 THEN -5.0::DOUBLE ELSE INTERNAL_TARGET_VALUE END AS INTERNAL_TARGET_VALUE,
+    CASE WHEN row_id % 9 = 0 THEN 10.0::DOUBLE END AS INTERNAL_MIN_WARNING_VALUE, CASE WHEN row_id % 9 = 0 THEN 30.0::DOUBLE END AS INTERNAL_MAX_WARNING_VALUE) FROM plain)"""
 NORM = """norm AS (
   SELECT row_id, coalesce(JOB_CODE, 'JOB-UNKNOWN') || '-' || row_id AS SampleID,
     CASE ANALYTICAL_TYPE WHEN 'Replicate' THEN 'Duplicate samples' WHEN 'Duplicate' THEN 'Duplicate samples' WHEN 'Blank' THEN 'Blank samples' WHEN 'Standard' THEN 'Standard samples' ELSE coalesce(ANALYTICAL_TYPE, 'Unknown') END AS SampleType,
@@ -134,6 +139,7 @@ ORACLES = {
     "qc_top10_risk": f"{ALL} SELECT SampleID, SampleType, Analyte, AnalysisDate, Value, RuleFlag, RiskScore, RiskLevel FROM risk ORDER BY RiskScore DESC NULLS LAST, row_id LIMIT 10",
     "qc_risk_by_sample_type": f"{ALL} SELECT SampleType, RiskLevel, count(*) AS n, {r('avg(RiskScore)', 4)} AS mean_score FROM risk GROUP BY SampleType, RiskLevel",
     "feature_imputed": f"{ALL} SELECT row_id, " + ", ".join(f"{r(f'coalesce({c}, (SELECT median({c}) FROM feat), 0)')} AS {c}" for c in FEATURES) + " FROM feat",
+    "qc_edge_rows": f"WITH {EDGE}, {NORM}, {EXP}, {LIM}, {RULE}, {FEAT}, {RISK} SELECT row_id, {rounded(['ExpectedValue', 'LowerLimit', 'UpperLimit', 'WarningLower', 'WarningUpper', 'DeviationPct', 'RollingMean'])}, RuleFlag, RiskScore, RiskLevel FROM risk",
     "dup_extract": f"WITH {RAW}, {PAIRS} SELECT * FROM pairs",
     "rep_extract": f"WITH {RAW}, {REPS} SELECT * FROM pairs",
     "dup_model": f"WITH {RAW}, {PAIRS} {MODEL} pairs",
@@ -156,6 +162,9 @@ ORACLES = {
     "hist_30": histogram(PREPARED, "lim", "Value", 30),
     "hist_100": histogram("", "lineitem", "l_extendedprice", 100),
     "box_stats": box("part", ["p_retailprice", "p_size"]),
+    "box_stats_results": f"{W_RAW} " + box("raw", ["ANALYSED_BY_USER_ID", *[c for c in RESULT_COLUMNS if c.endswith("_VALUE") and "WARNING" not in c]]),
+    "hist_100_blank": histogram(f"WITH {RAW}, year AS (SELECT * FROM raw WHERE ANALYTICAL_TYPE = 'Blank' AND {IN_2024})", "year", "NUMERIC_FINAL_VALUE", 100),
+    "hist_100_standard": histogram(f"WITH {RAW}, year AS (SELECT * FROM raw WHERE ANALYTICAL_TYPE = 'Standard' AND {IN_2024})", "year", "NUMERIC_FINAL_VALUE", 100),
     "identity_extent": f"WITH {RAW}, {PAIRS} SELECT least(min(NUMERIC_FINAL_VALUE), min(PARENT_NUMERIC_FINAL_VALUE)) AS low, greatest(max(NUMERIC_FINAL_VALUE), max(PARENT_NUMERIC_FINAL_VALUE)) AS high FROM pairs",
     "date_range": f"{W_RAW} SELECT min(ANALYSED_DATE) AS first, max(ANALYSED_DATE) AS last FROM raw",
     "value_diff": f"{W_RAW} SELECT row_id, {r('NUMERIC_FINAL_VALUE - INTERNAL_TARGET_VALUE')} AS value_diff FROM raw",
@@ -174,6 +183,9 @@ ORACLES = {
     "op_predicates": f"{W_RAW} SELECT row_id, NUMERIC_FINAL_VALUE FROM raw WHERE (NUMERIC_FINAL_VALUE < 5 OR NUMERIC_FINAL_VALUE > 90 OR PARENT_NUMERIC_FINAL_VALUE IS NULL) AND ANALYTE_CODE IS NOT NULL AND ANALYSED_DATE IS NOT NULL AND NUMERIC_FINAL_VALUE IS NOT NULL AND PARENT_NUMERIC_FINAL_VALUE IS NULL",
     "op_conditionals": f"{W_RAW} SELECT row_id, CASE WHEN PARENT_NUMERIC_FINAL_VALUE > 50 THEN 'high' ELSE 'low' END AS side, nullif(PARENT_NUMERIC_FINAL_VALUE, 0) AS safe, {r('NUMERIC_FINAL_VALUE / nullif(PARENT_NUMERIC_FINAL_VALUE, 0)')} AS share FROM raw",
     "op_casts": "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 5 <> 0 THEN value END AS number, CASE WHEN event_id % 4 <> 0 THEN date_trunc('day', ts)::TIMESTAMP END AS day, trunc(value)::INT AS whole, event_id::VARCHAR AS id_text FROM events",
+    "op_strict_timestamp": "SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS read_back FROM events",
+    "op_finite": "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN value END AS kept FROM events",
+    "op_text_codes": "SELECT event_id AS row_id, CASE WHEN event_id % 10 = 0 THEN 'NA' ELSE lpad(user_id::VARCHAR, 6, '0') END AS INSTRUMENT_ID FROM events",
     "op_date_parts": "SELECT year(o_orderdate)::INT AS y, count(*) AS n FROM orders GROUP BY 1",
     "op_math": f"{W_RAW} SELECT row_id, {r('abs(NUMERIC_FINAL_VALUE - PARENT_NUMERIC_FINAL_VALUE)')} AS gap, {r('least(greatest(NUMERIC_FINAL_VALUE, 10), 40)')} AS clipped, {r('greatest(NUMERIC_FINAL_VALUE - 10, 0)')} AS over, {r('NUMERIC_FINAL_VALUE', 2)} AS cents FROM raw",
     "op_strings": "SELECT event_id, event_type AS clean, event_type || '-' || event_id AS tag, lower(event_type) = 'click' AS is_click, lower(event_type) LIKE '%ic%' AS has_ic FROM events",

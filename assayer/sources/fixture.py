@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.functions.numeric import finite
+
 
 def qc_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -36,3 +38,17 @@ def qc_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         double(F.when(pair, 0.05)).alias("STAT_DL_DUP_VALUE"),
         F.lit("MG_KG").alias("UNIT_CODE"),
     )
+
+
+def edge_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same results with missing and infinite values, missing dates, negative targets and given warning limits among them."""
+    i = F.col("row_id")
+    return qc_results(spark, sf_dir).withColumns(
+        {
+            "ANALYSED_DATE": F.when(i % 23 != 0, F.col("ANALYSED_DATE")),
+            "NUMERIC_FINAL_VALUE": finite(F.when(i % 29 == 0, float("inf")).when(i % 31 != 0, F.col("NUMERIC_FINAL_VALUE"))),
+            "INTERNAL_TARGET_VALUE": F.when(i % 11 == 0, -5.0).otherwise(F.col("INTERNAL_TARGET_VALUE")),
+            "INTERNAL_MIN_WARNING_VALUE": F.when(i % 9 == 0, 10.0),
+            "INTERNAL_MAX_WARNING_VALUE": F.when(i % 9 == 0, 30.0),
+        }
+    )

@@ -34,3 +34,50 @@ def test_standardise_and_min_max(spark):
     got = profile.standardise(df, ["a", "b"]).collect()
     assert [r["a_z"] for r in got] == [-1.0, 1.0, None] and [r["b_z"] for r in got] == [0.0, 0.0, 0.0]
     assert profile.min_max(df, "a", "n").agg(F.max("n")).first()[0] <= 1.0
+
+
+def test_missing_features_keep_null_scores(spark):
+    df = spark.createDataFrame([(i, float(i), None if i == 3 else float("inf") if i == 4 else 1.0 * i) for i in range(60)], "id long, a double, b double")
+    got = {r["id"]: r for r in ml.isolation_forest(df, "id", ["a", "b"]).collect()}
+    assert len(got) == 60 and all((got[i]["IForestScore"] is None and got[i]["IForestAnomaly"] is None) == (i in (3, 4)) for i in got)
+    empty = ml.isolation_forest(df.filter("id < 0"), "id", ["a", "b"])
+    assert empty.count() == 0 and "IForestAnomaly" in empty.columns
+
+
+def test_path_lengths_by_plain_recursion():
+    """Scores of a forest equal those of walking every tree node by node."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(200, 3)), np.repeat(rng.normal(size=(1, 3)), 20, axis=0)])
+    trees = [ml.grow(x[rng.choice(len(x), 64, replace=False)], [5, k]) for k in range(12)]
+
+    def depth(tree, row, node=0, steps=0):
+        feature, threshold, left, length = tree
+        if np.isinf(threshold[node]):
+            return length[node], steps
+        return depth(tree, row, int(left[node]) + int(row[feature[node]] >= threshold[node]), steps + 1)
+
+    forest = ml.Forest(*(np.stack([t[i] for t in trees]) for i in range(4)), 64)
+    harmonic = lambda n: 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+    want = [2 ** -(np.mean([depth(t, row)[0] for t in trees]) / harmonic(64)) for row in x]
+    assert np.allclose(forest.score(x), want)
+    for tree in trees:  # a leaf's length is its depth and what its rows would add
+        for row in x[:50]:
+            length, steps = depth(tree, row)
+            assert length >= steps and steps <= 6
+
+
+def test_every_row_can_be_drawn(spark):
+    df = spark.range(20_000).withColumn("a", F.col("id").cast("double"))
+    drawn = ml.samples(df, "id", ["a"], 100, 42, 20_000).toPandas()
+    sizes = drawn.groupby("tree").size()
+    assert len(sizes) == 100 and sizes.min() >= ml.SAMPLE and drawn["place"].between(0, 1).all()
+    assert drawn["id"].nunique() > 15_000 and not drawn.duplicated(["tree", "id"]).any()
+    assert abs(drawn["id"].mean() - 10_000) < 200
+
+
+def test_kmeans_cost_is_the_least_of_all_splits(spark):
+    """Eight points on a line: the best of all assignments to two clusters is found."""
+    x = [0.0, 0.2, 0.5, 4.0, 4.1, 9.0, 9.3, 9.9]
+    got = [r["CLUSTER"] for r in ml.kmeans(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id int, x double"), ["x"], k=2).orderBy("id").collect()]
+    cost = lambda own: sum(((g := np.array([v for v, o in zip(x, own, strict=True) if o == c])) - g.mean()) @ (g - g.mean()) for c in (0, 1) if c in own)
+    assert np.isclose(cost(got), min(cost([i >> k & 1 for k in range(8)]) for i in range(1, 255)))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions.order import medians, quantiles, rolling
+from assayer.functions.order import medians, places, quantiles, rolling
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +49,10 @@ def test_rolling_first_rows(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(1, 10)], "k string, i int, x double").withColumn("t", (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("i"))).cast("timestamp_ntz"))
     got = {r["i"]: r for r in rolling(df, "k", ["t", "i"], "x", 7, {"mean": F.avg("x"), "std": F.stddev_samp("x")}).collect()}
     assert (got[7]["mean"], got[8]["mean"], got[1]["std"]) == (4.0, 5.0, None) and round(got[2]["std"], 4) == 0.7071
+
+
+def test_places_count_through_buckets(spark, table):
+    df = spark.createDataFrame(table)
+    got = places(df, "k", ["t", "id"], "place").toPandas().set_index("id").sort_index()["place"]
+    want = table.sort_values(["t", "id"]).groupby("k").cumcount() + 1
+    assert got.tolist() == want.sort_index().tolist()
