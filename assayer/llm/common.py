@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 from functools import cache
@@ -25,8 +26,14 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir. Only where that is unset (tests, a laptop) is one made here."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that the cluster shares, from spark.checkpoint.dir. Only on a local master (tests, a laptop) is one made where that
+    is unset; on a cluster a folder of one machine would break silently, so there it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return _own_folder()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -74,21 +81,6 @@ def first_of_group(df: DataFrame, keys: list[str], order: Column, first: str, co
     return salted.join(back, on).drop(*named, "__s", salt, "__order")
 
 
-#: A group with more rows than this is dealt into SALTS parts when its rows meet what is known of the group.
-HOT = 500
-
-
-def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Left join of rows to one row for each group; both hold the group's `key` and its number of rows as `size`.
-
-    Rows of large groups are dealt into parts, and only such groups' rows of `groups` are copied to all of them."""
-    parts = lambda n: F.when(n > HOT, F.lit(SALTS)).otherwise(F.lit(1))
-    others = [c for c in groups.columns if c not in (key, size)]
-    copied = groups.select(F.col(key).alias("__key"), *others, F.explode(F.sequence(F.lit(0), parts(F.col(size)) - 1)).alias("__part"))
-    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "embedding"]), parts(F.col(size))).cast("int"))
-    return dealt.join(copied, (F.col(key) == F.col("__key")) & (F.col("__deal") == F.col("__part")), "left").drop("__key", "__part", "__deal")
-
-
 def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each of the ascending, disjoint ranges of bytes or code points."""
     if not len(starts):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut, first_of_group, let
+from assayer.llm.common import SALTS, cut, first_of_group, let
 
 #: A chunk ends after a line where the rolling hash of the last WINDOW line hashes is divisible by DIVISOR, once it has LEAST
 #: lines, and at MOST lines at the latest. LEAST is 2: a repeated single line is no passage.
@@ -108,10 +108,15 @@ def _remove(docs: DataFrame, doc_id: str, text: str, found: DataFrame) -> DataFr
     one = F.col("c")
     bytes_of = lambda lines, c: F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"), F.array_join(F.slice(lines, c["start"] + 1, c["lines"]), "\n").alias("bytes"))
     parts = let(F.split(F.col(text), "\n", -1), lambda lines: F.transform("__chunks", lambda c: bytes_of(lines, c)))
-    compared = rows.select(doc_id, text, "__hash").join(marks, same).select(F.inline(parts))
-    unequal = compared.groupBy("h1", "h2").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).filter("low <> high").select("h1", "h2")
+    # all columns are read here as below, so that one exchange of the texts serves both joins
+    nulls = sum((F.col(c).isNull().cast("int") for c in kept), F.lit(0))
+    compared = rows.join(marks, same).select(nulls.alias("nulls"), parts.alias("parts")).select("nulls", F.inline("parts"))
+    unequal = compared.groupBy("h1", "h2").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"), F.sum("nulls").alias("nulls")).filter("low <> high AND nulls >= 0").select("h1", "h2")
     gone = marks.select("__id", "__text", F.explode(F.filter("__chunks", lambda c: ~c["first"])).alias("c")).select("__id", "__text", one["start"].alias("start"), one["lines"].alias("lines"), one["h1"].alias("h1"), one["h2"].alias("h2"))
-    sure = gone.join(unequal, ["h1", "h2"], "left_anti").groupBy("__id", "__text").agg(F.collect_list(F.struct("start", "lines")).alias("__gone"))
+    # one hash may be that of a third of all windows, so they meet the few unequal ones in parts
+    salted = unequal.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    gone = gone.withColumn("__salt", F.pmod(F.xxhash64("__id", "__text", "start"), F.lit(SALTS)).cast("int"))
+    sure = gone.join(salted, ["h1", "h2", "__salt"], "left_anti").groupBy("__id", "__text").agg(F.collect_list(F.struct("start", "lines")).alias("__gone"))
     numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["start"] + g["lines"] - 1)))))
     # runs of removed lines: their first lines, and their last
     edges = lambda at: F.struct(F.size(at).alias("n"), F.filter(at, lambda x, i: F.coalesce(F.get(at, i - 1) < x - 1, F.lit(True))).alias("a"), F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) > x + 1, F.lit(True))).alias("b"))

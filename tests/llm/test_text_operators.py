@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -177,6 +178,17 @@ def test_allowed_words_and_paths_hide_no_key_beside_them(spark):
     assert found[4:] == [[]] * 4
 
 
+def test_long_text_with_many_repeated_passages(spark):
+    """30,000 repeated passages in a text of 100,000 lines: removed at once, not one after another."""
+    source = [f"line number {i} of the first text" for i in range(60_000)]
+    own = [f"a line {i} of its own" for i in range(40_000)]
+    long = [x for i in range(20_000) for x in (own[2 * i], source[3 * i], source[3 * i + 1], own[2 * i + 1])] + [x for i in range(10_000) for x in (source[3 * i], source[3 * i + 1])]
+    began = time.time()
+    rows = line_dedup.remove_runs(documents(spark, ["\n".join(source), "\n".join(long)])).orderBy("doc_id").collect()
+    assert rows[0]["removed_lines"] == 0 and rows[1]["text"].split("\n") == own and rows[1]["removed_lines"] == 60_000
+    assert time.time() - began < 240
+
+
 # personal data
 
 
