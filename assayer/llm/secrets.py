@@ -22,7 +22,6 @@ BASE = {
 }
 #: The same matches of at least the least length; a shorter run is never a match of its own that a longer one could hide.
 FAST_HEX = re.compile("[0-9a-f]{16,}")
-FAST_ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 ASSIGN_HINT = re.compile("passw|secret|token|api_?key", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PART = re.compile("[A-Za-z0-9]+")
@@ -36,27 +35,39 @@ _CLASS_OF[ord("A") : ord("Z") + 1] = 1
 _CLASS_OF[ord("0") : ord("9") + 1] = 2
 
 
+# Frequent pairs of letters in English, German, French and Spanish words.
+COMMON_PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ch ge ie un be ic el ne li ss ei sc ue qu ai me la em ma co ro ta io us ll il "
+    "ac ad am ca ce ci da di do ec ef el em ga ho ht ib ig ir iv ke ko lo lu mi mo na ni no nc om op os ot pa pe pl po pr ri rs rt ru sh so su tr ts tu ul um ut ve vi wa we wi".split()
+)
+
+
 @dataclass(frozen=True)
 class Rules:
     """Window length in characters; least entropy in bits of the characters of each class inside a window, for classes with at
-    least `least` characters there; how many classes must reach theirs. `allow` spares whole candidates, the others only windows."""
+    least `least` characters there; how many classes must reach theirs. A letter class with `alone_least` characters suffices alone
+    from `alone` bits. `allow` spares whole candidates, the others only windows."""
 
     window: int = 20
     lower: float = 2.2
     upper: float = 2.2
     digit: float = 1.8
-    symbol: float = 9.0
+    symbol: float = 1.5
     least: int = 5
     classes: int = 2
+    alone: float = 3.0
+    alone_least: int = 12
     allow: tuple[str, ...] = (
-        r"^[A-Za-z]+(?:[-_/=+][A-Za-z]+)*$",  # words joined by signs
         r"^[0-9]+(?:[-_/][0-9]+)*$",  # numbers and dates
         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # public identifiers
     )
-    #: Parts between signs that no window may touch; starts of addresses and paths; their parts that are no secret, a word or a number.
+    #: Parts between signs that no window may touch; parts that are no secret if their letters pair as in words: words, words with
+    #: a number, words in a row that each start with a capital, numbers.
     words: str = r"(?i:example|sample|placeholder|dummy|changeme|xxxx)"
-    path: str = r"https?|www|/[a-z]"
-    plain: str = r"[A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*|[0-9]+[a-z]?"
+    plain: str = r"[a-z]*(?:[A-Z][a-z]+)*[0-9]{0,6}|[A-Z]+[0-9]{0,6}|[0-9]+[a-z]?"
+    #: Least share of COMMON_PAIRS among the pairs of letters of a window, where it has `pairs` or more.
+    common: float = 0.3
+    pairs: int = 8
 
 
 def window_entropies(s: str, window: int) -> Iterator[tuple[int, list[int], list[float]]]:
@@ -82,14 +93,25 @@ def window_entropies(s: str, window: int) -> Iterator[tuple[int, list[int], list
 
 
 def spared_windows(s: str, rules: Rules) -> Callable[[int], bool]:
-    """Whether the window from a place of a candidate touches a part with a word for examples, or holds nothing but a path's plain parts."""
-    word, odd = np.zeros(len(s) + 1, dtype=np.int64), np.zeros(len(s) + 1, dtype=np.int64)
+    """Whether the window from a place of a candidate touches a part with a word for examples, or holds nothing but plain parts whose
+    letters pair as in words. Constant work for each window."""
+    n = len(s)
+    word, odd, pairs, common = (np.zeros(n + 1, dtype=np.int64) for _ in range(4))
     for m in PART.finditer(s):
         word[m.start() + 1 : m.end() + 1] = re.search(rules.words, m.group()) is not None
         odd[m.start() + 1 : m.end() + 1] = re.fullmatch(rules.plain, m.group()) is None
-    word, odd = word.cumsum().tolist(), odd.cumsum().tolist()
-    path, n = re.match(rules.path, s) is not None, rules.window
-    return lambda i: word[i + n] > word[i] or path and odd[i + n] == odd[i]
+    low = s.lower()
+    for i in range(n - 1):
+        if low[i].isalpha() and low[i + 1].isalpha():
+            pairs[i + 1], common[i + 1] = 1, low[i : i + 2] in COMMON_PAIRS
+    word, odd, pairs, common = (x.cumsum().tolist() for x in (word, odd, pairs, common))
+
+    def spared(i: int) -> bool:
+        j = i + rules.window
+        letters = pairs[j - 1] - pairs[i]
+        return word[j] > word[i] or odd[j] == odd[i] and (letters < rules.pairs or common[j - 1] - common[i] >= rules.common * letters)
+
+    return spared
 
 
 def entropy_spans(text: str, rules: Rules, allowed: re.Pattern | None) -> list[tuple[str, int, int]]:
@@ -103,7 +125,8 @@ def entropy_spans(text: str, rules: Rules, allowed: re.Pattern | None) -> list[t
         start = end = -1
         spared = None
         for i, total, bits in window_entropies(s, rules.window):
-            if sum(n >= rules.least and b >= x for n, b, x in zip(total, bits, limits, strict=True)) >= rules.classes:
+            alone = any(n >= rules.alone_least and b >= rules.alone for n, b in zip(total[:2], bits[:2], strict=True))
+            if alone or sum(n >= rules.least and b >= x for n, b, x in zip(total, bits, limits, strict=True)) >= rules.classes:
                 if allowed is not None:
                     spared = spared or spared_windows(s, rules)
                     if spared(i):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
+import random
 import re
+import string
 import time
 import zlib
 from collections import Counter
@@ -178,6 +181,48 @@ def test_allowed_words_and_paths_hide_no_key_beside_them(spark):
     assert found[4:] == [[]] * 4
 
 
+def test_planted_keys_are_found_and_plain_strings_spared():
+    rng = random.Random(3)
+    allowed = re.compile("|".join(f"(?:{x})" for x in secrets.Rules().allow))
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    upper, both = string.ascii_uppercase, string.ascii_letters + string.digits
+    kinds = (
+        lambda: pick(upper, 40), lambda: pick(upper.lower(), 40), lambda: base64.b32encode(rng.randbytes(20)).decode(), lambda: base64.b64encode(rng.randbytes(30)).decode(),
+        lambda: f"/v1/hooks/{pick(both, 32)}", lambda: "/a" + base64.b64encode(rng.randbytes(30)).decode(), lambda: f"sample_key={pick(both, 40)}", lambda: pick(both, 24),
+    )
+    for make in kinds:
+        assert sum(bool(secrets.entropy_spans(f"x {make()} y", secrets.Rules(), allowed)) for _ in range(300)) >= 0.95 * 300
+    plain = (
+        "/usr/local/share/applications/default", "state-of-the-art-and-then-some-more", "getElementByIdAndThenDoSomethingElse", "2024-01-05/report_v2-final-version", "Donaudampfschifffahrtsgesellschaft",
+        "anticonstitutionnellement", "MAX_NUMBER_OF_RETRIES_BEFORE_FAILURE", "12345678901234567890", "THIS-IS-ALL-CAPITAL-LETTERS-IN-WORDS", "electroencefalografistas", "=" * 40, "abc" * 9,
+    )
+    assert not any(secrets.entropy_spans(t, secrets.Rules(), allowed) for t in plain)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcdXYZW0123+/=-_", min_size=0, max_size=70))
+def test_entropy_spans_equal_a_plain_count_of_every_window(text):
+    """Without an allow-list: unions of the windows whose classes, counted anew for each, reach the limits."""
+    rules = secrets.Rules()
+
+    def bits(chars):
+        return -sum(n / len(chars) * math.log2(n / len(chars)) for n in Counter(chars).values()) if chars else 0.0
+
+    want = []
+    for i in range(len(text) - rules.window + 1):
+        w = text[i : i + rules.window]
+        of = [[c for c in w if c.islower()], [c for c in w if c.isupper()], [c for c in w if c.isdigit()], [c for c in w if not c.isalnum()]]
+        if any(min(abs(bits(x) - y) for y in (2.2, 1.8, 1.5, 3.0)) < 1e-9 for x in of):
+            return  # on a limit, rounding decides
+        two = sum(len(x) >= rules.least and bits(x) >= y for x, y in zip(of, (rules.lower, rules.upper, rules.digit, rules.symbol), strict=True))
+        if two >= rules.classes or any(len(x) >= rules.alone_least and bits(x) >= rules.alone for x in of[:2]):
+            if want and want[-1][2] >= i:
+                want[-1] = ("entropy", want[-1][1], i + rules.window)
+            else:
+                want.append(("entropy", i, i + rules.window))
+    assert secrets.entropy_spans(text, rules, None) == want
+
+
 def test_long_text_with_many_repeated_passages(spark):
     """30,000 repeated passages in a text of 100,000 lines: removed at once, not one after another."""
     source = [f"line number {i} of the first text" for i in range(60_000)]
