@@ -14,13 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import held_out
+from assayer.llm.common import cut, held_out
 
-#: Bounds of what is fitted on: rows of each class, and n-grams.
+#: Bounds of what is fitted on, all of them rows of the labels: confirmed rows, rows taken without their label, and n-grams.
 POSITIVES, UNLABELLED, VOCABULARY, LEAST_DOCS = 4_000, 8_000, 3_000, 5
 GRAMS = (4, 5)
 LETTERS = re.compile(r"[^\W\d_]+")
-KNOWN_WORDS = 300_000
+#: Tokens whose n-grams a task remembers, and n-grams that it counts before it hands counts on.
+KNOWN_WORDS, COUNTED = 60_000, 100_000
 
 
 def grams(word: str) -> set[str]:
@@ -75,32 +76,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk estimate with the logistic loss.
+def slopes(z: np.ndarray, p: int, prior: float) -> np.ndarray:
+    """Which way the scores of p positive rows and of the unlabelled rows after them go: the gradient of the non-negative risk estimate.
+
+    The logistic risk of the negative class is estimated as that of the unlabelled rows less prior times that of the positive
+    ones taken as negative. Where that estimate is below zero, it is undone (its gradient turned round) and nothing else is followed."""
+    n = len(z)
+    up = 1 / (1 + np.exp(-np.clip(z, -500, 500)))  # derivative of log(1 + e^z), the loss as negative
+    negative = np.logaddexp(0, z)
+    slope = np.zeros(n)
+    slope[p:] = up[p:] / (n - p)
+    slope[:p] = -prior * up[:p] / p
+    if negative[p:].mean() - prior * negative[:p].mean() < 0:
+        return -slope
+    slope[:p] += prior * (up[:p] - 1) / p
+    return slope
+
 
-    The risk of the negative class is estimated as that of the unlabelled texts less prior times that of the positive ones
-    taken as negative. Where the estimate falls below zero, the step undoes it instead of following it further down."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk estimate with the logistic loss, by Adam's method."""
     if not positive or not unlabelled:
         odds = min(max(prior, 1e-6), 0.49)
         return np.zeros(width), float(np.log(odds / (1 - odds)))
     rows = positive + unlabelled
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows).astype(np.int64) if len(doc) else np.zeros(0, np.int64)
-    p, n = len(positive), len(rows)
     w, b = np.zeros(width), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
     mean, square = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(doc, w[col], n) + b
-        up = 1 / (1 + np.exp(-np.clip(z, -500, 500)))  # derivative of log(1 + e^z), the loss as negative
-        negative = np.logaddexp(0, z)
-        risk = negative[p:].mean() - prior * negative[:p].mean()
-        slope = np.zeros(n)
-        slope[p:] = up[p:] / (n - p)
-        slope[:p] = -prior * up[:p] / p
-        if risk < 0:
-            slope = -slope
-        else:
-            slope[:p] += prior * (up[:p] - 1) / p
+        slope = slopes(np.bincount(doc, w[col], len(rows)) + b, len(positive), prior)
         g = np.append(np.bincount(col, slope[doc], width) + decay * w, slope.sum())
         mean = 0.9 * mean + 0.1 * g
         square = 0.999 * square + 0.001 * g * g
@@ -109,41 +113,52 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], width: int,
     return w, float(b)
 
 
-def _sample(rows: DataFrame, key: str, most: int, n: int, seed: int) -> DataFrame:
-    """About `most` of n rows, chosen by a hash of their key."""
-    share = min(1.0, most / max(n, 1))
-    return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, p, u: how many confirmed and how many unlabelled texts hold it; the empty gram counts all texts."""
+    found: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def out() -> pa.RecordBatch:
+        keys = list(found[0].keys() | found[1].keys())
+        batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in found]], names=["gram", "p", "u"])
+        for c in found:
+            c.clear()
+        return batch
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            tokens, index, bounds = split_words(part.column(2))
+            held = [{g for w in LETTERS.findall(t) for g in grams(w)} for t in tokens]
+            flags = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), bounds[:-1], bounds[1:], strict=True)
+            for p, u, a, b in flags:
+                own = set().union(*[held[i] for i in np.unique(index[a:b])]) | {""}
+                for c, on in zip(found, (p, u), strict=True):
+                    if on:
+                        c.update(own)
+            if len(found[0]) + len(found[1]) > COUNTED:
+                yield out()
+    yield out()
+
+
+def _drawn(n: int, most: int, seed: int) -> Column:
+    """About `most` of n rows, by a hash of their id."""
+    return F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, most / max(n, 1)) * (1 << 20))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", may_learn: Column | None = None) -> Model:
-    """Train on POSITIVES confirmed rows and UNLABELLED rows at most (hash samples), from rows that `may_learn` admits.
+    """Train on about POSITIVES confirmed rows and UNLABELLED rows at most (hash samples of the rows with a label that `may_learn` admits).
 
-    Only labels of 1 are used as confirmed; labels of 0 serve for the class prior alone. Null labels and ids are left out."""
+    Confirmed are labels of 1; the unlabelled rows are taken without their label, which else serves for the class prior alone. Null
+    labels and ids are left out; of rows that share an id the greatest label and the least text count. Documents are read once."""
     may = ~held_out(doc_id) if may_learn is None else may_learn
-    known = labels.filter(may & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).alias("__y"))
-    seen = known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__y") == 1).alias("p")).first()
+    known = labels.filter(may & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(label) == 1).alias("__y"))
+    seen = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("__y").alias("p")).first()
     prior = seen["p"] / seen["n"] if seen["n"] else 0.0
-    texts = docs.filter(may & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__t"))
-    ids = _sample(known.filter(F.col("__y") == 1).select("__id").distinct(), "__id", POSITIVES, seen["p"], 1).limit(2 * POSITIVES)
-    positive = texts.join(F.broadcast(ids), "__id", "left_semi").select(F.lit(1).alias("y"), F.col("__t").alias("text"))
-    unlabelled = _sample(texts, "__id", UNLABELLED, texts.select("__id").count(), 2).select(F.lit(0).alias("y"), F.col("__t").alias("text"))
-    sample = positive.unionByName(unlabelled)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
-        docs_seen = [0, 0]
-        for batch in batches:
-            tokens, index, bounds = split_words(batch.column(1))
-            held = [{g for w in LETTERS.findall(t) for g in grams(w)} for t in tokens]
-            for y, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
-                found[y].update(set().union(*[held[i] for i in np.unique(index[a:b])]))
-                docs_seen[y] += 1
-        for y, n in enumerate(docs_seen):
-            found[y][""] = n
-        keys = [k for k in found[0].keys() | found[1].keys()]
-        yield pa.RecordBatch.from_pydict({"gram": keys, "p": [found[1][k] for k in keys], "u": [found[0][k] for k in keys]}, schema=pa.schema([("gram", pa.string()), ("p", pa.int64()), ("u", pa.int64())]))
-
-    counts = sample.mapInArrow(count, "gram string, p long, u long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter((F.col("p") >= LEAST_DOCS) | (F.col("gram") == ""))
+    chosen = known.select("__id", (F.col("__y") & _drawn(seen["p"], POSITIVES, 1)).alias("p"), _drawn(seen["n"], UNLABELLED, 2).alias("u")).filter("p OR u").limit(2 * (POSITIVES + UNLABELLED))
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
+    sample = cut(texts.groupBy("__id", "p", "u").agg(F.min("text").alias("text")))
+    counts = sample.select("p", "u", "text").mapInArrow(_count, "gram string, p long, u long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter((F.col("p") >= LEAST_DOCS) | (F.col("gram") == ""))
+    counts = cut(counts)
     total = F.broadcast(counts.filter(F.col("gram") == "").select(F.col("p").alias("np"), F.col("u").alias("nu")))
     rate = (F.col("p") + F.col("u")) / (F.col("np") + F.col("nu"))
     gap = F.try_divide(F.col("p"), F.col("np")) - F.try_divide(F.col("u"), F.col("nu"))
@@ -154,13 +169,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features.of(batch.column(1)), pa.list_(pa.int32()))], names=["y", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features.of(batch.column(2)), pa.list_(pa.int32()))], names=["p", "u", "grams"])
 
-    rows = sample.mapInArrow(encode, "y int, grams array<int>").toArrow()
-    y, held = rows["y"].to_pylist(), [np.array(x, dtype=np.int32) for x in rows["grams"].to_pylist()]
-    order = sorted(range(len(y)), key=lambda i: (y[i], len(held[i]), held[i].tolist()))
-    positive_rows, other = [held[i] for i in order if y[i] == 1], [held[i] for i in order if y[i] == 0]
-    weights, bias = train(positive_rows, other, len(vocabulary), prior)
+    rows = sample.select("p", "u", "text").mapInArrow(encode, "p boolean, u boolean, grams array<int>").toArrow()
+    held = [np.array(x, dtype=np.int32) for x in rows["grams"].to_pylist()]
+    of = lambda flag: sorted((h for h, on in zip(held, rows[flag].to_pylist(), strict=True) if on), key=lambda h: (len(h), h.tolist()))
+    weights, bias = train(of("p"), of("u"), len(vocabulary), prior)
     return Model(vocabulary, weights, bias, prior)
 
 

@@ -61,6 +61,45 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.filter("doc_id < 0"), toxicity.fit(docs.filter("doc_id < 0"), labels)).count() == 0
 
 
+def test_slopes_equal_differences_of_the_risk():
+    """The risk estimate written out loss by loss, differenced at every score; below zero its negative part turned round."""
+    rng = np.random.default_rng(1)
+    loss = lambda z, y: np.log(1 + np.exp(-y * z))
+
+    def parts(z, p, prior):
+        rest = sum(loss(x, -1) for x in z[p:]) / (len(z) - p) - prior * sum(loss(x, -1) for x in z[:p]) / p
+        return prior * sum(loss(x, 1) for x in z[:p]) / p, rest
+
+    seen = set()
+    for prior, shift in ((0.1, 0.0), (0.3, 0.5), (0.6, 2.0), (0.9, 3.0)):
+        z, p = rng.normal(size=20), 6
+        z[:p] += shift
+        rest = parts(z, p, prior)[1]
+        seen.add(rest < 0)
+        value = (lambda z: -parts(z, p, prior)[1]) if rest < 0 else (lambda z: sum(parts(z, p, prior)))  # noqa: B023
+        for k in range(20):
+            step = np.eye(20)[k] * 1e-5
+            assert np.isclose(toxicity.slopes(z, p, prior)[k], (value(z + step) - value(z - step)) / 2e-5, atol=1e-8)
+    assert seen == {True, False}
+
+
+def test_counts_of_grams_by_hand(monkeypatch):
+    """In pieces of any size the counts of n-grams are those of sets by hand."""
+    texts, p, u = ["ab abc", "abc", None, "Abc abd"], [True, False, True, True], [True, True, True, False]
+    want = {}
+    for t, a, b in zip(texts, p, u, strict=True):
+        for g in {""} | {x for w in (t or "").lower().split() for x in toxicity.grams(w)}:
+            want[g] = [x + y for x, y in zip(want.get(g, [0, 0]), [int(a), int(b)], strict=True)]
+    for most in (1, 1000):
+        monkeypatch.setattr(toxicity, "COUNTED", most)
+        got = {}
+        batches = [pa.RecordBatch.from_arrays([pa.array(p[i : i + 2]), pa.array(u[i : i + 2]), pa.array(texts[i : i + 2], pa.string())], names=["p", "u", "text"]) for i in (0, 2)]
+        for b in toxicity._count(iter(batches)):
+            for g, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got[g] = [got.get(g, [0, 0])[0] + x, got.get(g, [0, 0])[1] + y]
+        assert got == want
+
+
 def test_negative_risk_is_not_followed():
     """With fewer unlabelled negatives than the prior promises, positives still score above the rest."""
     positive, unlabelled = [np.array([0])] * 50, [np.array([0])] * 50 + [np.array([1])] * 50
