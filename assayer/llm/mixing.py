@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import SALTS, let
+from assayer.llm.common import SALTS
 
 #: Without given weights, a source weighs its share of rows to this power, so that small sources gain.
 POWER = 0.5
@@ -20,18 +20,17 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """Distribution function of a Poisson variable at 0, 1, ... up to where less than 1e-15 is left."""
-    last = F.ceil(rate + F.sqrt(rate) * 10 + 30).cast("int")
-    start = F.struct(-rate, F.exp(-rate), F.array(F.exp(-rate)))
-    names = ("log", "sum", "all")
-    start = F.struct(*[start[f"col{i + 1}"].alias(n) for i, n in enumerate(names)])
-
-    def step(a: Column, k: Column) -> Column:
-        log = a["log"] + F.log(rate) - F.log(k.cast("double"))
-        return let(F.array(log, a["sum"] + F.exp(log)), lambda x: F.struct(x[0].alias("log"), x[1].alias("sum"), F.concat(a["all"], F.array(x[1])).alias("all")))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["all"])).otherwise(F.array(F.lit(1.0)))
+def poisson_cdfs(table: DataFrame, key: str, rate: str) -> DataFrame:
+    """`__source`, `__cdf`: for each row of a table with one row a key, the distribution function of a Poisson variable of its rate at
+    0, 1, ... up to where less than 1e-15 is left. Running sums along k, so the work is about the rate."""
+    r, k = F.col(rate), F.col("__k").cast("double")
+    last = F.ceil(r + F.sqrt(r) * 10 + 30).cast("int")
+    steps = table.select(F.col(key).alias("__source"), r.alias(rate), F.explode(F.sequence(F.lit(0), last)).alias("__k"))
+    along = Window.partitionBy("__source").orderBy("__k")  # one source's distribution: about as many rows as its rate
+    factorial = F.sum(F.when(k > 0, F.log(k)).otherwise(0.0)).over(along)
+    chance = F.when(r > 0, F.exp(k * F.log(r) - r - factorial)).otherwise(F.when(k == 0, 1.0).otherwise(0.0))
+    summed = steps.withColumn("__p", chance).select("__source", F.struct("__k", F.sum("__p").over(along).alias("p")).alias("__at"))
+    return summed.groupBy("__source").agg(F.transform(F.array_sort(F.collect_list("__at")), lambda x: x["p"]).alias("__cdf"))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, source: str = "source", rows: float = 1.0) -> DataFrame:
@@ -59,7 +58,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     as one id; repeated rows get equal counts. Empty table: empty result. Columns named like the added ones are
     replaced; other columns pass through."""
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    table = rates(docs, weights, source, rows).select("__source", poisson_cdf(F.col("rate")).alias("__cdf"))
+    table = poisson_cdfs(rates(docs, weights, source, rows), "__source", "rate")
     drawn = docs.select(*kept, F.col(source).alias("__mine"), uniform(F.col(doc_id), F.lit(seed)).alias("__u"))
     if table.select("__source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         both = drawn.join(F.broadcast(table), F.col("__mine").eqNullSafe(F.col("__source")))

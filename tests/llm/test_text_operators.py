@@ -333,16 +333,20 @@ def test_distance_is_jensen_shannon(spark):
 # mixing
 
 
-def test_counts_invert_the_distribution(spark):
-    for rate in (0.0, 0.3, 1.0, 7.5, 900.0):
-        cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate))).first()[0]
-        p = total = math.exp(-rate) if rate < 700 else None
-        if p is not None:
+def test_poisson_distributions(spark):
+    given = {"none": 0.0, "few": 0.03, "one": 1.0, None: 7.5, "many": 300.0, "most": 30_000.0}
+    table = spark.createDataFrame(list(given.items()), "source string, rate double")
+    got = {r["__source"]: r["__cdf"] for r in mixing.poisson_cdfs(table, "source", "rate").collect()}
+    assert got.keys() == given.keys() and got["none"][0] == 1.0
+    for source, rate in given.items():
+        cdf = got[source]
+        assert len(cdf) == math.ceil(rate + 10 * math.sqrt(rate) + 30) + 1 and abs(cdf[-1] - 1) < 1e-9
+        if 0 < rate < 700:
+            p = total = math.exp(-rate)
             for k, c in enumerate(cdf):
                 assert abs(c - total) < 1e-9
                 p *= rate / (k + 1)
                 total += p
-        assert abs(cdf[-1] - 1) < 1e-9
 
 
 def test_mixture_follows_weights_and_repeats_itself(spark):
