@@ -17,6 +17,8 @@ COMMON_WORDS = {
 #: Reference of rows whose language is null or has no list: pooled over all of them, with the first words of each list.
 OTHER = "*"
 OTHER_WORDS = ("der", "die", "das", "the", "of", "and", "de", "la", "que", "le", "et", "en")
+#: Common words count in any case and with these signs around or in them.
+POINTS = '[.,;:!?()"]+'
 MIN_WORDS = 50
 #: Limits of the Jensen-Shannon distance (base 2, 0 to 1): a constant plus what chance adds to a histogram of n words, as
 #: noise / sqrt(n). Texts of fewer words are too short to judge by a histogram.
@@ -63,8 +65,10 @@ def features(text: Column, language: Column) -> dict[str, Column]:
     for k, ws in lists.items():
         mine = F.when(language == k, F.array(*map(F.lit, ws))).otherwise(mine)
 
+    bare = words(F.regexp_replace(F.lower(text), POINTS, ""))
+
     def frequent(w: Column) -> Column:
-        found = F.filter(w, lambda x: x.isin(every))
+        found = F.filter(bare, lambda x: x.isin(every))
         each = let(found, lambda f: F.transform(mine, lambda c: F.size(F.filter(f, lambda x: x == c)).cast("long")))
         return let(each, lambda e: F.concat(e, F.array(F.size(w) - F.aggregate(e, F.lit(0).cast("long"), lambda a, x: a + x))))
 
@@ -95,7 +99,7 @@ def distance(p: Column, q: Column) -> Column:
 def quality_rules(docs: DataFrame, text: str = "text", language: str = "lang", max_char: float = MAX_CHAR, max_word: float = MAX_WORD, keep_text: bool = True) -> DataFrame:
     """Add the base counts, `char_distance`, `word_distance`, `base_failed` and `kept` to every row.
 
-    A reference is the sum of the histograms of all rows of a language with at least MIN_WORDS words: one row for each
+    A reference is the sum of the histograms of all rows of a language that pass the base rules, so junk is no norm: one row for each
     listed language and one for all others (null included), so five rows at most are broadcast. A row is kept unless it
     fails the base rules (under 50 words, over half of them in repeated windows) or, with MIN_WORDS_COMPARED words or more, lies
     farther from its reference than a limit. Null or empty text: zero counts, base_failed. Repeated rows and ids: each judged alone.
@@ -109,9 +113,9 @@ def quality_rules(docs: DataFrame, text: str = "text", language: str = "lang", m
     other = F.col("__total") - known(0) - known(1) - known(2) - known(3) - known(4)
     rows = rows.select(*kept, "__r", "__total", *[F.col(f"__by_word.{k}").alias(k) for k in ("n_words", "n_repeat_words")], F.col("__word_chars").alias("word_chars"), known(1).alias("n_symbols"), F.col("__n_dup_lines").alias("n_dup_lines"), F.array(*[known(i) for i in range(5)], other).alias("__chars"), F.col("__by_word.word_counts").alias("__words"))
     size = {"chars": 6, "words": 1 + len(OTHER_WORDS)}
-    summed = rows.filter(F.col("n_words") >= MIN_WORDS).groupBy("__r").agg(*[F.array(*[F.sum(F.col(f"__{k}")[i]) for i in range(n)]).alias(f"__ref_{k}") for k, n in size.items()])
-    both = rows.join(F.broadcast(summed), "__r", "left").withColumns({"char_distance": distance(F.col("__chars"), F.col("__ref_chars")), "word_distance": distance(F.col("__words"), F.col("__ref_words"))})
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    summed = rows.filter(~failed).groupBy("__r").agg(*[F.array(*[F.sum(F.col(f"__{k}")[i]) for i in range(n)]).alias(f"__ref_{k}") for k, n in size.items()])
+    both = rows.join(F.broadcast(summed), "__r", "left").withColumns({"char_distance": distance(F.col("__chars"), F.col("__ref_chars")), "word_distance": distance(F.col("__words"), F.col("__ref_words"))})
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
     limit = lambda most, noise: F.lit(most) + F.lit(noise) / root
     far = (F.col("n_words") >= MIN_WORDS_COMPARED) & ((F.coalesce(F.col("char_distance"), F.lit(0.0)) > limit(max_char, CHAR_NOISE)) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > limit(max_word, WORD_NOISE)))

@@ -26,12 +26,12 @@ base AS (
          length(text) - length(regexp_replace(text, '\p{{Ll}}+', '', 'g')) AS c2, length(text) - length(regexp_replace(text, '\p{{Lu}}+', '', 'g')) AS c3, length(text) - length(regexp_replace(text, '[0-9]+', '', 'g')) AS c4, length(text) AS total
   FROM d JOIN w ON d.rid = w.rid LEFT JOIN dup ON d.rid = dup.rid LEFT JOIN rep ON d.rid = rep.rid),
 common(r, i, x) AS (VALUES {common}),
-hit AS (SELECT word.rid, c.i, count(*) AS n FROM word JOIN common c ON c.r = word.r AND c.x = word.x GROUP BY ALL),
+hit AS (SELECT word.rid, c.i, count(*) AS n FROM word JOIN common c ON c.r = word.r AND c.x = regexp_replace(lower(word.x), '{rules.POINTS}', '', 'g') GROUP BY ALL),
 hist AS (
-  SELECT rid, r, n_words, 'c' AS kind, unnest([0, 1, 2, 3, 4, 5]) AS i, unnest([total - word_chars, n_symbols, c2, c3, c4, word_chars - n_symbols - c2 - c3 - c4]) AS n FROM base
-  UNION ALL SELECT b.rid, b.r, n_words, 'w', c.i, coalesce(h.n, 0) FROM base b JOIN common c ON c.r = b.r LEFT JOIN hit h ON h.rid = b.rid AND h.i = c.i
-  UNION ALL SELECT b.rid, r, n_words, 'w', 99, n_words - coalesce(h.n, 0) FROM base b LEFT JOIN (SELECT rid, sum(n) AS n FROM hit GROUP BY rid) h ON h.rid = b.rid),
-ref AS (SELECT r, kind, i, sum(n) AS n FROM hist WHERE n_words >= {rules.MIN_WORDS} GROUP BY ALL),
+  SELECT rid, r, n_words, n_repeat_words, 'c' AS kind, unnest([0, 1, 2, 3, 4, 5]) AS i, unnest([total - word_chars, n_symbols, c2, c3, c4, word_chars - n_symbols - c2 - c3 - c4]) AS n FROM base
+  UNION ALL SELECT b.rid, b.r, n_words, n_repeat_words, 'w', c.i, coalesce(h.n, 0) FROM base b JOIN common c ON c.r = b.r LEFT JOIN hit h ON h.rid = b.rid AND h.i = c.i
+  UNION ALL SELECT b.rid, r, n_words, n_repeat_words, 'w', 99, n_words - coalesce(h.n, 0) FROM base b LEFT JOIN (SELECT rid, sum(n) AS n FROM hit GROUP BY rid) h ON h.rid = b.rid),
+ref AS (SELECT r, kind, i, sum(n) AS n FROM hist WHERE n_words >= {rules.MIN_WORDS} AND n_repeat_words * 100 <= n_words * 50 GROUP BY ALL),
 share AS (
   SELECT rid, kind, p.n::DOUBLE / nullif(sum(p.n) OVER (PARTITION BY rid, kind), 0) AS p, q.n::DOUBLE / nullif(sum(q.n) OVER (PARTITION BY rid, kind), 0) AS q
   FROM hist p LEFT JOIN ref q USING (r, kind, i)),
