@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from assayer.llm.common import cut
 
 
+#: Parts that the rows of a node are dealt into where they meet what is known of it: most nodes of a large component hang on one.
+SPREAD = 8
+
+
+def _look_up(rows: DataFrame, key: str, hooks: DataFrame, into: str) -> DataFrame:
+    """Add where the node `key` hangs, null if nowhere. The rows of one node meet its hook in SPREAD parts."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int"))
+    copied = hooks.select(F.col("id").alias(key), F.col("up").alias(into), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("__part"))
+    return dealt.join(copied, [key, "__part"], "left").drop("__part")
+
+
 def _jump(hooks: DataFrame) -> DataFrame:
     """Hang every node where the node that it hangs on hangs; `moved` says whether that is elsewhere."""
-    above = hooks.select(F.col("id").alias("up"), F.col("up").alias("top"))
-    return hooks.join(above, "up", "left").select("id", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
+    return _look_up(hooks.select("id", "up"), "up", hooks, "top").select("id", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,14 +42,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             hooks = cut(_jump(_jump(hooks.select("id", "up"))))
             moving = not hooks.filter("moved").isEmpty()
         hooks = hooks.select("id", "up")
-        low, high = hooks.select(F.col("id").alias("a"), F.col("up").alias("low")), hooks.select(F.col("id").alias("b"), F.col("up").alias("high"))
-        ends = left.join(low, "a", "left").join(high, "b", "left").select(F.coalesce("low", "a").alias("x"), F.coalesce("high", "b").alias("y"))
+        low = _look_up(left, "a", hooks, "low").select(F.coalesce("low", "a").alias("x"), "b")
+        ends = _look_up(low, "b", hooks, "high").select("x", F.coalesce("high", "b").alias("y"))
         left = cut(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if found is None:
             found = hooks
         else:
-            moved = hooks.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            found = found.join(moved, "up", "left").select("id", F.coalesce("top", "up").alias("up")).unionByName(hooks.join(found.select("id"), "id", "left_anti"))
+            found = _look_up(found, "up", hooks, "top").select("id", F.coalesce("top", "up").alias("up")).unionByName(hooks.join(found.select("id"), "id", "left_anti"))
             found = cut(found)
     if found is None:
         return nodes.select("id", F.col("id").alias("component"))

@@ -17,7 +17,7 @@ THRESHOLD = 0.95
 #: Bounds of the index fit: vectors of the sample of each length (shared out if there are several lengths); subspaces; code words of each.
 FIT_ROWS, SUBSPACES, CODES = 16_384, 16, 64
 #: Vectors wanted in a list, centres of the first level, and vectors of a list that a task compares at a time.
-LIST_SIZE, CENTRES, BLOCK = 400, 512, 1_024
+LIST_SIZE, CENTRES, BLOCK = 200, 512, 1_024
 #: A vector probes every list whose centre is at most this much less similar to it than the nearest one. A neighbour at
 #: cosine 0.95 moves similarities to centres by about 0.04 of standard deviation in 64 dimensions.
 PROBE_MARGIN = 0.1
