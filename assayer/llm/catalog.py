@@ -23,9 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_crf_quality": q.op8_line_crf_quality,
         "op9_pii": q.op9_pii,
         "op10_ngram_jaccard": q.op10_ngram_jaccard,
+        "op11_weighted_centroids": q.op11_weighted_centroids,
+        "op12_impact_search": q.op12_impact_search,
+        "op13_byte_bpe": q.op13_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_poisson_mixing": sql.poisson_mixing(), "op7_quality_rules": sql.quality_rules(), "op9_pii": sql.pii_spans()}
+    return {"op6_poisson_mixing": sql.poisson_mixing(), "op7_quality_rules": sql.quality_rules(), "op9_pii": sql.pii_spans(), "op11_weighted_centroids": sql.weighted_centroids(), "op12_impact_search": sql.impact_search()}

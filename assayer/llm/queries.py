@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import line_quality, toxicity
+from assayer.llm import byte_bpe, impact_index, line_quality, toxicity
+from assayer.llm.centroids import cluster
 from assayer.llm.common import held_out, read
 from assayer.llm.embedding_dedup import link_near
 from assayer.llm.line_dedup import remove_runs
@@ -80,3 +81,20 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op11_weighted_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path, pattern)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

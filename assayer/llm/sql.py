@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import mixing, pii
+from assayer.llm import centroids, mixing, pii
 from assayer.llm import quality_rules as rules
 
 
@@ -101,3 +101,44 @@ n AS (SELECT u.*, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FRO
 e AS (SELECT *, unnest(range(1, n + 1)) AS copy FROM n)
 SELECT doc_id, text, lang, source, n_chars, copy, {number(f"coalesce(doc_id::VARCHAR, '') || ':' || copy || ':{mixing.SEED + 1}'")} AS shuffle_key FROM e
 """
+
+
+def weighted_centroids() -> str:
+    """Rounds unrolled, on rows instead of distinct vectors."""
+    dim, k, scale, bound = centroids.DIM, centroids.CENTROIDS, centroids.SCALE, float(centroids.BOUND)
+    ranked = lambda r: f"""
+d{r} AS MATERIALIZED (
+  SELECT rid, vec_id, q, cluster, distance FROM (
+    SELECT v.rid, v.vec_id, v.q, c.c AS cluster, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.q, c.q)])::BIGINT AS distance,
+      row_number() OVER (PARTITION BY v.rid ORDER BY distance, c.c) AS place FROM v, c{r} c) WHERE place = 1)"""
+    moved = lambda r: f"""
+s{r} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, unnest(range({dim})) AS i FROM d{r - 1}) GROUP BY ALL),
+m{r} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM s{r} GROUP BY cluster),
+c{r} AS MATERIALIZED (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{r - 1} c LEFT JOIN m{r} m ON m.cluster = c.c)"""
+    last = centroids.ROUNDS
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, [x::DOUBLE * {scale} FOR x IN embedding] AS x FROM embeddings WHERE len(embedding) = {dim}),
+v AS MATERIALIZED (SELECT rid, vec_id, [floor(y)::BIGINT FOR y IN x] AS q FROM e WHERE len([1 FOR y IN x IF NOT isnan(y) AND abs(y) < {bound!r}]) = {dim}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT q, sha256('{centroids.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v ORDER BY h, q LIMIT {k})),
+{", ".join(ranked(r) if step == 0 else moved(r + 1) for r in range(last + 1) for step in ((0, 1) if r < last else (0,)))}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM d{last} JOIN c{last} c ON c.c = cluster
+"""
+
+
+def impact_search(k: int = 10) -> str:
+    terms = r"regexp_extract_all({t}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    lower = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    of = lambda t: terms.format(t=lower.format(t=t))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {of("text")} AS ts FROM documents WHERE text IS NOT NULL),
+dn AS (SELECT rid, doc_id, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+size AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM dn),
+tf AS (SELECT rid, t, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ts) AS t FROM d) GROUP BY ALL),
+i AS (SELECT iid, item_id, t, count(*)::BIGINT AS times FROM (SELECT row_number() OVER () AS iid, item_id, unnest({of("text")}) AS t FROM benchmark WHERE text IS NOT NULL) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY t, n_docs),
+s AS (
+  SELECT iid, item_id, doc_id, tf.rid, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN tf USING (t) JOIN w USING (t) JOIN dn ON dn.rid = tf.rid, size GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= {k}
+"""
