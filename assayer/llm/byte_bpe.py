@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
@@ -17,22 +17,33 @@ from pyspark.sql import functions as F
 #: of a run and fails at a million.
 PART, RUN = 1 << 16, 1 << 14
 
+#: A pattern that takes a text as one match.
+ONE = r"[\s\S]+"
 #: Places where one match of the splitting pattern ends and another begins, whatever stands around: no match goes on from a sign
 #: that is no white space into white space, from a letter into a digit, or from a letter or digit into a punctuation mark.
 SAFE = regex.compile(r"(?<=\P{White_Space})(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[\p{L}\p{N}])(?=[!-/:-@、。，])")
 WHITE = regex.compile(rf"\p{{White_Space}}{{{RUN},}}")
 
 
-@lru_cache(maxsize=4)
-def encoding(path: str, pattern: str) -> tuple[tiktoken.Encoding, tiktoken.Encoding, list[bytes]]:
-    """Encoders that split by the pattern and that take a text as one match, and the bytes of each id; once for each process."""
+@lru_cache(maxsize=2)
+def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    made = [tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for name, p in (("split", pattern), ("whole", r"[\s\S]+"))]
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    return made[0], made[1], table
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, pattern: str) -> tiktoken.Encoding:
+    """The library's encoder; once for each process."""
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> np.ndarray:
+    """The bytes of each id."""
+    known = ranks(path)
+    table = np.full(max(known.values()) + 1, None, dtype=object)
+    table[list(known.values())] = list(known)
+    return table
 
 
 def _at_boundaries(text: str, start: int, end: int, part: int) -> Iterator[str]:
@@ -61,26 +72,27 @@ def parts(text: str, part: int = PART) -> Iterator[tuple[str, bool]]:
 
 
 def encode_text(text: str | None, path: str, pattern: str, part: int = PART) -> np.ndarray:
-    split, whole, _ = encoding(path, pattern)
-    found = [(whole if one else split).encode_ordinary(piece) for piece, one in parts(text or "", part)]
+    found = [encoder(path, ONE if one else pattern).encode_ordinary(piece) for piece, one in parts(text or "", part)]
     return np.concatenate([np.asarray(x, dtype=np.int32) for x in found])
 
 
 def ids_of(text: Column, path: str, pattern: str) -> Column:
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([encode_text(t, path, pattern) for t in texts], dtype=object)
+            found = [encode_text(t.as_py(), path, pattern) for t in texts]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *found]))
 
     return encode(text)
 
 
-def bytes_of(ids: Column, path: str, pattern: str) -> Column:
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = encoding(path, pattern)[2]
+def bytes_of(ids: Column, path: str) -> Column:
+    @F.arrow_udf("binary")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = token_bytes(path)
         for rows in batches:
-            yield pd.Series([None if x is None else b"".join([table[i] for i in x]) for x in rows], dtype=object)
+            yield pa.array([None if x.values is None else b"".join(table[x.values.to_numpy(zero_copy_only=False)]) for x in rows], pa.binary())
 
     return decode(ids)
 
@@ -94,7 +106,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
     return docs.withColumn(into, ids_of(F.col(text), path, pattern))
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add the raw bytes that the ids stand for; they need not be whole characters. Null ids: null; no ids: no bytes; an id that the
     file does not have is an error. A column named like `into` is replaced; others pass through."""
-    return tokens.withColumn(into, bytes_of(F.col(ids), path, pattern))
+    return tokens.withColumn(into, bytes_of(F.col(ids), path))

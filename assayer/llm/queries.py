@@ -95,6 +95,6 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path, pattern)
+    out = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -169,7 +169,7 @@ def test_long_white_space(library, sign, tail):
 def test_tokens_of_edge_rows(spark, library):
     texts = [None, "", " ", "some words, and 23 more", "some words, and 23 more", "𝒳 é 漢字 " * 9, "<|endoftext|>", " " * 1_200_000 + "x", "word " * 100_000, "\x00\x01"]
     rows = spark.createDataFrame([(i if i != 3 else None, t, "mine", "mine") for i, t in enumerate(texts)], "doc_id long, text string, ids string, decoded string")
-    out = byte_bpe.decode(byte_bpe.encode(rows, RANKS, PATTERN), RANKS, PATTERN).collect()
+    out = byte_bpe.decode(byte_bpe.encode(rows, RANKS, PATTERN), RANKS).collect()
     assert len(out) == len(texts)
     for r in out:
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
@@ -181,5 +181,5 @@ def test_tokens_of_edge_rows(spark, library):
 def test_decoding_gives_raw_bytes(spark, library):
     ids = library.encode_ordinary("漢")
     rows = spark.createDataFrame([(1, ids[:1]), (2, []), (3, None)], "k int, ids array<int>")
-    got = {r["k"]: r["decoded"] for r in byte_bpe.decode(rows, RANKS, PATTERN).collect()}
+    got = {r["k"]: r["decoded"] for r in byte_bpe.decode(rows, RANKS).collect()}
     assert bytes(got[1]) == library.decode_single_token_bytes(ids[0]) and bytes(got[2]) == b"" and got[3] is None
