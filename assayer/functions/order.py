@@ -1,72 +1,71 @@
-"""Exact quantiles and row windows that never gather a whole group in one task.
+"""Windows and numbers over ordered rows that never gather a whole group in one task.
 
-Both cut every group at approximate quantiles (a sketch of fixed size for each group), so a task sees about one part in GRID
-of a group, however large the group is."""
+Groups with more than ROWS rows are cut into ranges of their order, as many as their counts ask for: along the first column of the
+order where it varies, along the next one inside a single value of it, and so on."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRID = 64
+from assayer.functions.shared import cut, small_side
 
+#: Rows that a task may order at once, and parts that one round cuts a range into.
+ROWS, PARTS = 1_000_000, 64
 
-def _cut(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Add `__bucket`: how many approximate quantiles of the row's group lie below its value. Keys are not null."""
-    shares = F.array(*[F.lit((i + 1) / (GRID + 1)) for i in range(GRID)])
-    rows = df.withColumn("__value", value)
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("__value", shares, F.lit(1_000)).alias("__edges"))
-    return rows.join(edges, keys).withColumn("__bucket", F.size(F.filter("__edges", lambda e: e < F.col("__value")))).drop("__edges")
 
+def _number(df: DataFrame, column: str) -> Column:
+    """The column as a number in the same order."""
+    return (F.col(column).cast("timestamp") if df.schema[column].dataType.typeName().startswith("timestamp") else F.col(column)).cast("double")
 
-def quantiles(df: DataFrame, keys: list[str], value: Column, shares: list[float]) -> DataFrame:
-    """`share`, `quantile` of the non-null values of each group, interpolated linearly between neighbours.
 
-    Equal values are counted before they meet, buckets are counted to find those that hold the wanted ranks, and only the
-    values of these are ranked. Keys are not null; groups without values are missing."""
-    counted = _cut(df.select(*keys, value.alias("__v")).filter(F.col("__v").isNotNull()), keys, F.col("__v")).groupBy(*keys, "__bucket", "__value").agg(F.count(F.lit(1)).alias("__c"))
-    in_bucket = counted.groupBy(*keys, "__bucket").agg(F.sum("__c").alias("__c"))
-    whole = Window.partitionBy(*keys)
-    before = in_bucket.select(*keys, "__bucket", F.col("__c").alias("__bc"), (F.sum("__c").over(whole.orderBy("__bucket")) - F.col("__c")).alias("__before"), F.sum("__c").over(whole).alias("__n"))
-    asked = before.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("__at", (F.col("__n") - 1) * F.col("share"))
-    asked = asked.withColumn("__rank", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))))
-    held = asked.filter((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__bc"))).drop("__bc", "__n")
-    near = counted.join(held.select(*keys, "__bucket", "__before").distinct(), [*keys, "__bucket"])
-    first = F.sum("__c").over(Window.partitionBy(*keys, "__bucket").orderBy("__value")) - F.col("__c") + F.col("__before")
-    ranked = near.select(*keys, "__bucket", "__value", "__c", first.alias("__first"))
-    found = ranked.join(held, [*keys, "__bucket"]).filter((F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__first") + F.col("__c")))
-    low, high = F.min("__value"), F.max("__value")
-    return found.groupBy(*keys, "share").agg((low + (high - low) * (F.first("__at") - F.floor(F.first("__at")))).alias("quantile"))
+def ranges(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Add `__range`, an array that ascends with the order within a group and that ROWS rows share, or a few more.
 
-
-def medians(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """The median of each group, as a column of this name."""
-    return quantiles(df, keys, value, [0.5]).select(*keys, F.col("quantile").alias(name))
+    Each round counts all ranges and cuts those that hold too many at quantiles of their first column that varies; a value that is
+    itself such a quantile becomes a range of its own, and is cut along the next column in the next round. Rows that agree in the
+    whole order stay together. Key and order are not null; order columns are numbers or times."""
+    rows = df.withColumns({"__range": F.array().cast("array<int>"), **{f"__o{i}": _number(df, c) for i, c in enumerate(order)}})
+    shares = F.array(*[F.lit((i + 1) / (PARTS + 1)) for i in range(PARTS)])
+    while True:
+        stats = [F.count(F.lit(1)).alias("n")]
+        for i in range(len(order)):
+            stats += [(F.min(f"__o{i}") < F.max(f"__o{i}")).alias(f"v{i}"), F.percentile_approx(f"__o{i}", shares, F.lit(1_000)).alias(f"e{i}")]
+        which = F.coalesce(*[F.when(F.col(f"v{i}"), F.lit(i)) for i in range(len(order))])
+        edges = F.array_distinct(F.get(F.array(*[F.col(f"e{i}") for i in range(len(order))]), F.col("which")))
+        full = cut(rows.groupBy(key, "__range").agg(*stats).filter(F.col("n") > ROWS).withColumn("which", which).filter("which IS NOT NULL").select(key, "__range", "which", edges.alias("edges")))
+        if full.isEmpty():
+            return rows.drop(*[f"__o{i}" for i in range(len(order))])
+        value = F.get(F.array(*[F.col(f"__o{i}") for i in range(len(order))]), F.col("which"))
+        part = F.size(F.filter("edges", lambda e: e < F.col("__at"))) + F.size(F.filter("edges", lambda e: e <= F.col("__at")))
+        joined = rows.join(small_side(full), [key, "__range"], "left").withColumn("__at", value)
+        rows = joined.withColumn("__range", F.concat("__range", F.array(F.when(F.col("which").isNull(), 0).otherwise(part)))).drop("which", "edges", "__at")
 
 
 def rolling(df: DataFrame, key: str, order: list[str], value: str, width: int, out: dict[str, Column]) -> DataFrame:
     """Add aggregates of the last `width` rows of a group, the row itself included, in the order of `order` (unique within a group).
 
-    `out` maps names to aggregates over the column `value`. A bucket of a group is given the last rows of the buckets before
+    `out` maps names to aggregates over the column `value`. A range of a group is given the last rows of the ranges before
     it, so windows are whole although groups are cut. Keys and order are not null."""
-    kept = df.columns
-    rows = _cut(df, [key], F.col(order[0]).cast("timestamp").cast("double"))
-    last = Window.partitionBy(key, "__bucket").orderBy(*[F.desc(c) for c in order])
-    tails = rows.withColumn("__back", F.row_number().over(last)).filter(F.col("__back") < width).select(key, "__bucket", *order, value, "__back")
-    earlier = Window.partitionBy(key).orderBy("__bucket", *order).rowsBetween(-(width - 1), -1)
-    handed = tails.select(key, "__bucket", "__back", F.count(F.lit(1)).over(Window.partitionBy(key, "__bucket")).alias("__size"), F.collect_list(F.struct(*order, value)).over(earlier).alias("__rows"))
-    halo = handed.filter(F.col("__back") == F.col("__size")).select(key, "__bucket", F.explode("__rows").alias("__r")).select(key, "__bucket", *[F.col(f"__r.{c}").alias(c) for c in (*order, value)], F.lit(True).alias("__halo"))
+    kept, carried = df.columns, list(dict.fromkeys([*order, value]))
+    rows = ranges(df, key, order)
+    last = Window.partitionBy(key, "__range").orderBy(*[F.desc(c) for c in order])
+    # the planner keeps `width` rows of a range in each task before they move
+    tails = rows.select(key, "__range", *carried).withColumn("__back", F.row_number().over(last)).filter(F.col("__back") < width)
+    earlier = Window.partitionBy(key).orderBy("__range", *order).rowsBetween(-(width - 1), -1)
+    handed = tails.select(key, "__range", "__back", F.count(F.lit(1)).over(Window.partitionBy(key, "__range")).alias("__size"), F.collect_list(F.struct(*carried)).over(earlier).alias("__rows"))
+    halo = handed.filter(F.col("__back") == F.col("__size")).select(key, "__range", F.explode("__rows").alias("__r")).select(key, "__range", *[F.col(f"__r.{c}").alias(c) for c in carried], F.lit(True).alias("__halo"))
     both = rows.withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
-    frame = Window.partitionBy(key, "__bucket").orderBy(*order).rowsBetween(-(width - 1), 0)
+    frame = Window.partitionBy(key, "__range").orderBy(*order).rowsBetween(-(width - 1), 0)
     return both.withColumns({k: c.over(frame) for k, c in out.items()}).filter(~F.col("__halo")).select(*kept, *out)
 
 
 def places(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """Number the rows of each group from 1 in the order of `order` (unique within a group), bucket by bucket. Keys and order are not null."""
+    """Number the rows of each group from 1 in the order of `order` (unique within a group), range by range. Keys and order are not null."""
     kept = df.columns
-    rows = _cut(df, [key], F.col(order[0]).cast("timestamp").cast("double"))
-    sizes = rows.groupBy(key, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(key).orderBy("__bucket")  # GRID + 1 rows a group at most
-    before = sizes.select(key, "__bucket", (F.sum("__n").over(earlier) - F.col("__n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(key, "__bucket").orderBy(*order))
-    return rows.join(before, [key, "__bucket"]).withColumn(name, (own + F.col("__before")).cast("int")).select(*kept, name)
+    rows = ranges(df, key, order)
+    sizes = rows.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("__range")  # one row for each range
+    before = sizes.select(key, "__range", (F.sum("__n").over(earlier) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(key, "__range").orderBy(*order))
+    return rows.join(before, [key, "__range"]).withColumn(name, (own + F.col("__before")).cast("int")).select(*kept, name)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.numeric import clip, finite, mentions, ratio, rounded
-from assayer.functions.order import medians, rolling
+from assayer.functions.order import rolling
+from assayer.functions.quantiles import exact_quantiles
 from assayer.functions.shared import cut, small_side
+from assayer.operators.stages import MedianImputer
 
 # Sample types as exports name them, and as reports do.
 SAMPLE_TYPES = {"Replicate": "Duplicate samples", "Duplicate": "Duplicate samples", "Blank": "Blank samples", "Standard": "Standard samples"}
@@ -18,7 +20,8 @@ RISK_LEVELS = ("Low", "Medium", "High")
 
 
 def normalise(results: DataFrame) -> DataFrame:
-    """One row for each result, under report names; missing codes get defaults and sample types are recoded."""
+    """One row for each result, under report names; missing codes get defaults, sample types are recoded, and numbers that are not
+    finite become missing."""
     job, kind = F.coalesce("JOB_CODE", F.lit("JOB-UNKNOWN")), F.coalesce("ANALYTICAL_TYPE", F.lit("Unknown"))
     recoded = kind
     for k, v in SAMPLE_TYPES.items():
@@ -29,13 +32,13 @@ def normalise(results: DataFrame) -> DataFrame:
         F.concat_ws("-", job, F.col("row_id").cast("string")).alias("SampleID"),
         recoded.alias("SampleType"),
         F.col("ANALYSED_DATE").alias("AnalysisDate"),
-        F.col("NUMERIC_FINAL_VALUE").alias("Value"),
-        F.col("INTERNAL_TARGET_VALUE").alias("ExpectedValue"),
-        F.col("INTERNAL_MIN_VALUE").alias("LowerLimit"),
-        F.col("INTERNAL_MAX_VALUE").alias("UpperLimit"),
-        F.col("INTERNAL_MIN_WARNING_VALUE").alias("WarningLower"),
-        F.col("INTERNAL_MAX_WARNING_VALUE").alias("WarningUpper"),
-        F.col("PARENT_NUMERIC_FINAL_VALUE").alias("ParentValue"),
+        finite(F.col("NUMERIC_FINAL_VALUE")).alias("Value"),
+        finite(F.col("INTERNAL_TARGET_VALUE")).alias("ExpectedValue"),
+        finite(F.col("INTERNAL_MIN_VALUE")).alias("LowerLimit"),
+        finite(F.col("INTERNAL_MAX_VALUE")).alias("UpperLimit"),
+        finite(F.col("INTERNAL_MIN_WARNING_VALUE")).alias("WarningLower"),
+        finite(F.col("INTERNAL_MAX_WARNING_VALUE")).alias("WarningUpper"),
+        finite(F.col("PARENT_NUMERIC_FINAL_VALUE")).alias("ParentValue"),
         analyte.alias("Analyte"),
         job.alias("JobCode"),
         F.coalesce("STANDARD_STATUS", F.lit("")).alias("StandardStatus"),
@@ -49,14 +52,10 @@ def impute_expected(df: DataFrame, medians_of: DataFrame | None = None) -> DataF
 
     Medians are those of another table if given: the whole one, where `df` is a part of it with more columns."""
     whole = df if medians_of is None else medians_of
-    level = lambda n, analyte, kind: F.struct(F.lit(n).alias("level"), analyte.alias("a"), kind.alias("t"))
-    none, analyte = F.lit(""), F.col("Analyte")
-    keyed = whole.select("Value", F.explode(F.array(level(2, analyte, F.col("SampleType")), level(1, analyte, none), level(0, none, none))).alias("k")).select("k.*", "Value")
-    # a row for each analyte and sample type at most, and some more
-    table = small_side(cut(medians(keyed, ["level", "a", "t"], F.col("Value"), "m")))
-    by_both = table.filter("level = 2").select(F.col("a").alias("Analyte"), F.col("t").alias("SampleType"), F.col("m").alias("__m2"))
-    by_one = table.filter("level = 1").select(F.col("a").alias("Analyte"), F.col("m").alias("__m1"))
-    of_all = table.filter("level = 0").select(F.col("m").alias("__m0"))
+    # medians of all three levels from the same two readings; a row for each analyte and sample type at most
+    found, _ = exact_quantiles(whole, ["Value"], [0.5], ["Analyte", "SampleType"], [2, 1, 0])
+    by_both, by_one, of_all = (cut(found[level].withColumnRenamed("Value", f"__m{level}")).withColumn(f"__m{level}", F.get(f"__m{level}", F.lit(0))) for level in (2, 1, 0))
+    by_both, by_one, of_all = small_side(by_both), small_side(by_one), F.broadcast(of_all)
     joined = df.join(by_both, ["Analyte", "SampleType"], "left").join(by_one, "Analyte", "left").join(of_all, F.lit(True), "left")
     return joined.withColumn("ExpectedValue", F.coalesce("ExpectedValue", "ParentValue", "__m2", "__m1", "__m0")).select(*df.columns)
 
@@ -148,9 +147,9 @@ def risk_summary(df: DataFrame) -> DataFrame:
     """Count and share of every level, also of those without rows."""
     spark = df.sparkSession
     levels = spark.createDataFrame([(name, i) for i, name in enumerate(RISK_LEVELS)], "RiskLevel string, risk_rank int")
-    counts = df.groupBy("RiskLevel").agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    filled = levels.join(counts, "RiskLevel", "left").crossJoin(F.broadcast(total))
+    counts = cut(df.groupBy("RiskLevel").agg(F.count(F.lit(1)).alias("n")))  # a row for each level, read twice
+    total = counts.agg(F.sum("n").alias("total"))
+    filled = levels.join(counts, "RiskLevel", "left").join(F.broadcast(total), F.lit(True))
     n = F.coalesce("n", F.lit(0))
     return filled.select("RiskLevel", n.alias("Count"), F.coalesce(rounded(ratio(n.cast("double"), F.col("total").cast("double")) * 100), F.lit(0.0)).alias("Percent"), "risk_rank")
 
@@ -160,8 +159,6 @@ def top_risk(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def imputed_features(df: DataFrame) -> DataFrame:
-    """The model's nine features: missing and infinite ones take their column's median, or 0 where a column has no value at all."""
-    df = cut(df.select("row_id", *[finite(F.col(c).cast("double")).alias(c) for c in FEATURES]))
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in FEATURES])).alias("f")).select("f.name", "f.x")
-    middle = medians(long, ["name"], F.col("x"), "m").agg(*[F.max(F.when(F.col("name") == c, F.col("m"))).alias(f"__{c}") for c in FEATURES])
-    return df.join(F.broadcast(middle), F.lit(True), "left").select("row_id", *[F.coalesce(F.col(c), F.col(f"__{c}"), F.lit(0.0)).alias(c) for c in FEATURES])
+    """The model's nine features: missing and infinite ones take their column's median, or 0 where a column has no value at all. The
+    table is read twice for the medians, by one aggregate each."""
+    return MedianImputer(list(FEATURES)).fit(df).transform(df).select("row_id", *FEATURES)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.numeric import log_mean, ratio, rounded, same_text
+from assayer.functions.quantiles import exact_quantiles
 
+# The columns of exports and reports, in their order.
 PAIR_COLUMNS = ("NUMERIC_FINAL_VALUE", "PARENT_NUMERIC_FINAL_VALUE", "ANALYSED_DATE", "ANALYTE_CODE", "STAT_DL_VALUE", "STAT_DL_DUP_VALUE", "LIM_REP_VALUE", "LIM_REP_DUP_VALUE", "UNIT_CODE", "PRECISION_STATUS")
 MODEL_COLUMNS = ("ANALYTE_CODE", "ANALYSED_DATE", "NUMERIC_FINAL_VALUE", "PARENT_NUMERIC_FINAL_VALUE", "ABS_DIFF", "MEAN_CONC", "RPD", "PRECISION_STATUS", "STAT_DL_VALUE", "STAT_DL_DUP_VALUE", "LIM_REP_VALUE", "LIM_REP_DUP_VALUE", "UNIT_CODE")
 
@@ -16,7 +18,7 @@ def of_type(results: DataFrame, kind: str) -> DataFrame:
     return results.filter(same_text(F.col("ANALYTICAL_TYPE"), kind)).select("row_id", "JOB_CODE", *PAIR_COLUMNS)
 
 
-def build_precision_features(pairs: DataFrame) -> DataFrame:
+def pair_measures(pairs: DataFrame) -> DataFrame:
     """Absolute difference, mean, and signed relative difference rounded to two places; null where the mean is 0."""
     v, p = F.col("NUMERIC_FINAL_VALUE"), F.col("PARENT_NUMERIC_FINAL_VALUE")
     diff, mean = F.abs(v - p), (v + p) / 2
@@ -45,17 +47,12 @@ def excluded_rows(pairs: DataFrame) -> DataFrame:
 
 
 def group_profile(df: DataFrame, key: str, columns: list[str], places: int = 6) -> DataFrame:
-    """Count, mean, median, least and greatest of each column by group; rows without a group are left out."""
-    from assayer.functions.order import medians
-
-    known = df.filter(F.col(key).isNotNull())
-    aggs = []
-    for c in columns:
-        aggs += [F.count(c).alias(f"{c}_count"), rounded(F.avg(c), places).alias(f"{c}_mean"), rounded(F.min(c), places).alias(f"{c}_min"), rounded(F.max(c), places).alias(f"{c}_max")]
-    out = known.groupBy(key).agg(*aggs)
-    long = known.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("f")).select(key, "f.name", "f.x")
-    middle = medians(long, [key, "name"], F.col("x"), "m").groupBy(key).agg(*[F.max(F.when(F.col("name") == c, rounded(F.col("m"), places))).alias(f"{c}_median") for c in columns])
-    return out.join(middle, key, "left")
+    """Count, mean, median, least and greatest of each column by group; rows without a group are left out. Two readings of the table."""
+    r = lambda x: rounded(x, places)
+    moments = [a for c in columns for a in (F.count(c).alias(f"{c}_count"), r(F.avg(c)).alias(f"{c}_mean"), r(F.min(c)).alias(f"{c}_min"), r(F.max(c)).alias(f"{c}_max"))]
+    found, base = exact_quantiles(df.filter(F.col(key).isNotNull()), columns, [0.5], [key], more=moments)
+    middle = found[1].select(key, *[r(F.get(c, F.lit(0))).alias(f"{c}_median") for c in columns])
+    return base.join(middle, key, "left")
 
 
 def contingency(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from assayer.functions.numeric import in_years, ratio, rounded
-from assayer.functions.order import quantiles
+from assayer.functions.quantiles import exact_quantiles
 
 WHISKER = 1.5
 
 
-def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
-    """`column`, `x` of each numeric column, missing values left out."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
-    return df.select(F.explode(cells).alias("f")).select("f.column", "f.x").filter(F.col("x").isNotNull())
-
-
 def numeric_columns(df: DataFrame, skip: tuple[str, ...] = ("SCHEME_VERSION", "row_id")) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in skip]
 
@@ -37,14 +31,19 @@ def non_null_counts(df: DataFrame) -> DataFrame:
     return row.select(F.explode(cells).alias("f")).select("f.*")
 
 
+def _by_column(row: DataFrame, cells: dict[str, dict[str, Column]]) -> DataFrame:
+    """A row for each column from one wide row: `column_name` and the given values."""
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[v.alias(n) for n, v in values.items()]) for c, values in cells.items()])).alias("f")).select("f.*")
+
+
 def describe(df: DataFrame, columns: list[str], places: int = 2) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles of each column."""
-    long = long_form(df, columns)
-    base = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
-    part = quantiles(long, ["column"], F.col("x"), [0.25, 0.5, 0.75])
-    wide = part.groupBy("column").agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for s, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
-    r = lambda c: rounded(F.col(c), places).alias(c)
-    return base.join(wide, "column").select(F.col("column").alias("column_name"), "n", r("mean"), r("std"), r("low"), r("q1"), r("q2"), r("q3"), r("high"))
+    """Count, mean, sample deviation, extremes and quartiles of each column that has values, from two readings of the table."""
+    x = {c: F.col(c).cast("double") for c in columns}
+    moments = [a for c in columns for a in (F.count(x[c]).alias(f"n_{c}"), F.avg(x[c]).alias(f"mean_{c}"), F.stddev_samp(x[c]).alias(f"std_{c}"), F.min(x[c]).alias(f"low_{c}"), F.max(x[c]).alias(f"high_{c}"))]
+    found, base = exact_quantiles(df, columns, [0.25, 0.5, 0.75], more=moments)
+    r = lambda c: rounded(c, places)
+    cells = {c: {"n": F.col(f"n_{c}"), "mean": r(F.col(f"mean_{c}")), "std": r(F.col(f"std_{c}")), "low": r(F.col(f"low_{c}")), **{f"q{i + 1}": r(F.get(c, F.lit(i))) for i in range(3)}, "high": r(F.col(f"high_{c}"))} for c in columns}
+    return _by_column(base.join(F.broadcast(found[0]), F.lit(True), "left"), cells).filter("n > 0")
 
 
 def value_counts(df: DataFrame, column: str, with_null: bool = False) -> DataFrame:
@@ -66,15 +65,19 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def box_stats(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:
-    """Quartiles, whiskers (the outermost values within 1.5 interquartile ranges) and the number of outliers of each column."""
-    long = long_form(df, columns)
-    wide = quantiles(long, ["column"], F.col("x"), [0.25, 0.5, 0.75]).groupBy("column").agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for s, n in ((0.25, "q1"), (0.5, "med"), (0.75, "q3"))])
-    reach = (F.col("q3") - F.col("q1")) * WHISKER
-    # one row for each of the table's columns
-    with_box = long.join(F.broadcast(wide.withColumns({"lo": F.col("q1") - reach, "hi": F.col("q3") + reach})), "column")
-    inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
-    r = lambda c, n: rounded(c, places).alias(n)
-    return with_box.groupBy("column").agg(r(F.max("q1"), "q1"), r(F.max("med"), "med"), r(F.max("q3"), "q3"), r(F.min(F.when(inside, F.col("x"))), "whisker_low"), r(F.max(F.when(inside, F.col("x"))), "whisker_high"), F.count_if(~inside).alias("outliers")).withColumnRenamed("column", "column_name")
+    """Quartiles, whiskers (the outermost values within 1.5 interquartile ranges) and the number of outliers of each column that has
+    values, from three readings of the table."""
+    quartiles = F.broadcast(exact_quantiles(df, columns, [0.25, 0.5, 0.75])[0][0].select(*[F.col(c).alias(f"__q_{c}") for c in columns]))
+    q = lambda c, i: F.get(f"__q_{c}", F.lit(i))
+    aggs = []
+    for c in columns:
+        x, reach = F.col(c).cast("double"), (q(c, 2) - q(c, 0)) * WHISKER
+        inside = (x >= q(c, 0) - reach) & (x <= q(c, 2) + reach)
+        aggs += [F.any_value(f"__q_{c}").alias(f"q_{c}"), F.min(F.when(inside, x)).alias(f"low_{c}"), F.max(F.when(inside, x)).alias(f"high_{c}"), F.count_if(~inside).alias(f"out_{c}")]
+    r = lambda c: rounded(c, places)
+    of = lambda c, i: r(F.get(f"q_{c}", F.lit(i)))
+    cells = {c: {"q1": of(c, 0), "med": of(c, 1), "q3": of(c, 2), "whisker_low": r(F.col(f"low_{c}")), "whisker_high": r(F.col(f"high_{c}")), "outliers": F.col(f"out_{c}")} for c in columns}
+    return _by_column(df.join(quartiles, F.lit(True)).agg(*aggs), cells).filter("q1 IS NOT NULL")
 
 
 def identity_extent(df: DataFrame, a: str, b: str) -> DataFrame:

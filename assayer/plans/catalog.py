@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayer.plans import model_sql
 from assayer.plans import queries as q
-from assayer.plans.sql import CHARTS, ORACLES
+from assayer.plans.sql import ORACLES
 
-#: Queries whose results depend on a trained model, so SQL has no equal.
-MODELS = ("kmeans_clusters", "cluster_counts", "cluster_profile", "cluster_by_status", "iforest_scores", "anomaly_counts", "anomalies_by_sample_type", "value_trend", "top10_with_anomaly", "anomaly_score_counts", "anomaly_by_status", "anomaly_list", "chart_clusters")
+#: The same tables under the names of the charts that they are drawn as.
+CHARTS = {
+    "chart_missing_bar": "missing_ranked", "chart_box": "box_stats", "chart_value_hist": "hist_30", "chart_risk_bar": "qc_risk_summary", "chart_top10": "top10_with_anomaly",
+    "chart_anomalies_by_type": "anomalies_by_sample_type",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {k: getattr(q, k) for k in (*ORACLES, *MODELS)}
-    found |= {chart: getattr(q, k) for chart, k in CHARTS.items()}
-    return found | {"chart_anomalies_by_type": q.anomalies_by_sample_type}
+    found = {k: getattr(q, k) for k in (*ORACLES, *model_sql.ORACLES)}
+    return found | {chart: found[k] for chart, k in CHARTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | {chart: ORACLES[k] for chart, k in CHARTS.items()}
+    found = ORACLES | model_sql.ORACLES
+    return found | {chart: found[k] for chart, k in CHARTS.items()}

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.numeric import clip, finite, in_years, mentions, ratio, rounded, same_text, strict_timestamp, stripped, to_double, to_timestamp
-from assayer.functions.order import medians, places
+from assayer.functions.order import places
+from assayer.functions.quantiles import medians
 from assayer.functions.shared import cut, shared_folder
-from assayer.operators import ml, pipeline, precision, profile
+from assayer.operators import pipeline, precision, profile
+from assayer.operators.clusters import KMeansRestarts
+from assayer.operators.forest import IsolationForest
+from assayer.operators.stages import MedianImputer
 from assayer.sources.fixture import edge_results, qc_results
 from assayer.sources.results import read_results, write_csv
 
@@ -100,7 +104,7 @@ def qc_risk_by_sample_type(spark, d):
 
 
 def feature_imputed(spark, d):
-    return _r(pipeline.imputed_features(_assessed(spark, d)), list(pipeline.FEATURES))
+    return _r(pipeline.imputed_features(cut(_assessed(spark, d).select("row_id", *pipeline.FEATURES))), list(pipeline.FEATURES))
 
 
 def qc_edge_rows(spark, d):
@@ -122,11 +126,11 @@ def rep_extract(spark, d):
 
 
 def dup_model(spark, d):
-    return precision.build_precision_features(_pairs(spark, d))
+    return precision.pair_measures(_pairs(spark, d))
 
 
 def rep_model(spark, d):
-    return precision.build_precision_features(_pairs(spark, d, "replicate"))
+    return precision.pair_measures(_pairs(spark, d, "replicate"))
 
 
 def dup_signed_rpd(spark, d):
@@ -283,12 +287,13 @@ def _scaled_pairs(spark, d):
 
 
 def _clustered(spark, d):
-    return ml.kmeans(_scaled_pairs(spark, d), ["RPD_z", "LOG_MEAN_z"])
+    pairs = _scaled_pairs(spark, d)
+    return KMeansRestarts(["RPD_z", "LOG_MEAN_z"]).fit(pairs).transform(pairs)
 
 
 def kmeans_clusters(spark, d):
     """Every pair of the analyte with its cluster; rows without features keep none."""
-    return _clustered(spark, d).select("row_id", "RPD", "LOG_MEAN", "CLUSTER")
+    return _r(_clustered(spark, d).select("row_id", "RPD", "LOG_MEAN", "CLUSTER"), ["RPD", "LOG_MEAN"])
 
 
 def cluster_counts(spark, d):
@@ -305,15 +310,17 @@ def cluster_by_status(spark, d):
 
 
 def _scored(spark, d, more: tuple[str, ...] = ()):
-    """Scores of all assessed rows, which are computed once; `more` names columns of theirs to keep."""
-    df = cut(_assessed(spark, d).select("row_id", *pipeline.FEATURES, *[c for c in more if c not in pipeline.FEATURES]))
-    scored = ml.isolation_forest(pipeline.imputed_features(df), "row_id", list(pipeline.FEATURES), trees=250)
-    scored = scored.select("row_id", "IForestScore", "IForestAnomaly")
-    return scored.join(df.select("row_id", *more), "row_id") if more else scored
+    """Scores of all assessed rows, which are computed once; `more` names columns of theirs to keep. Scores are added to the rows that
+    they belong to, so nothing is joined back."""
+    kept = {c: f"kept_{c}" for c in more}
+    df = cut(_assessed(spark, d).select("row_id", *pipeline.FEATURES, *[F.col(c).alias(k) for c, k in kept.items()]))
+    filled = MedianImputer(list(pipeline.FEATURES)).fit(df).transform(df)
+    scored = IsolationForest(list(pipeline.FEATURES), trees=250).fit_scored(filled)[1]
+    return scored.select("row_id", "IForestScore", "IForestAnomaly", *[F.col(k).alias(c) for c, k in kept.items()])
 
 
 def iforest_scores(spark, d):
-    return profile.min_max(_scored(spark, d), "IForestScore", "IForestScoreNorm")
+    return _r(profile.min_max(_scored(spark, d), "IForestScore", "IForestScoreNorm"), ["IForestScore", "IForestScoreNorm"])
 
 
 def anomaly_counts(spark, d):
@@ -336,7 +343,7 @@ def top10_with_anomaly(spark, d):
 
 def _strange_pairs(spark, d):
     """Pairs of the analyte with ANOMALY_SCORE -1 or 1; rows without features keep null."""
-    out = ml.isolation_forest(_clustered(spark, d), "row_id", ["RPD_z", "LOG_MEAN_z"])
+    out = IsolationForest(["RPD_z", "LOG_MEAN_z"]).fit_scored(_clustered(spark, d))[1]
     return out.withColumn("ANOMALY_SCORE", F.when(F.col("IForestAnomaly"), -1).when(~F.col("IForestAnomaly"), 1))
 
 
@@ -350,7 +357,7 @@ def anomaly_by_status(spark, d):
 
 def anomaly_list(spark, d):
     shown = ("row_id", "JOB_CODE", "ANALYTE_CODE", "NUMERIC_FINAL_VALUE", "PARENT_NUMERIC_FINAL_VALUE", "ABS_DIFF", "MEAN_VALUE", "RPD", "LOG_MEAN", "PRECISION_STATUS", "CLUSTER", "ANOMALY_SCORE")
-    return _strange_pairs(spark, d).filter("ANOMALY_SCORE = -1").select(*shown).orderBy(F.desc_nulls_last("RPD"), "row_id")
+    return _strange_pairs(spark, d).filter("ANOMALY_SCORE = -1").select(*shown).transform(_r, ["ABS_DIFF", "MEAN_VALUE", "RPD", "LOG_MEAN"]).orderBy(F.desc_nulls_last("RPD"), "row_id")
 
 
 # single operators
@@ -447,7 +454,7 @@ def op_group_size(spark, d):
 
 def op_partition_median(spark, d):
     df = pipeline.normalise(_results(spark, d)).select("row_id", "Analyte", "SampleType", "Value")
-    return _r(df.join(medians(df, ["Analyte", "SampleType"], F.col("Value"), "middle"), ["Analyte", "SampleType"], "left").select("row_id", "middle"), ["middle"])
+    return _r(df.join(medians(df, ["Analyte", "SampleType"], "Value", "middle"), ["Analyte", "SampleType"], "left").select("row_id", "middle"), ["middle"])
 
 
 def op_sort_date(spark, d):
@@ -476,8 +483,8 @@ def chart_parent_vs_dup(spark, d):
 
 
 def chart_rpd_hist(spark, d):
-    return profile.histogram(precision.build_precision_features(_pairs(spark, d)), "RPD", 30)
+    return profile.histogram(precision.pair_measures(_pairs(spark, d)), "RPD", 30)
 
 
 def chart_clusters(spark, d):
-    return _clustered(spark, d).select("row_id", "LOG_MEAN", "RPD", "CLUSTER")
+    return _r(_clustered(spark, d).select("row_id", "LOG_MEAN", "RPD", "CLUSTER"), ["LOG_MEAN", "RPD"])

@@ -27,7 +27,7 @@ RAW = """raw AS (
 #: RAW with missing dates and values, negative targets and warning limits.
 EDGE = RAW.replace("raw AS (", "plain AS (") + """, raw AS (
   SELECT * REPLACE (CASE WHEN row_id % 23 <> 0 THEN ANALYSED_DATE END AS ANALYSED_DATE, CASE WHEN row_id % 29 <> 0 AND row_id % 31 <> 0 THEN NUMERIC_FINAL_VALUE END AS NUMERIC_FINAL_VALUE,
-    CASE WHEN row_id % 11 = 0 THEN -5.0::DOUBLE ELSE INTERNAL_TARGET_VALUE END AS INTERNAL_TARGET_VALUE,
+    CASE WHEN row_id % 37 <> 0 THEN PARENT_NUMERIC_FINAL_VALUE END AS PARENT_NUMERIC_FINAL_VALUE, CASE WHEN row_id % 11 = 0 THEN -5.0::DOUBLE ELSE INTERNAL_TARGET_VALUE END AS INTERNAL_TARGET_VALUE,
     CASE WHEN row_id % 9 = 0 THEN 10.0::DOUBLE END AS INTERNAL_MIN_WARNING_VALUE, CASE WHEN row_id % 9 = 0 THEN 30.0::DOUBLE END AS INTERNAL_MAX_WARNING_VALUE) FROM plain)"""
 NORM = """norm AS (
   SELECT row_id, coalesce(JOB_CODE, 'JOB-UNKNOWN') || '-' || row_id AS SampleID,
@@ -199,5 +199,3 @@ ORACLES = {
     "chart_parent_vs_dup": f"WITH {RAW}, {PAIRS} SELECT row_id, PARENT_NUMERIC_FINAL_VALUE, NUMERIC_FINAL_VALUE FROM pairs",
     "chart_rpd_hist": histogram(f"WITH {RAW}, {PAIRS}, model AS ({MODEL} pairs)", "model", "RPD", 30),
 }
-#: The same tables under the names of the charts that they are drawn as.
-CHARTS = {"chart_missing_bar": "missing_ranked", "chart_box": "box_stats", "chart_value_hist": "hist_30", "chart_risk_bar": "qc_risk_summary", "chart_top10": "qc_top10_risk"}

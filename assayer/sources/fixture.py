@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.functions.numeric import finite
-
 
 def qc_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -46,7 +44,8 @@ def edge_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc_results(spark, sf_dir).withColumns(
         {
             "ANALYSED_DATE": F.when(i % 23 != 0, F.col("ANALYSED_DATE")),
-            "NUMERIC_FINAL_VALUE": finite(F.when(i % 29 == 0, float("inf")).when(i % 31 != 0, F.col("NUMERIC_FINAL_VALUE"))),
+            "NUMERIC_FINAL_VALUE": F.when(i % 29 == 0, F.when(i % 2 == 0, float("inf")).otherwise(float("nan"))).when(i % 31 != 0, F.col("NUMERIC_FINAL_VALUE")),
+            "PARENT_NUMERIC_FINAL_VALUE": F.when(i % 37 == 0, float("-inf")).otherwise(F.col("PARENT_NUMERIC_FINAL_VALUE")),
             "INTERNAL_TARGET_VALUE": F.when(i % 11 == 0, -5.0).otherwise(F.col("INTERNAL_TARGET_VALUE")),
             "INTERNAL_MIN_WARNING_VALUE": F.when(i % 9 == 0, 10.0),
             "INTERNAL_MAX_WARNING_VALUE": F.when(i % 9 == 0, 30.0),

@@ -80,7 +80,7 @@ def test_relative_differences(spark):
     df = results(spark, {"ANALYTICAL_TYPE": " duplicate ", "NUMERIC_FINAL_VALUE": 5, "PARENT_NUMERIC_FINAL_VALUE": -5}, {"ANALYTICAL_TYPE": "Duplicate", "NUMERIC_FINAL_VALUE": -5, "PARENT_NUMERIC_FINAL_VALUE": -6})
     pairs = precision.of_type(df, "duplicate")
     assert pairs.count() == 2
-    b, c = by_id(precision.build_precision_features(pairs)), by_id(precision.signed_rpd(pairs))
+    b, c = by_id(precision.pair_measures(pairs)), by_id(precision.signed_rpd(pairs))
     a = by_id(pipeline.prepare(df).transform(pipeline.deviation_features))
     assert a[0]["RPD"] is b[0]["RPD"] is c[0]["RPD"] is None
     assert math.isclose(a[1]["RPD"], 200 / 11) and b[1]["RPD"] == -18.18 and math.isclose(c[1]["RPD"], -200 / 11)
