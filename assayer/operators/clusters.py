@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasSeed
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.shared import cut
@@ -18,7 +18,9 @@ from assayer.operators.stages import FittedModel, SavedEstimator, number
 #: Steps to a unit of a feature: points are whole numbers of them, so that sums are exact in any order of adding.
 STEPS = 1_000_000
 #: Rounds, at most; they end where no centre moves.
-ROUNDS = 30
+ROUNDS = 20
+#: Rows that a task may add up in a round.
+TASK_ROWS = 200_000
 
 
 def _points(df: DataFrame, columns: list[str]) -> tuple[DataFrame, object]:
@@ -53,8 +55,13 @@ class KMeansRestarts(SavedEstimator, HasInputCols, HasSeed):
         columns, k, runs = self.getInputCols(), self.getOrDefault("k"), self.getOrDefault("restarts")
         placed, ok = _points(dataset, columns)
         rows = cut(placed.filter(ok).select(F.col(self.getOrDefault("idCol")).cast("string").alias("id"), F.col("__p").alias("p")))
-        hashes = [F.md5(F.concat_ws(":", F.lit(str(self.getSeed())), F.lit(str(r)), "id").cast("binary")) for r in range(runs)]
-        starts = [[list(r["p"]) for r in rows.select(h.alias("h"), "p").orderBy("h", "p").limit(k).collect()] for h in hashes]
+        n = rows.count()
+        rows = rows.coalesce(max(1, -(-n // TASK_ROWS)))  # a filter may leave little in each of many partitions
+        digest = lambda r: F.md5(F.concat_ws(":", F.lit(str(self.getSeed())), F.lit(str(r)), "id").cast("binary"))
+        hashed = rows.select("p", F.posexplode(F.array(*[digest(r) for r in range(runs)])).alias("run", "h"))
+        place = F.row_number().over(Window.partitionBy("run").orderBy("h", "p"))  # the planner keeps k rows of a run in each task
+        drawn = hashed.withColumn("place", place).filter(F.col("place") <= k).orderBy("run", "place").collect()
+        starts = [[list(r["p"]) for r in drawn if r["run"] == run] for run in range(runs)]
         if not starts[0]:
             return self._copyValues(KMeansModel({"centres": []}))
         centres = np.array(starts, dtype=np.float64)

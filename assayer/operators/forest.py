@@ -142,7 +142,7 @@ class IsolationForest(SavedEstimator, HasInputCols, HasSeed):
         model = self._copyValues(IsolationForestModel({"trees": trees, "size": size, "limit": None}))
         model.nodes = nodes
         scored = cut(model.scored(dataset))
-        found = exact_quantiles(scored, ["IForestScore"], [1 - self.getOrDefault("contamination")])[0][0].first()
+        found = exact_quantiles(scored, ["IForestScore"], [1 - self.getOrDefault("contamination")])[0].first()
         model.state["limit"] = found["IForestScore"][0] if found is not None and found["IForestScore"] is not None else None
         return model, model.flagged(scored)
 

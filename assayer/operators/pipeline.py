@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayer.functions.numeric import clip, finite, mentions, ratio, rounded
 from assayer.functions.order import rolling
 from assayer.functions.quantiles import exact_quantiles
-from assayer.functions.shared import cut, small_side
+from assayer.functions.shared import cut
 from assayer.operators.stages import MedianImputer
 
 # Sample types as exports name them, and as reports do.
@@ -53,10 +53,9 @@ def impute_expected(df: DataFrame, medians_of: DataFrame | None = None) -> DataF
     Medians are those of another table if given: the whole one, where `df` is a part of it with more columns."""
     whole = df if medians_of is None else medians_of
     # medians of all three levels from the same two readings; a row for each analyte and sample type at most
-    found, _ = exact_quantiles(whole, ["Value"], [0.5], ["Analyte", "SampleType"], [2, 1, 0])
-    by_both, by_one, of_all = (cut(found[level].withColumnRenamed("Value", f"__m{level}")).withColumn(f"__m{level}", F.get(f"__m{level}", F.lit(0))) for level in (2, 1, 0))
-    by_both, by_one, of_all = small_side(by_both), small_side(by_one), F.broadcast(of_all)
-    joined = df.join(by_both, ["Analyte", "SampleType"], "left").join(by_one, "Analyte", "left").join(of_all, F.lit(True), "left")
+    found = exact_quantiles(whole, ["Value"], [0.5], ["Analyte", "SampleType"], [2, 1, 0])
+    by_both, by_one, of_all = (found[level].withColumn("Value", F.get("Value", F.lit(0))).withColumnRenamed("Value", f"__m{level}") for level in (2, 1, 0))
+    joined = df.join(by_both, ["Analyte", "SampleType"], "left").join(by_one, "Analyte", "left").join(F.broadcast(of_all), F.lit(True), "left")
     return joined.withColumn("ExpectedValue", F.coalesce("ExpectedValue", "ParentValue", "__m2", "__m1", "__m0")).select(*df.columns)
 
 

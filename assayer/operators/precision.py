@@ -50,9 +50,9 @@ def group_profile(df: DataFrame, key: str, columns: list[str], places: int = 6)
     """Count, mean, median, least and greatest of each column by group; rows without a group are left out. Two readings of the table."""
     r = lambda x: rounded(x, places)
     moments = [a for c in columns for a in (F.count(c).alias(f"{c}_count"), r(F.avg(c)).alias(f"{c}_mean"), r(F.min(c)).alias(f"{c}_min"), r(F.max(c)).alias(f"{c}_max"))]
-    found, base = exact_quantiles(df.filter(F.col(key).isNotNull()), columns, [0.5], [key], more=moments)
+    found = exact_quantiles(df.filter(F.col(key).isNotNull()), columns, [0.5], [key], more=moments)
     middle = found[1].select(key, *[r(F.get(c, F.lit(0))).alias(f"{c}_median") for c in columns])
-    return base.join(middle, key, "left")
+    return found.base.join(middle, key, "left")
 
 
 def contingency(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -40,10 +40,10 @@ def describe(df: DataFrame, columns: list[str], places: int = 2) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of each column that has values, from two readings of the table."""
     x = {c: F.col(c).cast("double") for c in columns}
     moments = [a for c in columns for a in (F.count(x[c]).alias(f"n_{c}"), F.avg(x[c]).alias(f"mean_{c}"), F.stddev_samp(x[c]).alias(f"std_{c}"), F.min(x[c]).alias(f"low_{c}"), F.max(x[c]).alias(f"high_{c}"))]
-    found, base = exact_quantiles(df, columns, [0.25, 0.5, 0.75], more=moments)
+    found = exact_quantiles(df, columns, [0.25, 0.5, 0.75], more=moments)
     r = lambda c: rounded(c, places)
     cells = {c: {"n": F.col(f"n_{c}"), "mean": r(F.col(f"mean_{c}")), "std": r(F.col(f"std_{c}")), "low": r(F.col(f"low_{c}")), **{f"q{i + 1}": r(F.get(c, F.lit(i))) for i in range(3)}, "high": r(F.col(f"high_{c}"))} for c in columns}
-    return _by_column(base.join(F.broadcast(found[0]), F.lit(True), "left"), cells).filter("n > 0")
+    return _by_column(found.base.join(F.broadcast(found[0]), F.lit(True), "left"), cells).filter("n > 0")
 
 
 def value_counts(df: DataFrame, column: str, with_null: bool = False) -> DataFrame:
@@ -67,7 +67,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def box_stats(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:
     """Quartiles, whiskers (the outermost values within 1.5 interquartile ranges) and the number of outliers of each column that has
     values, from three readings of the table."""
-    quartiles = F.broadcast(exact_quantiles(df, columns, [0.25, 0.5, 0.75])[0][0].select(*[F.col(c).alias(f"__q_{c}") for c in columns]))
+    quartiles = F.broadcast(exact_quantiles(df, columns, [0.25, 0.5, 0.75])[0].select(*[F.col(c).alias(f"__q_{c}") for c in columns]))
     q = lambda c, i: F.get(f"__q_{c}", F.lit(i))
     aggs = []
     for c in columns:

@@ -79,7 +79,7 @@ class MedianImputer(SavedEstimator, HasInputCols):
     def _fit(self, dataset: DataFrame) -> MedianImputerModel:
         columns = self.getInputCols()
         rows = dataset.select(*[number(c).alias(c) for c in columns])
-        found = exact_quantiles(rows, columns, [0.5])[0][0].first()
+        found = exact_quantiles(rows, columns, [0.5])[0].first()
         middle = {c: found[c][0] if found is not None and found[c] is not None else 0.0 for c in columns}
         return self._copyValues(MedianImputerModel({"medians": middle}))
 

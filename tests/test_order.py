@@ -26,17 +26,17 @@ def spark_table(spark, frame):
     return spark.createDataFrame(frame).withColumn("z", F.when(~F.isnan("z"), F.col("z")))
 
 
-# (points, accuracy, values held): one round, and several rounds of narrowing
-GRIDS = [(200, 1_000, 50_000), (40, 400, 300), (40, 400, 30)]
+# (points, accuracy, values held, groups of one task): one round, and several rounds of narrowing
+GRIDS = [(200, 1_000, 50_000, 2_000), (200, 1_000, 50_000, 0), (40, 400, 300, 2_000), (40, 400, 30, 0)]
 
 
 @pytest.mark.parametrize("grid", GRIDS)
 def test_quantiles_of_all_levels(spark, table, grid, monkeypatch):
-    for name, x in zip(("POINTS", "ACCURACY", "HELD"), grid, strict=True):
+    for name, x in zip(("POINTS", "ACCURACY", "HELD", "GROUPS"), grid, strict=True):
         monkeypatch.setattr(quantiles, name, x)
     shares = [0.0, 0.25, 0.95]
     columns = ["x", "y", "z"]
-    found, base = exact_quantiles(spark_table(spark, table), columns, shares, ["k", "j"], [2, 1, 0], [F.avg("x").alias("mean")])
+    found = exact_quantiles(spark_table(spark, table), columns, shares, ["k", "j"], [2, 1, 0], [F.avg("x").alias("mean")])
     for level, keys in ((2, ["k", "j"]), (1, ["k"])):
         got = {tuple(r[k] for k in keys): r for r in found[level].collect()}
         groups = list(table.groupby(keys))
@@ -46,7 +46,7 @@ def test_quantiles_of_all_levels(spark, table, grid, monkeypatch):
                 assert (got[k][c] is None and g[c].isna().all()) or np.allclose(got[k][c], g[c].quantile(shares)), (level, k, c)
     row = found[0].first()
     assert all(np.allclose(row[c], table[c].quantile(shares)) for c in columns)
-    means = {(r["k"], r["j"]): r["mean"] for r in base.collect()}
+    means = {(r["k"], r["j"]): r["mean"] for r in found.base.collect()}
     assert all(np.isclose(means[k], g["x"].mean()) for k, g in table.groupby(["k", "j"]))
 
 
@@ -55,16 +55,16 @@ def test_heavy_values_and_many_partitions(spark, monkeypatch):
     rng = np.random.default_rng(5)
     for x in (np.r_[np.zeros(9_000), rng.normal(size=1_000)], np.full(500, 7.0), np.arange(20_000.0), np.r_[rng.normal(size=3), np.ones(4_000), np.full(4_000, 2.0)]):
         df = spark.createDataFrame(pd.DataFrame({"x": rng.permutation(x)})).repartition(13)
-        got = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9])[0][0].first()["x"]
+        got = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9])[0].first()["x"]
         assert np.allclose(got, np.quantile(x, [0.1, 0.5, 0.9]))
 
 
 def test_quantiles_without_values(spark):
     empty = spark.createDataFrame([], "k string, x double, y int")
-    assert exact_quantiles(empty, ["x", "y"], [0.5])[0][0].first() in (None, (None, None))
-    assert exact_quantiles(empty, ["x"], [0.5], ["k"])[0][1].count() == 0
+    assert exact_quantiles(empty, ["x", "y"], [0.5])[0].first() in (None, (None, None))
+    assert exact_quantiles(empty, ["x"], [0.5], ["k"])[1].count() == 0
     some = spark.createDataFrame([("a", None, 1), ("b", 2.0, None)], "k string, x double, y int")
-    got = {r["k"]: (r["x"], r["y"]) for r in exact_quantiles(some, ["x", "y"], [0.5], ["k"])[0][1].collect()}
+    got = {r["k"]: (r["x"], r["y"]) for r in exact_quantiles(some, ["x", "y"], [0.5], ["k"])[1].collect()}
     assert got == {"a": (None, [1.0]), "b": ([2.0], None)}
 
 
