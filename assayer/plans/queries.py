@@ -15,7 +15,9 @@ from assayer.operators import pipeline, precision, profile
 from assayer.operators.clusters import KMeansRestarts
 from assayer.operators.forest import IsolationForest
 from assayer.operators.stages import MedianImputer
+from assayer.sources.exports import read_export
 from assayer.sources.fixture import edge_results, qc_results
+from assayer.sources.layer import publish, read_layer, save_bucketed
 from assayer.sources.results import read_results, write_csv
 
 COUNTED = ["Value", "ExpectedValue", "LowerLimit", "UpperLimit"]
@@ -470,9 +472,61 @@ def op_sort_desc(spark, d):
 
 
 def op_rowid_writeback(spark, d):
+    """Which pairs have features, written back by row id: both tables lie in the same buckets, so the join moves no row."""
+    folder = f"{shared_folder(spark)}/writeback-{uuid.uuid4().hex}"
     pairs = _analyte_pairs(spark, d)
-    flagged = pairs.filter(precision.usable()).select("row_id", F.lit(True).alias("has_features"))
-    return pairs.select("row_id").join(flagged, "row_id", "left")
+    every = save_bucketed(pairs.select("row_id"), f"{folder}/pairs", "row_id", 8)
+    flagged = save_bucketed(pairs.filter(precision.usable()).select("row_id", F.lit(True).alias("has_features")), f"{folder}/flags", "row_id", 8)
+    return every.join(flagged, "row_id", "left")
+
+
+# exports and the typed layer
+
+
+def _mixed_export(spark, d):
+    """The event table as an export of many files with two orders of columns, values of mixed kinds, and lines with a value too many."""
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    i = F.col("event_id")
+    lines = spark.read.parquet(f"{d}/events.parquet").select(
+        "event_id",
+        F.when(i % 50 == 7, F.concat(i.cast("string"), F.lit(",extra"))).otherwise(i.cast("string")).alias("LOT"),
+        F.col("event_type").alias("ANALYTE_CODE"),
+        F.when(i % 11 == 0, "NA").when(i % 13 == 0, F.concat(F.lit("<"), F.col("value").cast("string"))).otherwise(F.col("value").cast("string")).alias("NUMERIC_FINAL_VALUE"),
+        F.when(i % 97 == 1, F.concat(F.col("user_id").cast("string"), F.lit(".5"))).otherwise(F.col("user_id").cast("string")).alias("SHARE"),
+        F.when(i % 3 == 0, "true").otherwise("false").alias("OK"),
+        F.date_format("ts", "yyyy-MM-dd").alias("SEEN"),
+        F.when(i % 89 == 5, "repeat").otherwise((i % 7).cast("string")).alias("REMARK"),
+    )
+    orders = ("LOT", "ANALYTE_CODE", "NUMERIC_FINAL_VALUE", "SHARE", "OK", "SEEN", "REMARK"), ("REMARK", "SEEN", "LOT", "OK", "NUMERIC_FINAL_VALUE", "ANALYTE_CODE", "SHARE")
+    for k, order in enumerate(orders):
+        line = F.concat_ws(",", *order).alias(",".join(order))  # one column to the writer, so that it quotes nothing
+        lines.filter(i % 2 == k).orderBy("event_id").select(line).write.option("header", True).option("sep", "\x01").csv(f"{folder}/{k}")
+    return read_export(spark, [f"{folder}/{k}" for k in range(len(orders))])
+
+
+def export_rows(spark, d):
+    """Readable lines with inferred types, numbered in file order."""
+    return _mixed_export(spark, d).rows
+
+
+def export_types(spark, d):
+    """The type of each column from all its values in all files."""
+    return spark.createDataFrame(list(_mixed_export(spark, d).types.items()), "column_name string, type string")
+
+
+def export_unreadable(spark, d):
+    """Lines with a wrong number of values, by their number in file order."""
+    return _mixed_export(spark, d).unreadable.select("row_id", "line")
+
+
+def layer_by_year(spark, d):
+    """Results published by year, one year of them anew, and two years read back."""
+    path = f"{shared_folder(spark)}/layer-{uuid.uuid4().hex}"
+    later = F.make_ym_interval((F.col("row_id") % 3).cast("int"), F.lit(0))
+    results = _results(spark, d).select("row_id", "ANALYTE_CODE", (F.col("ANALYSED_DATE") + later).alias("ANALYSED_DATE"), "NUMERIC_FINAL_VALUE")
+    publish(results, path)
+    publish(results.filter((F.col("row_id") % 3 == 1) & (F.col("row_id") % 2 == 0)).withColumn("NUMERIC_FINAL_VALUE", F.col("NUMERIC_FINAL_VALUE") * 2), path)
+    return read_layer(spark, path, [2025, 2026]).select("row_id", "ANALYTE_CODE", "ANALYSED_DATE", "NUMERIC_FINAL_VALUE", "analysed_year")
 
 
 # chart data

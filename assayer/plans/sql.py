@@ -196,6 +196,14 @@ ORACLES = {
     "op_sort_date": f"{PREPARED} SELECT row_id, Analyte, row_number() OVER (PARTITION BY Analyte ORDER BY AnalysisDate, row_id) AS place FROM lim",
     "op_sort_desc": f"{W_RAW} SELECT row_id, PARENT_NUMERIC_FINAL_VALUE, row_number() OVER (ORDER BY PARENT_NUMERIC_FINAL_VALUE DESC NULLS LAST, row_id) AS place FROM raw QUALIFY place <= 20",
     "op_rowid_writeback": f"{W_PAIRS} SELECT row_id, CASE WHEN RPD IS NOT NULL AND LOG_MEAN IS NOT NULL THEN true END AS has_features FROM clicks",
+    "export_rows": "SELECT row_number() OVER (ORDER BY event_id % 2, event_id) - 1 AS row_id, event_id AS LOT, event_type AS ANALYTE_CODE, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN value END AS NUMERIC_FINAL_VALUE, user_id + CASE WHEN event_id % 97 = 1 THEN 0.5::DOUBLE ELSE 0 END AS SHARE, event_id % 3 = 0 AS OK, date_trunc('day', ts)::TIMESTAMP AS SEEN, CASE WHEN event_id % 89 = 5 THEN 'repeat' ELSE (event_id % 7)::VARCHAR END AS REMARK FROM events QUALIFY event_id % 50 <> 7",
+    "export_types": "SELECT * FROM (VALUES ('LOT', 'bigint'), ('ANALYTE_CODE', 'string'), ('NUMERIC_FINAL_VALUE', 'double'), ('SHARE', 'double'), ('OK', 'boolean'), ('SEEN', 'timestamp_ntz'), ('REMARK', 'string')) t(column_name, type)",
+    "export_unreadable": """WITH e AS (SELECT row_number() OVER (ORDER BY event_id % 2, event_id) - 1 AS row_id, event_id % 2 AS k, event_id % 50 = 7 AS broken, event_id || ',extra' AS lot, event_type AS code,
+  CASE WHEN event_id % 11 = 0 THEN 'NA' WHEN event_id % 13 = 0 THEN '<' || value ELSE value::VARCHAR END AS v, user_id || CASE WHEN event_id % 97 = 1 THEN '.5' ELSE '' END AS share, CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END AS ok,
+  strftime(ts, '%Y-%m-%d') AS seen, CASE WHEN event_id % 89 = 5 THEN 'repeat' ELSE (event_id % 7)::VARCHAR END AS remark FROM events)
+SELECT row_id, CASE k WHEN 0 THEN concat_ws(',', lot, code, v, share, ok, seen, remark) ELSE concat_ws(',', remark, seen, lot, ok, v, code, share) END AS line FROM e WHERE broken""",
+    "layer_by_year": f"""{W_RAW} SELECT row_id, ANALYTE_CODE, ANALYSED_DATE + to_years((row_id % 3)::INT) AS ANALYSED_DATE, NUMERIC_FINAL_VALUE * CASE row_id % 3 WHEN 1 THEN 2 ELSE 1 END AS NUMERIC_FINAL_VALUE, (2024 + row_id % 3)::INT AS analysed_year
+FROM raw WHERE row_id % 3 = 2 OR row_id % 3 = 1 AND row_id % 2 = 0""",
     "chart_parent_vs_dup": f"WITH {RAW}, {PAIRS} SELECT row_id, PARENT_NUMERIC_FINAL_VALUE, NUMERIC_FINAL_VALUE FROM pairs",
     "chart_rpd_hist": histogram(f"WITH {RAW}, {PAIRS}, model AS ({MODEL} pairs)", "model", "RPD", 30),
 }

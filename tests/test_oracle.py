@@ -12,7 +12,7 @@ import pytest
 from assayer.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["qc_normalised", "qc_expected_value", "qc_limits", "qc_rolling", "qc_risk_scores", "qc_risk_summary", "qc_top10_risk", "feature_imputed", "dup_model", "standardised_features", "profile_by_flag", "missing_ranked", "numeric_columns_describe", "hist_100", "box_stats", "user_drilldown", "op_csv_roundtrip", "op_casts", "op_conditionals", "qc_edge_rows", "box_stats_results", "hist_100_blank", "hist_100_standard", "op_strict_timestamp", "op_finite", "op_text_codes", "op_sort_date", "hist_30", "sample_type_counts"]
+CHECKED = ["qc_normalised", "qc_expected_value", "qc_limits", "qc_rolling", "qc_risk_scores", "qc_risk_summary", "qc_top10_risk", "feature_imputed", "dup_model", "standardised_features", "profile_by_flag", "missing_ranked", "numeric_columns_describe", "hist_100", "box_stats", "user_drilldown", "op_csv_roundtrip", "op_casts", "op_conditionals", "qc_edge_rows", "box_stats_results", "hist_100_blank", "hist_100_standard", "op_strict_timestamp", "op_finite", "op_text_codes", "op_sort_date", "hist_30", "sample_type_counts", "export_rows", "export_types", "export_unreadable", "layer_by_year", "op_rowid_writeback", "kmeans_clusters", "cluster_profile", "cluster_by_status", "iforest_scores", "top10_with_anomaly", "anomaly_by_status", "anomaly_list"]
 
 
 def plain(v):
