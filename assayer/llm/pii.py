@@ -27,6 +27,8 @@ class Kind:
 
 
 CONTEXT_GAIN, CONTEXT_CHARS, MIN_SCORE = 0.3, 48, 0.5
+#: Matches that may begin or end within CONTEXT_CHARS characters: each takes two at least.
+NEIGHBOURS = CONTEXT_CHARS // 2
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Letters of an account number stand for 10 to 35 in its checksum.
 LETTER_VALUES = {chr(ord("A") + i): str(10 + i) for i in range(26)}
@@ -76,7 +78,8 @@ def _spans(text: Column, kind: Kind) -> Column:
     """Array of struct(kind, start, end, score, match) of the valid matches by start, in code points, end exclusive.
 
     Splitting by a pattern and finding all its matches cut a text at the same places, so running sums of the lengths of
-    both are offsets; only valid matches are kept on the way."""
+    both are offsets; only valid matches are kept on the way. The characters around a match are put together from the pieces
+    and matches next to it, so a long text isn't walked again for each of its matches."""
     span = "struct<kind:string,start:int,end:int,score:double,match:string>"
     none = F.array().cast(f"array<{span}>")
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -85,11 +88,15 @@ def _spans(text: Column, kind: Kind) -> Column:
         def step(a: Column, m: Column) -> Column:
             start = a["at"] + F.length(between[a["i"]])
             end = start + F.length(m)
-            near = F.concat_ws(" ", F.right(between[a["i"]], F.lit(CONTEXT_CHARS)), F.left(between[a["i"] + 1], F.lit(CONTEXT_CHARS)))
+            i = a["i"]
+            pieces = lambda first, last, pair: F.array_join(F.flatten(F.transform(F.sequence(first, last), pair)), "")
+            before = pieces(F.greatest(i - NEIGHBOURS, F.lit(0)), i, lambda j: F.array(F.get(found, j - 1), F.get(between, j)))
+            after = pieces(i + 1, i + 1 + NEIGHBOURS, lambda j: F.array(F.get(between, j), F.get(found, j)))
+            near = F.concat_ws(" ", F.right(before, F.lit(CONTEXT_CHARS)), F.left(after, F.lit(CONTEXT_CHARS)))
             score = F.least(F.lit(kind.score + kind.checksum) + F.when(near.rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0)), F.lit(1.0))
             one = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"), m.alias("match"))
             kept = F.filter(F.array(one), lambda x: F.lit(True) if kind.base else x["score"] >= MIN_SCORE)
-            return F.struct((a["i"] + 1).alias("i"), end.alias("at"), F.when(_valid(kind, m), F.concat(a["out"], kept)).otherwise(a["out"]).alias("out"))
+            return F.struct((i + 1).alias("i"), end.alias("at"), F.when(_valid(kind, m), F.concat(a["out"], kept)).otherwise(a["out"]).alias("out"))
 
         return F.aggregate(found, F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
 
@@ -101,7 +108,8 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFram
 
     Base kinds (email, ip, card, phone) keep every match that passes its own test, whatever its score. Account numbers (iban,
     mod-97 checksum) and social security numbers (ssn, ranges in use) are added only where a word of their context stands
-    within CONTEXT_CHARS characters before or after: without one neither makes MIN_SCORE. Null or empty text: empty array.
+    within the CONTEXT_CHARS characters of the text before or after it, whatever other matches stand there: without one neither
+    makes MIN_SCORE. Null or empty text: empty array.
     Spans of different kinds may overlap. Repeated rows: each by itself. Empty table: empty result. A column named like
     `into` is replaced; other columns pass through."""
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -66,8 +66,9 @@ def pii_spans() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({found}),
-m AS (SELECT rid, k, kind, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, unnest(bs[2:]) AS after, unnest(range(len(ms))) AS i FROM f WHERE len(ms) > 0),
-p AS (SELECT rid, k, kind, m, (sum(length(b) + length(m)) OVER (PARTITION BY rid, k ORDER BY i))::BIGINT AS e, regexp_replace(m, '[^0-9]+', '', 'g') AS digits, replace(m, ' ', '') AS compact, right(b, {pii.CONTEXT_CHARS}) || ' ' || left(after, {pii.CONTEXT_CHARS}) AS near FROM m),
+m AS (SELECT rid, k, kind, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, unnest(range(len(ms))) AS i FROM f WHERE len(ms) > 0),
+p AS (SELECT rid, k, kind, m, (sum(length(b) + length(m)) OVER (PARTITION BY rid, k ORDER BY i))::BIGINT AS e, regexp_replace(m, '[^0-9]+', '', 'g') AS digits, replace(m, ' ', '') AS compact FROM m),
+n AS (SELECT p.*, substr(text, greatest(e - length(m) - {pii.CONTEXT_CHARS}, 0) + 1, least({pii.CONTEXT_CHARS}, e - length(m))) || ' ' || substr(text, e + 1, {pii.CONTEXT_CHARS}) AS near FROM p JOIN d USING (rid)),
 v AS (
   SELECT *, CASE kind
     WHEN 'email' THEN true
@@ -77,7 +78,7 @@ v AS (
     WHEN 'ssn' THEN NOT regexp_matches(m, '^(000|666|9..)|-00-|-0000$')
     ELSE length(compact) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, [CAST(z AS BIGINT) FOR z IN string_split(array_to_string([CASE c {letters} ELSE c END FOR c IN string_split(compact[5:] || compact[:4], '')], ''), '') IF z <> '']), lambda a, z: (a * 10 + z) % 97) = 1
     END AS ok, least(CASE kind {trust} END + CASE WHEN CASE kind {context} END THEN {gain} ELSE 0 END, 100) AS score
-  FROM p),
+  FROM n),
 s AS (SELECT rid, k, kind, e - length(m) AS st, kind || ':' || (e - length(m)) || ':' || e AS one, score FROM v WHERE ok AND (kind NOT IN ({added}) OR score >= {least})),
 g AS (
   SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
