@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -228,7 +229,7 @@ def test_long_text_with_many_repeated_passages(spark):
     """30,000 repeated passages in a text of 100,000 lines: removed at once, not one after another."""
     source = [f"line number {i} of the first text" for i in range(60_000)]
     own = [f"a line {i} of its own" for i in range(40_000)]
-    long = [x for i in range(20_000) for x in (own[2 * i], source[3 * i], source[3 * i + 1], own[2 * i + 1])] + [x for i in range(10_000) for x in (source[3 * i], source[3 * i + 1])]
+    long = [x for i in range(20_000) for x in (own[2 * i], *source[3 * i : 3 * i + 3], own[2 * i + 1])]
     began = time.time()
     rows = line_dedup.remove_runs(documents(spark, ["\n".join(source), "\n".join(long)])).orderBy("doc_id").collect()
     assert rows[0]["removed_lines"] == 0 and rows[1]["text"].split("\n") == own and rows[1]["removed_lines"] == 60_000
@@ -392,75 +393,57 @@ def test_mixture_follows_weights_and_repeats_itself(spark):
 # line dedup
 
 
-def brute_lines(docs):
-    seen, out = set(), []
-    for t in docs:
-        if t is None:
-            out.append((None, 0, 0))
-            continue
-        lines = t.split("\n")
-        kept, c, n = [], 0, 0
-        for a, k in line_dedup.chunks([x.encode() for x in lines]):
-            block = "\n".join(lines[a : a + k])
-            if k >= 2 and block in seen:
-                c, n = c + 1, n + k
-            else:
-                kept += lines[a : a + k]
-                seen.add(block)
-        out.append(("\n".join(kept), c, n))
+def plain_chunks(lines):
+    """Chunks by the rule in plain words: pairs whose rolling hash is least of two neighbours, long pairs, long lines."""
+    line_hashes = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in lines], dtype=np.uint64)
+    roll = [int(x) for x in line_dedup.rolling(line_hashes)]
+    out = []
+    for i, r in enumerate(roll):
+        near = roll[max(0, i - 1) : i] + roll[i + 1 : i + 2]
+        if not near or any(r <= x for x in near) or len(" ".join(lines[i : i + 2]).split()) > 50:
+            out.append((i, 2))
+    return out + [(i, 1) for i, x in enumerate(lines) if len(x.split()) > 50]
+
+
+def brute_chunks(docs):
+    """What the operator promises, text by text: chunks seen before grow by a line at each side, and what they cover goes."""
+    first, where, out = {}, {}, []
+    texts = [[] if t is None else t.split("\n") for t in docs]
+    for d, lines in enumerate(texts):
+        for i, n in plain_chunks(lines):
+            where.setdefault(tuple(lines[i : i + n]), []).append((d, i, n))
+    first = {k: min(v) for k, v in where.items()}
+    gone = [[False] * len(x) for x in texts]
+    for k, places in where.items():
+        fd, fi, _ = first[k]
+        source = texts[fd]
+        for d, i, n in places:
+            room = i - fi - n if d == fd else 2
+            if room < 0:
+                continue
+            e1 = min(room, int(n == 2 and i > 0 and fi > 0 and texts[d][i - 1] == source[fi - 1]))
+            e2 = min(room - e1, int(n == 2 and i + n < len(texts[d]) and fi + n < len(source) and texts[d][i + n] == source[fi + n]))
+            gone[d][i - e1 : i + n + e2] = [True] * (n + e1 + e2)
+    for t, lines, g in zip(docs, texts, gone, strict=True):
+        runs = sum(x and not before for x, before in zip(g, [False, *g], strict=False))
+        out.append((None if t is None else "\n".join(x for x, y in zip(lines, g, strict=True) if not y), runs, sum(g)))
     return out
 
 
-def test_lines_match_brute_force(spark):
-    rng = np.random.default_rng(4)
-    block = [f"passage line {i} {rng.integers(1_000)}" for i in range(12)]
-    texts = [*EDGES]
-    for i in range(60):
-        own = [f"own {i} {k}" for k in range(rng.integers(1, 9))]
-        at = int(rng.integers(0, len(own) + 1))
-        texts.append("\n".join(own[:at] + (block if i % 2 else []) + own[at:]))
-    texts += [texts[-1], "a\nb", "a\nb", "\n".join(["r"] * 40)]
-    rows = line_dedup.remove_repeated(documents(spark, texts).withColumn("removed_lines", F.lit("x"))).orderBy("doc_id").collect()
-    assert [(r["text"], r["removed_chunks"], r["removed_lines"]) for r in rows] == brute_lines(texts)
-
-
-def test_chunk_boundaries_resist_shifts():
-    lines = [f"line {i}".encode() for i in range(60)]
-    a = {tuple(lines[s : s + n]) for s, n in line_dedup.chunks(lines)}
-    moved = [b"new first", *lines]
-    b = {tuple(moved[s : s + n]) for s, n in line_dedup.chunks(moved)}
-    assert len(a & b) >= 0.8 * len(a)
-    assert sum(n for _, n in line_dedup.chunks(lines)) == 60
-
+def test_chunks_follow_the_rule_and_resist_shifts():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 60, 500):
+        lines = [f"line {rng.integers(n)}" + " w" * int(rng.choice([1, 24, 26, 52])) for _ in range(n)]
+        own = lambda x: line_dedup.chunks([y.encode() for y in x], np.array([xxhash.xxh3_64_intdigest(y.encode()) for y in x], dtype=np.uint64))
+        assert own(lines) == plain_chunks(lines)
+        moved = ["new first", "new second", *lines]
+        inside = {(a - 2, k) for a, k in own(moved) if a > 2}
+        assert {c for c in own(lines) if 0 < c[0] < n - 2} <= inside | {(a, k) for a, k in own(lines) if a == 0}
+    least = line_dedup.chunks([b"%d" % i for i in range(3_000)], rng.integers(0, 2**63, 3_000, dtype=np.uint64))
+    assert 1_900 < len(least) < 2_100 and all(b[0] - a[0] <= 2 for a, b in zip(least, least[1:], strict=False))
 
-def test_equal_hashes_of_unequal_bytes_remove_nothing(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup.xxhash, "xxh3_128_digest", lambda b: hashlib.md5(str(len(b)).encode()).digest())
-    monkeypatch.setattr(line_dedup, "find_chunks", _colliding)
-    texts = ["aa\nbb", "cc\ndd", "aa\nbb"]
-    rows = line_dedup.remove_repeated(documents(spark, texts)).orderBy("doc_id").collect()
-    assert [r["text"] for r in rows] == texts
-
-
-def brute_runs(docs):
-    """Lines of windows of two lines, or of one of over 50 words, that stand at an earlier place; found without chunks()."""
-    first, out = {}, []
-    for d, t in enumerate(docs):
-        lines = [] if t is None else t.split("\n")
-        gone = [False] * len(lines)
-        for n in (2, 1):
-            for i in range(len(lines) - n + 1):
-                part = tuple(lines[i : i + n])
-                if n == 1 and len(part[0].split()) <= 50:
-                    continue
-                seen = first.setdefault(part, (d, i))
-                if seen[0] < d or i - seen[1] >= n:
-                    gone[i : i + n] = [True] * n
-        runs = sum(g and not before for g, before in zip(gone, [False, *gone], strict=False))
-        out.append((None if t is None else "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), runs, sum(gone)))
-    return out
 
-
-def test_runs_match_brute_force_without_chunks(spark):
+def test_runs_match_brute_force(spark):
     rng = np.random.default_rng(14)
     texts = [*EDGES, "a\nb", "z\na\nb\ny", "\n".join(["r"] * 40), "r\nr\nr", "p\nq\np\nq\np", "é\nü", "x\né\nü"]
     long = " ".join(f"w{i}" for i in range(51))
@@ -473,14 +456,16 @@ def test_runs_match_brute_force_without_chunks(spark):
         texts.append("\n".join(text))
     texts += ["\n".join(str(v) for v in rng.integers(0, 6, rng.integers(1, 30))) for _ in range(60)]
     rows = line_dedup.remove_runs(documents(spark, texts).withColumn("removed_lines", F.lit("x"))).orderBy("doc_id").collect()
-    assert [(r["text"], r["removed_chunks"], r["removed_lines"]) for r in rows] == brute_runs(texts)
+    assert [(r["text"], r["removed_chunks"], r["removed_lines"]) for r in rows] == brute_chunks(texts)
 
 
 def test_passages_of_every_length_go_between_unlike_neighbours(spark):
-    texts = [f"before {n} {k}\n" + "\n".join(f"passage {n} line {i}" for i in range(n)) + f"\nafter {n} {k}" for n in range(2, 20) for k in range(2)]
+    texts = [f"before {n} {k}\n" + "\n".join(f"passage {n} line {i}" for i in range(n)) + f"\nafter {n} {k}" for n in range(3, 20) for k in range(2)]
+    two = "\n".join(" ".join(f"w{i}" for i in range(26)) + f" line {k}" for k in range(2))
+    texts += [f"before 2 0\n{two}\nafter 2 0", f"before 2 1\n{two}\nafter 2 1"]
     rows = line_dedup.remove_runs(documents(spark, texts)).orderBy("doc_id").collect()
     assert [r["text"] for r in rows[0::2]] == texts[0::2]
-    assert [r["text"] for r in rows[1::2]] == [f"before {n} 1\nafter {n} 1" for n in range(2, 20)]
+    assert [r["text"] for r in rows[1::2]] == [f"before {n} 1\nafter {n} 1" for n in [*range(3, 20), 2]]
 
 
 def test_exact_copies_of_every_length_leave_no_fragment(spark):
@@ -493,17 +478,17 @@ def test_exact_copies_of_every_length_leave_no_fragment(spark):
 
 
 def test_runs_of_equal_hashes_and_unequal_bytes_stay(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "_find", lambda docs, doc_id, text, parts: _colliding(docs, doc_id, text))
+    monkeypatch.setattr(line_dedup, "find_chunks", _colliding)
     texts = ["aa\nbb", "cc\ndd", "aa\nbb"]
     rows = line_dedup.remove_runs(documents(spark, texts)).orderBy("doc_id").collect()
     assert [(r["text"], r["removed_chunks"], r["removed_lines"]) for r in rows] == [(t, 0, 0) for t in texts]
 
 
 def _colliding(docs, doc_id, text):
-    return docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__text"), F.lit(0).alias("start"), F.lit(2).alias("lines"), F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2"))
+    return docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__text"), F.lit(0).alias("start"), F.lit(2).alias("lines"), F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2"), *[F.lit(None).cast("long").alias(c) for c in ("previous", "next")])
 
 
 def test_nothing_in_nothing_out(spark):
     none = documents(spark, ["a"]).filter("doc_id < 0")
-    for f in (line_dedup.remove_repeated, quality_rules.quality_rules, pii.find_pii, secrets.find_secrets):
+    for f in (line_dedup.remove_runs, quality_rules.quality_rules, pii.find_pii, secrets.find_secrets):
         assert f(none).count() == 0
