@@ -112,8 +112,9 @@ def _remove(docs: DataFrame, doc_id: str, text: str, found: DataFrame) -> DataFr
     agree = lambda side: F.coalesce((F.col(side) == F.col(f"first.{side}")).cast("int"), F.lit(0))
     grown = seen.withColumn("room", room).filter("room >= 0").withColumn("e1", F.least(agree("previous"), "room")).withColumn("e2", F.least(agree("next"), F.col("room") - F.col("e1")))
     cover = lambda start, first: F.struct((start - F.col("e1")).cast("int").alias("start"), (F.col("lines") + F.col("e1") + F.col("e2")).cast("int").alias("lines"), "h1", "h2", "e1", "e2", F.lit(first).alias("first")).alias("chunk")
-    sources = grown.select(F.col("first.__id").alias("__id"), F.col("first.__text").alias("__text"), cover(F.col("first.start"), True)).distinct()
-    own = grown.select("__id", "__text", cover(F.col("start"), False)).unionByName(sources)
+    # the chunk and its first place, which is compared too, in one reading; sets of a task hold the first place of many copies once
+    both = F.array(F.struct("__id", "__text", cover(F.col("start"), False)), F.struct(F.col("first.__id").alias("__id"), F.col("first.__text").alias("__text"), cover(F.col("first.start"), True)))
+    own = grown.select(F.inline(both))
     marks = cut(own.groupBy("__id", "__text").agg(F.collect_set("chunk").alias("__chunks")))
     kept = [c for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
     rows = docs.select(*kept).withColumn("__hash", F.xxhash64(text))
