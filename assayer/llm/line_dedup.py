@@ -105,7 +105,10 @@ def _remove(docs: DataFrame, doc_id: str, text: str, found: DataFrame) -> DataFr
     """docs without what repeated ones of the `found` chunks cover, with removed_chunks (runs of lines) and removed_lines."""
     found = cut(found)
     place = F.struct("__id", "__text", "start", "previous", "next")
-    seen = first_of_group(found, ["h1", "h2"], place, "first", "n", repeated_only=True)
+    # most chunks are unlike any other, so they only meet as hashes that are counted; the rest goes on
+    repeated = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    again = cut(found.join(repeated, ["h1", "h2"], "left_semi"))
+    seen = first_of_group(again, ["h1", "h2"], place, "first", "n", repeated_only=True)
     # within one text a chunk may not grow into its first place; one that overlaps it repeats nothing: of equal lines in a row, the first SPAN stay
     same_text = F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__text") == F.col("first.__text"))
     room = F.when(same_text, F.col("start") - F.col("first.start") - F.col("lines")).otherwise(2)
