@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
-from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.functions.shared import cut as cut
+from assayer.functions.shared import shared_folder as shared_folder
+
 #: Parts that a hot key is dealt into before rows of one key meet.
 SALTS = 64
 _MIX = np.random.default_rng(5).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
@@ -20,30 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="assayer-shared-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir. Only on a local master (tests, a laptop) is one made where that
-    is unset; on a cluster a folder of one machine would break silently, so there it is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-    return _own_folder()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a reliable checkpoint into the shared folder, so that lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate an array expression once for each row and use it many times inside `body`."""
     return F.transform(F.array(value), body)[0]
@@ -59,6 +35,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def hash_share(*values: Column) -> Column:
+    """A place in [0, 1) by hash, in steps of 2^-52: fine enough that a small share of a very large table never rounds to no row."""
+    h = F.xxhash64(*values)
+    return (F.pmod(h, F.lit(1 << 20)) * F.lit(float(1 << 32)) + F.pmod(F.shiftrightunsigned(h, 20), F.lit(1 << 32))) / F.lit(float(1 << 52))
+
+
 def first_of_group(df: DataFrame, keys: list[str], order: Column, first: str, count: str, repeated_only: bool = False) -> DataFrame:
     """Attach to every row the least `order` value of the rows with the same keys, and how many they are.
 

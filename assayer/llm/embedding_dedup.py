@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut
+from assayer.llm.common import cut, hash_share
 from assayer.llm.components import connected_components
 
 THRESHOLD = 0.95
@@ -18,21 +18,23 @@ THRESHOLD = 0.95
 FIT_ROWS, SUBSPACES, CODES = 16_384, 16, 64
 #: Vectors wanted in a list, centres of the first level, and vectors of a list that a task compares at a time.
 LIST_SIZE, CENTRES, BLOCK = 400, 512, 1_024
-#: A vector probes every list whose centre is at most this much less similar to it than the nearest one. A neighbour at
-#: cosine 0.95 moves similarities to centres by about 0.04 of standard deviation in 64 dimensions.
-PROBE_MARGIN = 0.1
+#: A vector probes every list whose centre is at most PROBE_SPREAD / sqrt(dimension) less similar to it than the nearest one. A
+#: neighbour at cosine 0.95 moves similarities to centres by a standard deviation of about 0.32 / sqrt(dimension).
+PROBE_SPREAD = 0.8
 #: So many rows are broadcast at most.
 SMALL = 20_000
 
 
 @dataclass
 class Index:
-    """Centres of the first level, centres of what is left of vectors after it (one zero: no second level), and code books of what
-    both leave, subspaces x codes x width. A list is a pair of centres, so lists grow with the table though the fit does not."""
+    """Centres of the first level, centres of what is left of vectors after it (one zero: no second level), code books of what both
+    leave, subspaces x codes x width, and how much less similar than the nearest a list is probed. A list is a pair of centres, so
+    lists grow with the table though the fit does not."""
 
     first: np.ndarray
     second: np.ndarray
     books: np.ndarray
+    margin: float
 
     def centre(self, lists: np.ndarray) -> np.ndarray:
         return self.first[lists // len(self.second)] + self.second[lists % len(self.second)]
@@ -41,9 +43,9 @@ class Index:
         top = (x @ self.first.T).argmax(axis=1)
         return top * len(self.second) + _nearest(x - self.first[top], self.second)
 
-    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists that rows probe. Squared distances differ twice as much as similarities of unit vectors."""
-        similar = x @ self.first.T
+        similar, margin = x @ self.first.T, self.margin
         row, top = np.nonzero(similar >= similar.max(axis=1, keepdims=True) - margin)
         if len(self.second) == 1:
             return row, top
@@ -79,7 +81,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
-def build(sample: np.ndarray, n: int, list_size: int = LIST_SIZE) -> Index:
+def build(sample: np.ndarray, n: int, list_size: int = LIST_SIZE, spread: float = PROBE_SPREAD) -> Index:
     """Fit centres and code books on unit vectors; n is how many the index will hold, and with it the number of lists grows."""
     rng = np.random.default_rng(11)
     lists = max(1, n // list_size)
@@ -95,7 +97,7 @@ def build(sample: np.ndarray, n: int, list_size: int = LIST_SIZE) -> Index:
     padded = np.zeros((len(sample), subspaces * width))
     padded[:, : sample.shape[1]] = left
     parts = padded.reshape(len(sample), subspaces, width)
-    return Index(first, second, np.stack([_kmeans(parts[:, m], min(CODES, len(sample)), 8, rng) for m in range(subspaces)]))
+    return Index(first, second, np.stack([_kmeans(parts[:, m], min(CODES, len(sample)), 8, rng) for m in range(subspaces)]), spread / np.sqrt(sample.shape[1]))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -165,23 +167,23 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _fit(nodes: DataFrame, list_size: int) -> dict[int, Index]:
+def _fit(nodes: DataFrame, list_size: int, spread: float) -> dict[int, Index]:
     """An index for each length of vector, fitted on a hash sample of FIT_ROWS vectors or so (of all lengths together)."""
     sizes = {r["d"]: r["n"] for r in nodes.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     each = max(1, FIT_ROWS // max(1, len(sizes)))
-    span = 1 << 30
-    limit = F.coalesce(*[F.when(F.size("embedding") == d, int(min(1.0, each / n) * span)) for d, n in sizes.items()], F.lit(0)) if sizes else F.lit(0)
-    place = F.pmod(F.xxhash64("embedding", F.lit(5)), F.lit(span))
+    share = F.element_at(F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, min(1.0, each / n))]), F.size("embedding")) if sizes else F.lit(0.0)
+    place = hash_share(F.col("embedding"), F.lit(5))
     drawn: dict[int, list] = {d: [] for d in sizes}
-    for r in nodes.filter(place < limit).select("rep", "embedding").orderBy("rep", "embedding").limit(2 * FIT_ROWS).toLocalIterator():
+    for r in nodes.filter(place < share).select("rep", "embedding").orderBy("rep", "embedding").limit(2 * FIT_ROWS).toLocalIterator():
         drawn[len(r["embedding"])].append(r["embedding"])
-    for d in sizes:
-        if not drawn[d]:  # a rare length of which the sample holds none
-            drawn[d] = [r["embedding"] for r in nodes.filter(F.size("embedding") == d).select("embedding").limit(1).collect()]
-    return {d: build(unit(np.array(drawn[d], dtype=np.float64)), n, list_size) for d, n in sizes.items()}
+    rare = [d for d in sizes if not drawn[d]]
+    if rare:  # lengths of which the sample holds none: one vector of each, a row a length
+        for r in nodes.filter(F.size("embedding").isin(rare)).groupBy(F.size("embedding")).agg(F.min("embedding").alias("e")).collect():
+            drawn[len(r["e"])].append(r["e"])
+    return {d: build(unit(np.array(drawn[d], dtype=np.float64)), n, list_size, spread) for d, n in sizes.items()}
 
 
-def link_near(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, margin: float = PROBE_MARGIN, list_size: int = LIST_SIZE) -> DataFrame:
+def link_near(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, spread: float = PROBE_SPREAD, list_size: int = LIST_SIZE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row: links join vectors of cosine >= threshold, components join links.
 
     Equal vectors are compared once: they link with each other and share all further links. Distances of residual codes
@@ -196,7 +198,7 @@ def link_near(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     # each different vector is a node of its own, also where ids repeat; the checkpoint fixes the numbers
     distinct = ok.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     nodes = cut(distinct.select(F.monotonically_increasing_id().alias("node"), "rep", "copies", "embedding"))
-    shared = rows.sparkSession.sparkContext.broadcast(_fit(nodes, list_size))
+    shared = rows.sparkSession.sparkContext.broadcast(_fit(nodes, list_size, spread))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -210,7 +212,7 @@ def link_near(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
                     residuals = x - index.centre(home)
                     codes = index.residual_codes(residuals)
                     error = np.sqrt(((residuals - index.decode(codes, d)) ** 2).sum(axis=1))
-                    row, place = index.probes(x, margin)
+                    row, place = index.probes(x)
                     probes = np.split(place, np.flatnonzero(np.diff(row)) + 1)
                     yield pd.DataFrame({"d": d, "id": b["node"].to_numpy(), "n": b["copies"].to_numpy(), "home": home, "probes": probes, "vector": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "error": error})
 

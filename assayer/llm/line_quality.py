@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import held_out, range_hashes
+from assayer.llm.common import hash_share, held_out, range_hashes
 
 #: Bound of what is fitted on: rows of each label. Their whole texts are read, and so are those of all rows that are scored.
 FIT_ROWS = 2_000
@@ -291,8 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     may = ~held_out(doc_id) if may_learn is None else may_learn
     known = labels.filter(may & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y"))
     seen = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.pmod(F.xxhash64(F.col("__id"), F.lit(3)), F.lit(1 << 20))
-    share = F.coalesce(*[F.when(F.col("__y") == y, int(min(1.0, FIT_ROWS / n) * (1 << 20))) for y, n in seen.items()], F.lit(0))
+    place = hash_share(F.col("__id"), F.lit(3))
+    share = F.coalesce(*[F.when(F.col("__y") == y, min(1.0, FIT_ROWS / n)) for y, n in seen.items()], F.lit(0.0))
     chosen = known.filter(place < share).limit(4 * FIT_ROWS)
     rows = docs.filter(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(F.col("__id").cast("long").alias("__id"), "__y", F.col(text).cast("string").alias("__t"))
     rows = rows.groupBy("__id", "__y").agg(F.min("__t").alias("__t"))

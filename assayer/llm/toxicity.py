@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut, held_out
+from assayer.llm.common import cut, hash_share, held_out
 
 #: Bounds of what is fitted on, all of them rows of the labels: confirmed rows, rows taken without their label, and n-grams.
 POSITIVES, UNLABELLED, VOCABULARY, LEAST_DOCS = 4_000, 8_000, 3_000, 5
@@ -142,7 +142,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _drawn(n: int, most: int, seed: int) -> Column:
     """About `most` of n rows, by a hash of their id."""
-    return F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, most / max(n, 1)) * (1 << 20))
+    return hash_share(F.col("__id"), F.lit(seed)) < min(1.0, most / max(n, 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", may_learn: Column | None = None) -> Model:
@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features.of(batch.column(2)), pa.list_(pa.int32()))], names=["p", "u", "grams"])
 
     rows = sample.select("p", "u", "text").mapInArrow(encode, "p boolean, u boolean, grams array<int>").toArrow()
-    held = [np.array(x, dtype=np.int32) for x in rows["grams"].to_pylist()]
+    grams = rows["grams"].combine_chunks()
+    held = np.split(grams.values.to_numpy(), grams.offsets.to_numpy()[1:-1]) if len(grams) else []
     of = lambda flag: sorted((h for h, on in zip(held, rows[flag].to_pylist(), strict=True) if on), key=lambda h: (len(h), h.tolist()))
     weights, bias = train(of("p"), of("u"), len(vocabulary), prior)
     return Model(vocabulary, weights, bias, prior)

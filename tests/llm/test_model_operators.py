@@ -9,9 +9,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assayer.llm import catalog, components, embedding_dedup, line_quality, ngram_join, toxicity
+from assayer.llm.common import hash_share
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -256,7 +258,7 @@ def test_two_levels_of_lists_find_the_hardest_links():
     home = {0: index.home(x), 1: index.home(y)}
     found = np.zeros(len(x), dtype=bool)
     for rows, other in ((x, home[1]), (y, home[0])):
-        row, place = index.probes(rows, embedding_dedup.PROBE_MARGIN)
+        row, place = index.probes(rows)
         found[row[place == other[row]]] = True
     assert found.mean() >= 0.95
 
@@ -272,6 +274,43 @@ def test_links_over_two_levels_match_brute_force(spark):
     assert (got <= want).all() and got.sum() >= 0.95 * want.sum() > 0
 
 
+@pytest.mark.parametrize("dim", [256, 768])
+def test_probes_stay_few_in_many_dimensions(dim):
+    """Pairs just above the threshold among random unit vectors: nearly all are found, and a vector probes few of 250 lists."""
+    rng = np.random.default_rng(dim)
+    x = embedding_dedup.unit(rng.normal(size=(3_000, dim)))
+    e = rng.normal(size=x.shape)
+    e = embedding_dedup.unit(e - (e * x).sum(axis=1, keepdims=True) * x)
+    y = 0.952 * x + np.sqrt(1 - 0.952**2) * e
+    index = embedding_dedup.build(embedding_dedup.unit(rng.normal(size=(6_000, dim))), 100_000)
+    found, probes = np.zeros(len(x), dtype=bool), 0
+    for rows, other in ((x, index.home(y)), (y, index.home(x))):
+        row, place = index.probes(rows)
+        probes += len(row)
+        found[row[place == other[row]]] = True
+    assert len(index.first) == 250 and found.mean() >= 0.98 and probes / (2 * len(x)) <= 12
+
+
+def test_links_of_many_dimensions_through_the_query(spark):
+    rng = np.random.default_rng(8)
+    x = embedding_dedup.unit(rng.normal(size=(1_500, 768)))
+    e = rng.normal(size=x.shape)
+    y = 0.952 * x + np.sqrt(1 - 0.952**2) * embedding_dedup.unit(e - (e * x).sum(axis=1, keepdims=True) * x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    got = embedding_dedup.link_near(df, list_size=20).filter("n_links = 1").count()
+    assert got >= 0.98 * 3_000
+
+
+def test_small_shares_of_huge_tables_draw_rows(spark):
+    """Shares of 10^-9 keep their meaning: about one in that many hashes, not none."""
+    share = spark.range(4_000_000).select(hash_share(F.col("id"), F.lit(1)).alias("u"))
+    row = share.agg(F.min("u").alias("low"), F.max("u").alias("high"), F.avg("u").alias("mean"), F.count_if(F.col("u") < 1e-6).alias("few"), F.approx_count_distinct("u", 0.01).alias("n")).first()
+    assert 0 < row["low"] < 2e-6 and row["high"] < 1 and abs(row["mean"] - 0.5) < 1e-3 and row["few"] <= 20 and row["n"] > 3_800_000
+    drawn = toxicity._drawn(10**10, 4_000, 1)
+    rows = spark.createDataFrame([(i,) for i in range(10)], "__id long").select(drawn.alias("d")).collect()
+    assert not any(r["d"] for r in rows)
+
+
 def test_no_embeddings(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.link_near(empty).count() == 0
