@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -46,7 +47,9 @@ COMMON_PAIRS = frozenset(
 class Rules:
     """Window length in characters; least entropy in bits of the characters of each class inside a window, for classes with at
     least `least` characters there; how many classes must reach theirs. A letter class with `alone_least` characters suffices alone
-    from `alone` bits. `allow` spares whole candidates, the others only windows."""
+    from `alone` bits. Capitals with digits and nothing else, as in upper-case hex, suffice where all characters of the window together
+    have `capitals` bits, and letters of both cases with digits where they have `mixed`. `allow` spares whole candidates, the others only
+    windows."""
 
     window: int = 20
     lower: float = 2.2
@@ -57,6 +60,8 @@ class Rules:
     classes: int = 2
     alone: float = 3.0
     alone_least: int = 12
+    capitals: float = 3.0
+    mixed: float = 3.7
     allow: tuple[str, ...] = (
         r"^[0-9]+(?:[-_/][0-9]+)*$",  # numbers and dates
         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # public identifiers
@@ -92,9 +97,19 @@ def window_entropies(s: str, window: int) -> Iterator[tuple[int, list[int], list
             yield i - window + 1, total, [(log[n] - w) / n if n else 0.0 for n, w in zip(total, weight, strict=True)]
 
 
-def spared_windows(s: str, rules: Rules) -> Callable[[int], bool]:
+def scattered(total: list[int], bits: list[float], rules: Rules) -> bool:
+    """Whether all characters of a window together reach the limit of capitals with digits, or of letters of both cases with digits:
+    their entropy is that of the classes and, inside each, of its characters."""
+    lower, upper, digit, symbol = total
+    if symbol or upper < 3 or digit < (2 if lower else 5) or 0 < lower < 3:
+        return False
+    n = lower + upper + digit
+    return sum(k / n * (b + math.log2(n / k)) for k, b in zip(total, bits, strict=True) if k) >= (rules.mixed if lower else rules.capitals)
+
+
+def spared_windows(s: str, rules: Rules) -> Callable[[int, bool], bool]:
     """Whether the window from a place of a candidate touches a part with a word for examples, or holds nothing but plain parts whose
-    letters pair as in words. Constant work for each window."""
+    letters pair as in words. With `wordy`, parts need not be plain where letters pair so. Constant work for each window."""
     n = len(s)
     word, odd, pairs, common = (np.zeros(n + 1, dtype=np.int64) for _ in range(4))
     for m in PART.finditer(s):
@@ -106,10 +121,11 @@ def spared_windows(s: str, rules: Rules) -> Callable[[int], bool]:
             pairs[i + 1], common[i + 1] = 1, low[i : i + 2] in COMMON_PAIRS
     word, odd, pairs, common = (x.cumsum().tolist() for x in (word, odd, pairs, common))
 
-    def spared(i: int) -> bool:
+    def spared(i: int, wordy: bool = False) -> bool:
         j = i + rules.window
         letters = pairs[j - 1] - pairs[i]
-        return word[j] > word[i] or odd[j] == odd[i] and (letters < rules.pairs or common[j - 1] - common[i] >= rules.common * letters)
+        as_words = letters >= rules.pairs and common[j - 1] - common[i] >= rules.common * letters
+        return word[j] > word[i] or wordy and as_words or odd[j] == odd[i] and (letters < rules.pairs or as_words)
 
     return spared
 
@@ -126,10 +142,11 @@ def entropy_spans(text: str, rules: Rules, allowed: re.Pattern | None) -> list[t
         spared = None
         for i, total, bits in window_entropies(s, rules.window):
             alone = any(n >= rules.alone_least and b >= rules.alone for n, b in zip(total[:2], bits[:2], strict=True))
-            if alone or sum(n >= rules.least and b >= x for n, b, x in zip(total, bits, limits, strict=True)) >= rules.classes:
+            by_class = alone or sum(n >= rules.least and b >= x for n, b, x in zip(total, bits, limits, strict=True)) >= rules.classes
+            if by_class or scattered(total, bits, rules):
                 if allowed is not None:
                     spared = spared or spared_windows(s, rules)
-                    if spared(i):
+                    if spared(i, not by_class):
                         continue
                 if start >= 0 and i > end:
                     out.append(("entropy", m.start() + start, m.start() + end))
@@ -162,9 +179,7 @@ def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", rul
     Base kinds are never suppressed; the entropy kind is what the allow-list leaves. Null or empty text: empty array.
     Kinds may overlap. Repeated rows: each by itself. Empty table: empty result. A column named like `into` is replaced;
     other columns pass through."""
-    allow = "|".join(f"(?:{x})" for x in rules.allow if not x.startswith("(?i)"))
-    blind = "|".join(x[4:] for x in rules.allow if x.startswith("(?i)"))
-    source = "|".join(x for x in (allow, f"(?i:{blind})" if blind else "") if x)
+    source = "|".join(f"(?:{x})" for x in rules.allow)
 
     @F.pandas_udf(SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

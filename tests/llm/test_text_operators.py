@@ -191,18 +191,23 @@ def test_planted_keys_are_found_and_plain_strings_spared():
     kinds = (
         lambda: pick(upper, 40), lambda: pick(upper.lower(), 40), lambda: base64.b32encode(rng.randbytes(20)).decode(), lambda: base64.b64encode(rng.randbytes(30)).decode(),
         lambda: f"/v1/hooks/{pick(both, 32)}", lambda: "/a" + base64.b64encode(rng.randbytes(30)).decode(), lambda: f"sample_key={pick(both, 40)}", lambda: pick(both, 24),
+        lambda: pick(upper[:6] + string.digits, 32), lambda: pick(upper[:6] + string.digits, 24), lambda: pick(both, 20), lambda: pick(upper + string.digits, 20),
     )
     for make in kinds:
         assert sum(bool(secrets.entropy_spans(f"x {make()} y", secrets.Rules(), allowed)) for _ in range(300)) >= 0.95 * 300
     plain = (
         "/usr/local/share/applications/default", "state-of-the-art-and-then-some-more", "getElementByIdAndThenDoSomethingElse", "2024-01-05/report_v2-final-version", "Donaudampfschifffahrtsgesellschaft",
         "anticonstitutionnellement", "MAX_NUMBER_OF_RETRIES_BEFORE_FAILURE", "12345678901234567890", "THIS-IS-ALL-CAPITAL-LETTERS-IN-WORDS", "electroencefalografistas", "=" * 40, "abc" * 9,
+        "A" * 12 + "0" * 12, "ABCABCABCABC123123123123",
     )
     assert not any(secrets.entropy_spans(t, secrets.Rules(), allowed) for t in plain)
+    by_class = secrets.Rules(capitals=99, mixed=99)
+    for t in (*plain, "iPhone12ProMaxEditionCase", "Windows10EnterpriseUpdate2", "SHA256andMD5ofTheWholeFile"):
+        assert secrets.entropy_spans(t, secrets.Rules(), allowed) == secrets.entropy_spans(t, by_class, allowed)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abcdXYZW0123+/=-_", min_size=0, max_size=70))
+@given(st.text(alphabet="abcdefXYZWABC0123456+/=-_", min_size=0, max_size=70))
 def test_entropy_spans_equal_a_plain_count_of_every_window(text):
     """Without an allow-list: unions of the windows whose classes, counted anew for each, reach the limits."""
     rules = secrets.Rules()
@@ -214,10 +219,13 @@ def test_entropy_spans_equal_a_plain_count_of_every_window(text):
     for i in range(len(text) - rules.window + 1):
         w = text[i : i + rules.window]
         of = [[c for c in w if c.islower()], [c for c in w if c.isupper()], [c for c in w if c.isdigit()], [c for c in w if not c.isalnum()]]
-        if any(min(abs(bits(x) - y) for y in (2.2, 1.8, 1.5, 3.0)) < 1e-9 for x in of):
+        if any(min(abs(bits(x) - y) for y in (2.2, 1.8, 1.5, 3.0)) < 1e-9 for x in of) or min(abs(bits(list(w)) - y) for y in (3.0, 3.7)) < 1e-9:
             return  # on a limit, rounding decides
         two = sum(len(x) >= rules.least and bits(x) >= y for x, y in zip(of, (rules.lower, rules.upper, rules.digit, rules.symbol), strict=True))
-        if two >= rules.classes or any(len(x) >= rules.alone_least and bits(x) >= rules.alone for x in of[:2]):
+        lower, upper, digit, symbol = map(len, of)
+        capitals = upper >= 3 and digit >= 5 and not lower and bits(list(w)) >= rules.capitals
+        mixed = min(upper, lower) >= 3 and digit >= 2 and bits(list(w)) >= rules.mixed
+        if two >= rules.classes or any(len(x) >= rules.alone_least and bits(x) >= rules.alone for x in of[:2]) or not symbol and (capitals or mixed):
             if want and want[-1][2] >= i:
                 want[-1] = ("entropy", want[-1][1], i + rules.window)
             else:
