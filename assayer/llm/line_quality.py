@@ -18,7 +18,7 @@ from assayer.llm.common import hash_share, held_out, range_hashes
 
 #: Bound of what is fitted on: rows of each label. Their whole texts are read, and so are those of all rows that are scored.
 FIT_ROWS = 2_000
-#: Lines of a sequence in the fit: longer texts are several sequences, whose lines still see the lines around them.
+#: Lines of a sequence in the fit: longer texts are several sequences run side by side, with messages from one to the next.
 SEGMENT = 64
 #: Steps of the fit before and after lines of bad documents are judged anew.
 FIRST_STEPS, MORE_STEPS = 100, 80
@@ -116,16 +116,20 @@ class Model:
         return self.weights[slots].sum(axis=1)
 
 
-def forward_backward(unary: np.ndarray, mask: np.ndarray, start: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(unary: np.ndarray, mask: np.ndarray, start: np.ndarray, pairs: np.ndarray, first: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of `good` (documents x lines) and of pairs of neighbouring states (documents x lines - 1 x 2 x 2).
 
-    Unary log potentials are those of good against bad; slots outside `mask` are padding at the ends."""
+    Unary log potentials are those of good against bad; slots outside `mask` are padding at the ends. `first` is the message that
+    reaches the first slots in place of `start`, `after` the one that comes back to the last (each documents x 2)."""
     n, t = unary.shape
+    first = np.exp(start) if first is None else first
+    after = np.ones((n, 2)) if after is None else after
     obs = np.stack([np.zeros_like(unary), unary], axis=2)
     obs = np.exp(obs - obs.max(axis=2, keepdims=True))
     trans = np.exp(pairs)
-    a, b = np.empty((n, t, 2)), np.ones((n, t, 2))
-    a[:, 0] = np.exp(start) * obs[:, 0]
+    a, b = np.empty((n, t, 2)), np.empty((n, t, 2))
+    b[:, -1] = after
+    a[:, 0] = first * obs[:, 0]
     a[:, 0] /= a[:, 0].sum(axis=1, keepdims=True)
     for k in range(1, t):
         x = (a[:, k - 1] @ trans) * obs[:, k]
@@ -134,7 +138,7 @@ def forward_backward(unary: np.ndarray, mask: np.ndarray, start: np.ndarray, pai
     for k in range(t - 2, -1, -1):
         x = (b[:, k + 1] * obs[:, k + 1]) @ trans.T
         x /= x.sum(axis=1, keepdims=True)
-        b[:, k] = np.where(mask[:, k + 1, None], x, 1.0)
+        b[:, k] = np.where(mask[:, k + 1, None], x, after)
     good = a * b
     good = good[:, :, 1] / good.sum(axis=2)
     both = a[:, :-1, :, None] * trans * (b * obs)[:, 1:, None, :]
@@ -160,6 +164,7 @@ class Lines:
     own: np.ndarray
     after: np.ndarray
     segments: np.ndarray  # lines of each sequence
+    heads: np.ndarray  # sequences that begin a text
 
     def unary(self, weights: np.ndarray) -> np.ndarray:
         w = weights.reshape(3, len(MEASURES), BINS + 1)
@@ -184,23 +189,68 @@ def gather(edges: np.ndarray, measures: np.ndarray, n_lines: np.ndarray) -> Line
     before[1:], after[:-1] = own[:-1], own[1:]
     before[first], after[first + n_lines - 1] = none, none
     parts = [np.append(np.full((n - 1) // SEGMENT, SEGMENT), n - (n - 1) // SEGMENT * SEGMENT) for n in n_lines.tolist()]
-    return Lines(kinds, before, own, after, np.concatenate(parts))
+    heads = np.zeros(sum(map(len, parts)), dtype=bool)
+    heads[np.cumsum([0, *map(len, parts[:-1])])] = True
+    return Lines(kinds, before, own, after, np.concatenate(parts), heads)
+
+
+def messages(unary: np.ndarray, mask: np.ndarray, heads: np.ndarray, start: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each sequence (sequences x lines) learns from the one before it in its text and from the one after it: forward and backward
+    messages (sequences x 2). A sequence passes them on by the product of its transitions, made for all sequences at once."""
+    n, t = unary.shape
+    entry, after = np.full((n, 2), 0.5), np.ones((n, 2))
+    many = np.flatnonzero(~(heads & np.append(heads[1:], True)))
+    if not len(many):
+        return entry, after
+    obs = np.stack([np.zeros_like(unary[many]), unary[many]], axis=2)
+    obs = np.exp(obs - obs.max(axis=2, keepdims=True))[:, :, None, :]
+    trans = np.exp(pairs)
+    product = np.zeros((n, 2, 2))
+    # the message that enters a text sums to 1, so with alike rows the first line starts as `start` says
+    x = np.where(heads[many, None, None], np.exp(start), trans) * obs[:, 0]
+    for k in range(1, t):
+        y = (x @ trans) * obs[:, k]
+        x = np.where(mask[many, k, None, None], y / y.sum(axis=(1, 2), keepdims=True), x)
+    product[many] = x
+    place = np.arange(n) - np.maximum.accumulate(np.where(heads, np.arange(n), 0))
+    order = np.argsort(place, kind="stable")
+    levels = np.split(order, np.searchsorted(place[order], np.arange(1, place.max() + 1)))[1:]
+    for at in levels:
+        x = np.einsum("ni,nij->nj", entry[at - 1], product[at - 1])
+        entry[at] = x / x.sum(axis=1, keepdims=True)
+    for at in levels[::-1]:
+        x = np.einsum("nij,nj->ni", product[at], after[at])
+        after[at - 1] = x / x.sum(axis=1, keepdims=True)
+    return entry, after
+
+
+def chains(unary: np.ndarray, lines: Lines, start: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of `good` of all lines, and the sum over all neighbours of those of their pair of states (2 x 2), by whole texts."""
+    at, mask = padded(lines.segments)
+    entry, after = messages(unary[at], mask, lines.heads, start, pairs)
+    trans = np.exp(pairs)
+    first = np.where(lines.heads[:, None], np.exp(start), entry @ trans)
+    p, both = forward_backward(unary[at], mask, start, pairs, first, after)
+    inner = ~lines.heads
+    own = np.stack([1 - p[inner, 0], p[inner, 0]], axis=1) / first[inner]
+    across = np.einsum("ni,ij,nj->ij", entry[inner], trans, own)
+    flat = np.empty(len(unary))
+    flat[at[mask]] = p[mask]
+    return flat, both.sum(axis=(0, 1)) + across
 
 
 def likelihood_gradient(theta: np.ndarray, lines: Lines, good: np.ndarray, decay: float) -> np.ndarray:
     """Gradient, by weights, start and pair potentials, of the mean log likelihood of line labels a line, less decay / 2 times the
     squares of all but the start."""
-    at, mask = padded(lines.segments)
     width, rows = len(theta) - 6, len(good)
     w, start, pairs = theta[:width], theta[width : width + 2], theta[width + 2 :].reshape(2, 2)
-    p, both = forward_backward(lines.unary(w)[at], mask, start, pairs)
-    labels = good[at] * mask
-    gap = np.zeros(rows)
-    gap[at[mask]] = (labels - p)[mask]
-    first = (labels[:, 0] - p[:, 0]).sum() / rows
-    a, b, held = labels[:, :-1], labels[:, 1:], mask[:, 1:]
-    seen = np.array([[((x == i) & (y == j) & held).sum() for j in (0, 1)] for x, y, i in ((a, b, 0), (a, b, 1))], dtype=float)
-    return np.concatenate([lines.pull(gap) / rows - decay * w, [-first, first], ((seen - both.sum(axis=(0, 1))) / rows).ravel() - decay * theta[width + 2 :]])
+    p, both = chains(lines.unary(w), lines, start, pairs)
+    gap = good - p
+    firsts = (np.cumsum(lines.segments) - lines.segments)[lines.heads]
+    first = gap[firsts].sum() / rows
+    a, b = np.delete(np.append(0.0, good[:-1]), firsts), np.delete(good, firsts)
+    seen = np.array([[((a == i) & (b == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
+    return np.concatenate([lines.pull(gap) / rows - decay * w, [-first, first], ((seen - both) / rows).ravel() - decay * theta[width + 2 :]])
 
 
 def train(lines: Lines, good: np.ndarray, theta: np.ndarray, steps: int, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
@@ -228,10 +278,7 @@ def fit_lines(measures: np.ndarray, n_lines: np.ndarray, labels: np.ndarray) ->
     lines = gather(edges, measures, n_lines)
     good = np.repeat(labels.astype(float), n_lines)
     theta = train(lines, good, np.zeros(width + 6), FIRST_STEPS)
-    at, mask = padded(lines.segments)
-    p, _ = forward_backward(lines.unary(theta[:width])[at], mask, theta[width : width + 2], theta[width + 2 :].reshape(2, 2))
-    flat = np.zeros(len(good))
-    flat[at[mask]] = p[mask]
+    flat, _ = chains(lines.unary(theta[:width]), lines, theta[width : width + 2], theta[width + 2 :].reshape(2, 2))
     first = np.cumsum(n_lines) - n_lines
     worst = flat <= np.repeat(np.minimum.reduceat(flat, first), n_lines)
     theta = train(lines, np.where(bad_lines & (flat > 0.5) & ~worst, 1.0, good), theta, MORE_STEPS)

@@ -144,8 +144,10 @@ def test_marginals_equal_enumeration():
     assert both[0, 3:].sum() == 0
 
 
-def test_gradient_equals_differences_of_the_likelihood():
-    """The log likelihood of line labels by enumeration of all labellings, differenced at every parameter."""
+@pytest.mark.parametrize("segment", [1, 2, 3, 64])
+def test_gradient_equals_differences_of_the_likelihood(monkeypatch, segment):
+    """The log likelihood of line labels by enumeration of all labellings, differenced at every parameter, however texts are cut."""
+    monkeypatch.setattr(line_quality, "SEGMENT", segment)
     rng = np.random.default_rng(4)
     m, bins = len(line_quality.MEASURES), line_quality.BINS
     n_lines = np.array([3, 1, 4])
@@ -173,6 +175,20 @@ def test_gradient_equals_differences_of_the_likelihood():
         assert np.isclose((value(theta + step) - value(theta - step)) / 2e-5, g[k], atol=1e-7)
 
 
+def test_sequences_with_messages_equal_whole_chains(monkeypatch):
+    """Marginals of texts cut into sequences are those of one recursion over each whole text."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(line_quality, "SEGMENT", 5)
+    n_lines = np.array([1, 23, 5, 6, 2, 40, 10])
+    edges = np.sort(rng.normal(size=(len(line_quality.MEASURES), line_quality.BINS - 1)), axis=1)
+    lines = line_quality.gather(edges, rng.normal(size=(n_lines.sum(), len(line_quality.MEASURES))), n_lines)
+    unary, start, pairs = rng.normal(size=n_lines.sum()) * 3, rng.normal(size=2), rng.normal(size=(2, 2)) * 2
+    flat, both = line_quality.chains(unary, lines, start, pairs)
+    at, mask = line_quality.padded(n_lines)
+    p, whole = line_quality.forward_backward(unary[at], mask, start, pairs)
+    assert np.allclose(flat, p[mask]) and np.allclose(both, whole.sum(axis=(0, 1)))
+
+
 def test_long_texts_teach_whole(spark):
     """Bad lines that only come after hundreds of clean ones are learned, and one long text is several sequences."""
     clean = "plain words stand here in a row"
