@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.shared import small_side
 from assayer.llm.common import cut, range_hashes
 from assayer.llm.components import connected_components
 from assayer.llm.embedding_dedup import _forest
@@ -23,8 +24,11 @@ BAND = 0.05
 #: Similarity of whole signatures at which a text joins the family of a group's leader, and at which the leader speaks for it.
 #: Two texts at 0.8 are both within 0.5 of a leader that speaks for one of them; signatures of 320 values err by 0.03 or so.
 NEAR, SAME = 0.5, 0.75
-#: A task compares texts of about so many shingles and at most so many texts on either side.
-BLOCK_SHINGLES, BLOCK_TEXTS, COLUMNS = 200_000, 256, 4_096
+#: Groups of more texts that share a prefix meet their leaders in parts of about so many texts.
+GROUP = 1_024
+#: A task compares texts of about so many shingles and at most about so many texts on either side: the first number in small
+#: families, the second in large ones, whose texts are sent to fewer blocks then.
+BLOCK_SHINGLES, BLOCK_TEXTS, LARGE_BLOCK_TEXTS, COLUMNS = 200_000, 256, 2_048, 4_096
 BATCH_CHARS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -154,15 +158,16 @@ def paths(node: np.ndarray, signatures: np.ndarray, trees: int, depth: int, shor
     return head.ravel(), tail.ravel(), np.repeat(node, trees)
 
 
-def branches(head: np.ndarray, tail: np.ndarray, depth: int, short: int) -> np.ndarray:
-    """For each row of sorted paths, bit k - short: its prefix of length k is a branching of the trie, or at `depth` a shared leaf."""
+def branches(head: np.ndarray, tail: np.ndarray, n: np.ndarray, depth: int, short: int) -> np.ndarray:
+    """For each of the sorted, different paths that n texts have each, bit k - short: its prefix of length k is a branching of the
+    trie, or at `depth` a leaf that texts share."""
     shared = np.full(max(len(head) - 1, 0), short)
     x = tail[1:] ^ tail[:-1]
     for j in range(depth - short):
         shared += (x >> (8 * j)) == 0  # that many leading bytes of the tail are equal, too
     before = np.concatenate([[0], np.where(head[1:] == head[:-1], shared, 0)]) if len(head) else np.zeros(0, np.int64)
-    mask = np.zeros(len(head), dtype=np.int32)
-    for k in range(short, depth + 1):
+    mask = (n > 1).astype(np.int32) << (depth - short)
+    for k in range(short, depth):
         run = np.cumsum(before < k)
         parts = np.bincount(run, before == k, int(run[-1]) + 1) if len(run) else run
         mask |= (parts[run] > 0).astype(np.int32) << (k - short)
@@ -170,30 +175,32 @@ def branches(head: np.ndarray, tail: np.ndarray, depth: int, short: int) -> np.n
 
 
 def walk(batches: Iterator[pa.RecordBatch], depth: int, short: int) -> Iterator[pa.RecordBatch]:
-    """Rows of sorted paths (head, tail, node) that stand at some branching, with `levels`. Paths of a head come one after
-    another; those of one head, 24 bytes each, are held until it ends."""
+    """Those of the sorted, different paths (head, tail, node, n) that stand at some branching, with `levels`. Paths of a head come
+    one after another and are held until it ends; there are no more of them than tails, 256 ** (depth - short)."""
     held: list[tuple[np.ndarray, ...]] = []
+    names = ["head", "tail", "node", "n"]
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if parts:
-            head, tail, node = (np.concatenate(c) for c in zip(*parts, strict=True))
-            levels = branches(head, tail, depth, short)
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            levels = branches(columns[0], columns[1], columns[3], depth, short)
             at = levels > 0
             if at.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (head, tail, node, levels)], names=["head", "tail", "node", "levels"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (*columns, levels)], names=[*names, "levels"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        head, tail, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+        head = columns[0]
         if held and held[0][0][0] != head[0]:
             yield from flush(held)
             held = []
         end = int(np.searchsorted(head, head[-1]))
         if end:
-            yield from flush([*held, (head[:end], tail[:end], node[:end])])
+            yield from flush([*held, tuple(c[:end] for c in columns)])
             held = []
-        held.append((head[end:], tail[end:], node[end:]))
+        held.append(tuple(c[end:] for c in columns))
     yield from flush(held)
 
 
@@ -211,29 +218,57 @@ class Leaders:
             k = self.top[k]
         return k
 
-    def meet(self, node: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """Let texts meet all leaders, and lead in turn. Yields edges (leader, node, similarity) that join what none joined before:
-        fewer than the group has texts, though every text within NEAR of a leader ends up in one part with it."""
+    def add(self, node: int, sig: np.ndarray, top: int | None = None) -> None:
+        self.top.append(len(self.node) if top is None else top)
+        self.node.append(int(node))
+        self.sig.append(sig.copy())
+
+    def meet(self, node: np.ndarray, sig: np.ndarray, elect: bool = True) -> tuple[list[tuple[int, int, float]], np.ndarray]:
+        """Let texts meet all leaders, and lead in turn if they may. Returns edges (leader, node, similarity) that join what none
+        joined before, fewer than the group has texts, though every text within NEAR of a leader ends up in one part with it;
+        and the places of the texts that no leader speaks for, which are none where texts may lead."""
+        edges: list[tuple[int, int, float]] = []
         left, k = np.arange(len(node)), 0
         home = np.full(len(node), -1)
         while len(left):
             if k == len(self.node):
+                if not elect:
+                    break
                 i, left = int(left[0]), left[1:]
-                self.node.append(int(node[i]))
-                self.sig.append(sig[i].copy())
-                self.top.append(self.find(home[i]) if home[i] >= 0 else k)
+                self.add(node[i], sig[i], self.find(home[i]) if home[i] >= 0 else None)
             alike = (sig[left] == self.sig[k]).mean(axis=1)
             near = alike >= NEAR
             new = left[near & (home[left] < 0)]
-            yield from ((self.node[k], int(node[i]), float(s)) for i, s in zip(new, alike[near & (home[left] < 0)], strict=True))
+            edges += [(self.node[k], int(node[i]), float(s)) for i, s in zip(new, alike[near & (home[left] < 0)], strict=True)]
             old = np.flatnonzero(near & (home[left] >= 0))
             for h in np.unique(home[left[old]]).tolist():  # a text near leaders of two parts joins them
                 if self.find(h) != self.find(k):
                     j = old[home[left[old]] == h][0]
-                    yield self.node[k], int(node[left[j]]), float(alike[j])
+                    edges.append((self.node[k], int(node[left[j]]), float(alike[j])))
                     self.top[self.find(h)] = self.find(k)
             home[new] = k
             left, k = left[alike < SAME], k + 1
+        return edges, left
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, bool, np.ndarray, np.ndarray]]:
+    """Sorted rows (keys, node, signature) by runs of equal keys: key, whether it is a new one, nodes, signatures."""
+    at: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        *key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys + 1))
+        sig = np.frombuffer(b"".join(batch.column(keys + 1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in key], axis=0)) + 1
+        for i, j in zip([0, *new.tolist()], [*new.tolist(), len(node)], strict=True):
+            here = tuple(int(c[i]) for c in key)
+            yield here, here != at, node[i:j], sig[i:j]
+            at = here
+
+
+def _edge_columns(edges: list[tuple[int, int, float]]) -> list[pa.Array]:
+    a, b, s = (np.array(c) for c in zip(*edges, strict=True))
+    return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)]
 
 
 def follow_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,30 +276,85 @@ def follow_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     The first text of a group leads; texts that no leader speaks for lead in turn. Every text meets every leader, so of two
     similar texts of a group both end up in one family. Only the leaders' signatures of one group are held."""
-    at, leaders = None, Leaders()
-    for batch in batches:
-        if not batch.num_rows:
+    leaders = Leaders()
+    for _, new, node, sig in _runs(batches, 2):
+        leaders = Leaders() if new else leaders
+        edges, _ = leaders.meet(node, sig)
+        if edges:
+            yield pa.RecordBatch.from_arrays(_edge_columns(edges), names=["a", "b", "s"])
+
+
+def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leaders that groups of rows (head, prefix, node, signature) choose, as rows of the same kind."""
+    leaders = Leaders()
+    for key, new, node, sig in _runs(batches, 2):
+        leaders = Leaders() if new else leaders
+        had = len(leaders.node)
+        leaders.meet(node, sig)
+        chosen = leaders.node[had:]
+        if chosen:
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(chosen)), pa.array([key[1]] * len(chosen)), pa.array(chosen), pa.array([x.tobytes() for x in leaders.sig[had:]], pa.binary())], names=["head", "prefix", "node", "sig"])
+
+
+def meet_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (head, prefix, part, text: 0 for a leader, node, signature), leaders of a part first: edges as in `follow_leaders`, and
+    rows (head, prefix, node) of the texts that no leader speaks for."""
+    leaders, at = Leaders(), None
+    for (head, prefix, part, text), _, node, sig in _runs(batches, 4):
+        if at != (head, prefix, part):
+            leaders, at = Leaders(), (head, prefix, part)
+        if not text:
+            for i in range(len(node)):
+                leaders.add(node[i], sig[i])
             continue
-        head, prefix, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-        out: list[tuple[int, int, float]] = []
-        new = np.flatnonzero((head[1:] != head[:-1]) | (prefix[1:] != prefix[:-1])) + 1
-        for i, j in zip([0, *new.tolist()], [*new.tolist(), len(head)], strict=True):
-            if at != (head[i], prefix[i]):
-                at, leaders = (head[i], prefix[i]), Leaders()
-            out += leaders.meet(node[i:j], sig[i:j])
-        if out:
-            a, b, s = (np.array(c) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], names=["a", "b", "s"])
-
-
-def forest_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+        edges, rest = leaders.meet(node, sig, elect=False)
+        edges = [e for e in edges if e[0] != e[1]]  # leaders meet themselves
+        n, m = len(edges), len(rest)
+        if n + m:
+            ends = _edge_columns(edges) if n else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
+            columns = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in ends]
+            columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c, pa.int64())]) for c in (np.full(m, head), np.full(m, prefix), node[rest])]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "s", "head", "prefix", "node"])
+
+
+def group_edges(rows: DataFrame, nodes: DataFrame, group: int = GROUP) -> DataFrame:
+    """Edges (a, b, s) of the groups that rows (head, prefix, node) make, whatever the size of a group.
+
+    A group of `group` texts or fewer meets in one place. Of a larger one, a part of about that size elects leaders; all its
+    parts, each with a copy of them, meet these leaders side by side, and texts that none of them speaks for make a smaller
+    group, which goes the same way. So every text meets all leaders up to one that speaks for it, as in one place."""
+    keys, signed = ["head", "prefix"], nodes.select("node", "sig")
+    found: DataFrame | None = None
+    again = 0
+    while True:
+        big = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select(*keys, F.ceil(F.col("n") / group).cast("int").alias("parts")))
+        last = big.isEmpty()
+        few = small_side(big)
+        whole = rows if last else rows.join(few, keys, "left_anti")
+        edges = whole.join(signed, "node").select(*keys, "node", "sig").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(follow_leaders, "a long, b long, s double")
+        found = edges if found is None else found.unionByName(edges)
+        if last:
+            return found
+        part = F.pmod(F.xxhash64("node", F.lit(again)), F.col("parts")).cast("int")
+        dealt = rows.join(few, keys).join(signed, "node").select(*keys, part.alias("part"), "node", "sig")
+        # should this part be empty, no text is spoken for, and the next round deals by another hash
+        pool = dealt.filter("part = 0").select(*keys, "node", "sig")
+        leaders = cut(pool.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(elect, "head long, prefix long, node long, sig binary"))
+        copies = leaders.join(few, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("text"), "node", "sig")
+        both = copies.unionByName(dealt.withColumn("text", F.lit(1))).select(*keys, "part", "text", "node", "sig")
+        met = cut(both.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "text", "node").mapInArrow(meet_leaders, "a long, b long, s double, head long, prefix long, node long"))
+        found = found.unionByName(met.filter("a is not null").select("a", "b", "s"))
+        rows, again = met.filter("a is null").select(*keys, "node"), again + 1
+
+
+def forest_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, group: int = GROUP) -> DataFrame:
     """Edges (a, b, s) that join leaders and members of the groups that share prefixes of signatures (`node`, `sig` of each text).
 
-    All trees are sorted once. Groups of texts that share all `depth` values are judged first, then shorter and shorter
+    All trees are sorted once, by their different paths: texts of one path are counted where they lie, so a path that many
+    share is one row. Groups of texts that share all `depth` values are judged first, then shorter and shorter
     prefixes, only where tries branch, until the estimated recall of links near the threshold reaches `recall`: each
     found link stands for 1 / (its chance of being found) links. Prefixes end at `shortest_prefix`, where that chance is
-    enough for any link."""
+    enough for any link. Groups of more than `group` texts are split (`group_edges`)."""
     short = shortest_prefix(threshold, trees, depth, recall)
     depth = min(depth, short + 7)
 
@@ -273,13 +363,15 @@ def forest_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TR
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, trees, -1)[:, :, :depth]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in paths(batch.column(0).to_numpy(), sig, trees, depth, short)], names=["head", "tail", "node"])
 
-    laid = nodes.select("node", "sig").mapInArrow(lay, "head long, tail long, node long").repartition("head").sortWithinPartitions("head", "tail")
-    trie = cut(laid.mapInArrow(lambda batches: walk(batches, depth, short), "head long, tail long, node long, levels int"))
+    laid = nodes.select("node", "sig").mapInArrow(lay, "head long, tail long, node long")
+    different = laid.groupBy("head", "tail").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    walked = cut(different.repartition("head").sortWithinPartitions("head", "tail").mapInArrow(lambda batches: walk(batches, depth, short), "head long, tail long, node long, n long, levels int"))
+    leaves = walked.filter("n > 1").select("head", "tail", "levels")
+    trie = cut(walked.filter("n = 1").select("head", "tail", "node", "levels").unionByName(laid.join(small_side(leaves), ["head", "tail"]).select("head", "tail", "node", "levels")))
     found: DataFrame | None = None
     for length in range(depth, short - 1, -1):
         rows = trie.filter(F.col("levels").bitwiseAND(1 << (length - short)) != 0).select("head", F.shiftright("tail", 8 * (depth - length)).alias("prefix"), "node")
-        grouped = rows.join(nodes.select("node", "sig"), "node").select("head", "prefix", "node", "sig").repartition("head", "prefix").sortWithinPartitions("head", "prefix", "node")
-        edges = grouped.mapInArrow(follow_leaders, "a long, b long, s double")
+        edges = group_edges(rows, nodes, group)
         found = cut((edges if found is None else found.unionByName(edges)).distinct())
         if length > short:
             s = F.col("s")
@@ -291,7 +383,7 @@ def forest_edges(nodes: DataFrame, threshold: float = THRESHOLD, trees: int = TR
     return found
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, recall: float = RECALL, group: int = GROUP) -> DataFrame:
     """doc_id, text_hash, n_links, class_id, kept of every row: links join rows whose sets of word windows reach the threshold.
 
     Equal texts are one class from the start. `forest_edges` proposes which texts may be alike: texts whose signatures agree
@@ -317,10 +409,11 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     texts = signed.filter("size > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     # the checkpoint fixes these ids
     nodes = cut(texts.select(F.monotonically_increasing_id().alias("node"), "rep", "fp", "copies", "size", "sig"))
-    families = connected_components(forest_edges(nodes, threshold, trees, DEPTH, recall))
+    families = connected_components(forest_edges(nodes, threshold, trees, DEPTH, recall, group))
     members = cut(families.join(nodes.select(F.col("node").alias("id"), "rep", F.col("fp").alias("__fp"), "copies", "size"), "id"))
     weights = members.groupBy("component").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
-    blocks = weights.select("component", F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    side = F.greatest(F.lit(BLOCK_TEXTS), F.least(F.lit(LARGE_BLOCK_TEXTS), F.col("n") / 16))
+    blocks = weights.select("component", F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("n") / side)).cast("int").alias("blocks"))
     placed = members.join(blocks, "component").select("component", "blocks", F.col("id").alias("node"), "rep", "__fp", "copies")
     held = source.join(placed, (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("__fp")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -387,7 +387,10 @@ def test_branches_of_sorted_tries():
     head, tail, node = ngram_join.paths(np.arange(60), sig, trees, depth, short)
     order = np.lexsort((tail, head))
     head, tail, node = head[order], tail[order], node[order]
-    got = {(int(h) >> 8 * short, int(n)): int(m) for h, n, m in zip(head, node, ngram_join.branches(head, tail, depth, short), strict=True)}
+    first = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])  # of the texts of one path
+    n = np.diff(np.r_[first, len(head)])
+    levels = ngram_join.branches(head[first], tail[first], n, depth, short)
+    got = {(int(h) >> 8 * short, int(x)): int(m) for h, x, m in zip(head, node, np.repeat(levels, n), strict=True)}
     for t in range(trees):
         for k in range(short, depth + 1):
             for i in range(60):
@@ -395,9 +398,11 @@ def test_branches_of_sorted_tries():
                 wide = len(group) > 1 if k == depth else len({int(sig[j, t, k]) for j in group}) > 1
                 assert bool(got[t, i] >> (k - short) & 1) == wide
     # in batches of any size the same rows come out
-    whole = {tuple(r) for b in ngram_join.walk(iter([_batch(head, tail, node)]), depth, short) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
-    parts = {tuple(r) for b in ngram_join.walk((_batch(head[i : i + 7], tail[i : i + 7], node[i : i + 7]) for i in range(0, len(head), 7)), depth, short) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
-    assert whole == parts and {(h, n) for h, _, n, _ in whole} == {(int(h), int(n)) for h, n in zip(head, node, strict=True) if got[int(h) >> 8 * short, int(n)]}
+    columns = [c[first] for c in (head, tail, node)] + [n]
+    rows = lambda batches: [tuple(r) for b in ngram_join.walk(batches, depth, short) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    whole = rows(iter([_batch(*columns)]))
+    assert whole == rows(_batch(*(c[i : i + 7] for c in columns)) for i in range(0, len(first), 7))
+    assert whole == [(*(int(c[i]) for c in columns), int(levels[i])) for i in range(len(first)) if levels[i]]
 
 
 def test_leaders_join_what_is_similar():
@@ -430,7 +435,7 @@ def test_leaders_join_what_is_similar():
     assert 10 < len(leaders) < 150
     for step in (1, 30, 200):
         group = ngram_join.Leaders()
-        found = [e for i in range(0, 200, step) for e in group.meet(np.arange(i, min(200, i + step)), sig[i : i + step])]
+        found = [e for i in range(0, 200, step) for e in group.meet(np.arange(i, min(200, i + step)), sig[i : i + step])[0]]
         assert len(found) < 200 and all(np.isclose((sig[a] == sig[b]).mean(), s) and s >= ngram_join.NEAR for a, b, s in found)
         assert step > 1 or parts([e[:2] for e in found]) == parts(edges)
         similar = [(i, j) for i, j in itertools.combinations(range(200), 2) if (sig[i] == sig[j]).mean() >= 0.8]
@@ -438,8 +443,41 @@ def test_leaders_join_what_is_similar():
         assert similar and all(own[i] == own[j] for i, j in similar)
 
 
+def test_split_groups_join_what_is_similar(spark):
+    """One prefix for 400 texts and another for 5: parts of a group meet its leaders apart, and no two texts at 0.8 stay apart."""
+    rng = np.random.default_rng(11)
+    sig = rng.integers(0, 256, (6, 320)).astype(np.uint8)[rng.integers(0, 6, 400)]
+    for i in range(400):
+        at = rng.random(320) < rng.uniform(0, 0.3)
+        sig[i, at] = rng.integers(0, 256, int(at.sum()))
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "node long, sig binary")
+    rows = spark.createDataFrame([(1, 2, i) for i in range(400)] + [(1, 3, i) for i in range(5)], "head long, prefix long, node long")
+    edges = ngram_join.group_edges(rows, nodes, 60).collect()
+    assert all(np.isclose((sig[a] == sig[b]).mean(), s) and s >= ngram_join.NEAR and a < b for a, b, s in edges)
+    found = components.connected_components(spark.createDataFrame([(a, b) for a, b, _ in edges], "a long, b long"))
+    own = {r["id"]: r["component"] for r in found.collect()}
+    similar = [(i, j) for i, j in itertools.combinations(range(400), 2) if (sig[i] == sig[j]).mean() >= 0.8]
+    assert len(similar) > 1_000 and all(own[i] == own[j] for i, j in similar)
+    assert len(set(own.values())) == 6
+
+
+def test_large_group_of_near_copies_has_exact_counts(spark):
+    """Copies of one text with a word of their own in one place: which pairs reach 0.8 follows from the places alone."""
+    rng = np.random.default_rng(13)
+    base = [f"w{i}" for i in range(60)]
+    places = rng.integers(0, 60, 1_500)
+    texts = [" ".join([*base[:p], f"own{i}", *base[p + 1 :]]) for i, p in enumerate(places.tolist())]
+    touched = [set(range(max(0, p - 4), min(p, 55) + 1)) for p in range(60)]  # windows that hold a place; 56 in all
+    at = np.bincount(places, minlength=60)
+    near = np.array([[(56 - len(a | b)) >= 0.8 * (2 * 56 - (56 - len(a | b))) for b in touched] for a in touched])
+    want = near @ at - near.diagonal()
+    got = ngram_join.similar(documents(spark, texts), group=100).collect()
+    assert len({r["class_id"] for r in got}) == 1 and 0 < (~near).sum()
+    assert [r["n_links"] for r in sorted(got, key=lambda r: r["doc_id"])] == want[places].tolist()
+
+
 def _batch(*columns):
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["head", "tail", "node"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["head", "tail", "node", "n"])
 
 
 def test_shingles_are_windows_of_words():
